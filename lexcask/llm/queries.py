@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import path_dedup, suffix_dedup
 
 QUERIES = {
+    "op2_path_dedup": path_dedup.op2,
     "op8_suffix_dedup": suffix_dedup.op8,
 }
 
