@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes of one chunk, about; a chunk is the unit that one Python call holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Positions hashed at a time, so that the arrays stay in the processor's cache.
 BLOCK = 1 << 15
 #: The id that stands for a null one: after every other.

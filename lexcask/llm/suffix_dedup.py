@@ -17,7 +17,9 @@ different text) is dealt out by whole windows, so no task has all of it.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -102,33 +104,42 @@ def pack_run(keys: list[bytes], docs: list[int], places: list[list[int]], width:
     return _zip(b"".join([head.tobytes(), lcp.tobytes(), lens.tobytes(), np.array(docs, "<i8").tobytes(), counts.tobytes(), flat.tobytes(), rest]))
 
 
-def unpack_run(blob: bytes) -> tuple[list[bytes], list[int], list[int], list[int], np.ndarray]:
-    """Keys, common prefixes, least documents, ends of the places of each key, places."""
-    b = _unzip(blob)
-    n, m, _ = np.frombuffer(b, "<u4", 3)
-    at = 12
-    out = []
-    for dt, k, w in (("<u2", n, 2), ("<u2", n, 2), ("<i8", n, 8), ("<u4", n, 4), ("<u4", m, 4)):
-        out.append(np.frombuffer(b, dt, int(k), at))
-        at += int(k) * w
-    lcp, lens, docs, counts, places = out
-    lcps, sizes, keys, prev = lcp.tolist(), lens.tolist(), [], b""
-    for c, s in zip(lcps, sizes):
-        prev = prev[:c] + b[at : at + s - c]
-        at += s - c
-        keys.append(prev)
-    return keys, lcps, docs.tolist(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).tolist(), places
-
-
-def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes, int, int, int]]:
+class Run:
+    """A sorted front-coded run, decoded as it is read; the places of each of its keys."""
+
+    def __init__(self, blob: bytes):
+        self.data = b = _unzip(blob)
+        n, m, _ = (int(x) for x in np.frombuffer(b, "<u4", 3))
+        self.n, at, out = n, 12, []
+        for code, k in (("H", n), ("H", n), ("q", n), ("I", n), ("I", m)):
+            a = array(code)
+            a.frombytes(b[at : at + k * a.itemsize])
+            at += k * a.itemsize
+            out.append(a)
+        self.lcp, self.size, self.least, counts, self.places = out
+        self.ends = array("q", [0, *accumulate(counts)])
+        self.at, self.i, self.key = at, -1, b""
+        self.next()
+
+    def next(self) -> int:
+        """Moves to the next key; its common prefix with the one before, or -1 at the end."""
+        self.i += 1
+        if self.i >= self.n:
+            return -1
+        c, end = self.lcp[self.i], self.at + self.size[self.i]
+        end -= c
+        self.key = self.key[:c] + self.data[self.at : end]
+        self.at = end
+        return c
+
+
+def merge_runs(runs: list[Run]) -> Iterator[tuple[bytes, int, int, int]]:
     """(key, common prefix with the key before, run, index) in order, by a loser tree that knows prefixes."""
     size = 1
     while size < len(runs):
         size *= 2
-    pos = [0] * size
-    now = [runs[r][0][0] if r < len(runs) and runs[r][0] else b"" for r in range(size)]
-    # The common prefix of a run's next key with the key it last lost to (or, for the winner, with the last output); -1: run is over.
-    known = [0 if r < len(runs) and runs[r][0] else -1 for r in range(size)]
+    # The common prefix of a run's key with the key it last lost to (or, for the winner, with the last output); -1: run is over.
+    known = [0 if r < len(runs) and runs[r].n else -1 for r in range(size)]
     loser = [0] * size
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -138,9 +149,9 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[byte
             return (a, b) if ha > hb else (b, a)
         if ha < 0:
             return a, b
-        x, y = now[a][ha:], now[b][ha:]
+        x, y = runs[a].key[ha:], runs[b].key[ha:]
         if x == y:
-            known[b] = len(now[b])
+            known[b] = ha + len(x)
             return a, b
         i, n = 0, min(len(x), len(y))
         while i < n and x[i] == y[i]:
@@ -160,16 +171,9 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[byte
 
     win = build(1)
     while known[win] >= 0:
-        i = pos[win]
-        yield now[win], known[win], win, i
-        i += 1
-        pos[win] = i
-        keys, lcps = runs[win]
-        if i < len(keys):
-            now[win] = keys[i]
-            known[win] = lcps[i]
-        else:
-            known[win] = -1
+        run = runs[win]
+        yield run.key, known[win], win, run.i
+        known[win] = run.next()
         node = (win + size) >> 1
         while node:
             other = loser[node]
@@ -246,34 +250,35 @@ def _runs(length: int, gram: int, n_buckets: int):
 def _merge(length: int):
     def run(t: pa.Table) -> pa.Table:
         chunks = t["chunk"].to_pylist()
-        runs = [unpack_run(b) for b in t["blob"].to_pylist()]
-        said: list[tuple[list[np.ndarray], list[int], list[int], list[int]]] = [([], [], [], []) for _ in runs]
+        runs = [Run(b) for b in t["blob"].to_pylist()]
+        said = [(array("I"), array("I"), array("q")) for _ in runs]
 
-        def tell(r: int, i: int, windows: list[tuple[int, int, int]]) -> None:
+        def tell(r: int, i: int, windows: list) -> None:
             """Answers a run: at each place of its key, from a window on, so many windows begin in this document at the latest."""
-            _, _, docs, ends, places = runs[r]
-            lo, hi = ends[i], ends[i + 1]
-            own = docs[i]
-            spots, shift, count, doc = said[r]
+            run = runs[r]
+            lo, hi = run.ends[i], run.ends[i + 1]
+            own = run.least[i]
+            spots, count, doc = said[r]
             for o, k, m in windows:
                 if m < own or hi - lo > 1:
-                    spots.append(places[lo:hi])
-                    shift.append(o)
-                    count.append(k)
-                    doc.append(m)
+                    for p in run.places[lo:hi]:
+                        spots.append(p + o)
+                        count.append(k)
+                        doc.append(m)
 
         def close(group: list[tuple[bytes, list[tuple[int, int]]]]) -> None:
             if len(group) == 1:
                 key, members = group[0]
-                if len(members) > 1 or runs[members[0][0]][3][members[0][1] + 1] - runs[members[0][0]][3][members[0][1]] > 1:
-                    m = min(runs[r][2][i] for r, i in members)
+                r, i = members[0]
+                if len(members) > 1 or runs[r].ends[i + 1] - runs[r].ends[i] > 1:
+                    m = min([runs[r].least[i] for r, i in members])
                     for r, i in members:
                         tell(r, i, [(0, len(key) - 7 - length, m)])
                 return
             best: dict[bytes, int] = {}
             opened = []
             for key, members in group:
-                m = min([runs[r][2][i] for r, i in members])
+                m = min([runs[r].least[i] for r, i in members])
                 ws = [key[o : o + length] for o in range(8, len(key) - length + 1)]
                 for w in ws:
                     if best.setdefault(w, m) > m:
@@ -292,7 +297,7 @@ def _merge(length: int):
                     tell(r, i, spans)
 
         group: list = []
-        for key, lcp, r, i in merge_runs([x[:2] for x in runs]):
+        for key, lcp, r, i in merge_runs(runs):
             if group and lcp == len(key) == len(group[-1][0]):
                 group[-1][1].append((r, i))
                 continue
@@ -303,12 +308,10 @@ def _merge(length: int):
         if group:
             close(group)
         out_chunk, out_blob = [], []
-        for chunk, (spots, shift, count, doc) in zip(chunks, said):
+        for chunk, (spots, count, doc) in zip(chunks, said):
             if spots:
-                n = np.fromiter(map(len, spots), np.int64, len(spots))
-                pos = np.concatenate(spots).astype(np.int64) + np.repeat(np.array(shift, np.int64), n)
                 out_chunk.append(chunk)
-                out_blob.append(_zip(b"".join([np.array([len(pos)], "<u4").tobytes(), pos.astype("<u4").tobytes(), np.repeat(np.array(count, "<u4"), n).tobytes(), np.repeat(np.array(doc, "<i8"), n).tobytes()])))
+                out_blob.append(_zip(np.array([len(spots)], "<u4").tobytes() + spots.tobytes() + count.tobytes() + doc.tobytes()))
         return pa.table({"chunk": pa.array(out_chunk, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
 
     return run
