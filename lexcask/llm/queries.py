@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import path_dedup, suffix_dedup
+from . import packing, path_dedup, pieces, suffix_dedup, token_counts
 
 QUERIES = {
     "op2_path_dedup": path_dedup.op2,
+    "op3_packing": packing.op3,
+    "op5_token_counts": token_counts.op5,
     "op8_suffix_dedup": suffix_dedup.op8,
+    "op10_pieces": pieces.op10,
 }
 
 ORACLES: dict[str, str] = {}
