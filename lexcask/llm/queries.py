@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, path_dedup, pieces, suffix_dedup, token_counts
+from . import packing, path_dedup, pieces, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op2_path_dedup": path_dedup.op2,
     "op3_packing": packing.op3,
     "op5_token_counts": token_counts.op5,
+    "op6_quality_rules": quality.op6,
     "op8_suffix_dedup": suffix_dedup.op8,
     "op10_pieces": pieces.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality.kept_sql(),
+}
