@@ -276,3 +276,20 @@ def repeat_flags(found: np.ndarray, n_buckets: int, replies: pa.Table) -> tuple[
         rep[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8, k), count=hi - lo)
         hot[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8, k, k), count=hi - lo)
     return rep[inv], hot[inv]
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The same rows from files in the cluster's shared checkpoint folder (spark.checkpoint.dir).
+
+    Only where that is unset, as in tests, a local folder is used.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None:
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="lexcask-checkpoint-")
+        sc.setCheckpointDir(shared)
+    return df.checkpoint()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, path_dedup, pieces, quality, suffix_dedup, token_counts
+from . import near_dedup, packing, path_dedup, pieces, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op2_path_dedup": path_dedup.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5,
     "op6_quality_rules": quality.op6,
     "op8_suffix_dedup": suffix_dedup.op8,
+    "op9_near_dedup": near_dedup.op9,
     "op10_pieces": pieces.op10,
 }
 
