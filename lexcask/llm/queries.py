@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, path_dedup, pieces, quality, suffix_dedup, token_counts
+from . import hamming_search, near_dedup, packing, path_dedup, pieces, quality, suffix_dedup, token_counts, url_trust
 
 QUERIES = {
+    "op1_url_trust": url_trust.op1,
     "op2_path_dedup": path_dedup.op2,
     "op3_packing": packing.op3,
     "op5_token_counts": token_counts.op5,
     "op6_quality_rules": quality.op6,
+    "op7_hamming_search": hamming_search.op7,
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_near_dedup": near_dedup.op9,
     "op10_pieces": pieces.op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_trust": url_trust.verdict_sql(),
     "op6_quality_rules": quality.kept_sql(),
 }
