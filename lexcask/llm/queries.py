@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hamming_search, near_dedup, packing, path_dedup, pieces, quality, suffix_dedup, token_counts, url_trust
+from . import hamming_search, near_dedup, packing, path_dedup, pieces, quality, secret_scan, suffix_dedup, token_counts, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.op1,
     "op2_path_dedup": path_dedup.op2,
     "op3_packing": packing.op3,
+    "op4_secret_scan": secret_scan.op4,
     "op5_token_counts": token_counts.op5,
     "op6_quality_rules": quality.op6,
     "op7_hamming_search": hamming_search.op7,
