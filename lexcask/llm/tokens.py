@@ -13,7 +13,9 @@ import re
 from array import array
 
 #: Remembered pieces of one worker.
-MEMORY = 300_000
+MEMORY = 1_000_000
+#: Unknown pieces that are encoded in one text.
+JOINED = 512
 #: Texts that are cut and joined at a time.
 TEXTS = 64
 
@@ -33,14 +35,27 @@ class ByteBpe:
 
         self.lib = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        line = self.lib.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
 
     def _learn(self, parts: list[list[str]]) -> None:
         new = set().union(*[p[1:] for p in parts]).difference(self.known)
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
             new = set().union(*[p[1:] for p in parts])
-        new = list(new)
-        for p, e in zip(new, self.lib.encode_batch_fast([" " + p for p in new], add_special_tokens=False)):
+        # Pieces without white space go many in one text, a line break between: it is one id, and no other piece has it.
+        whole = [p for p in new if p.split() == [p]]
+        rest = [p for p in new if p.split() != [p]]
+        for lo in range(0, len(whole), JOINED):
+            some = whole[lo : lo + JOINED]
+            ids = array("I", self.lib.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)[0].ids)
+            at = [-1, *(k for k, i in enumerate(ids) if i == self.line), len(ids)]
+            if len(at) == len(some) + 1:
+                for p, a, z in zip(some, at, at[1:]):
+                    self.known[p] = ids[a + 1 : z].tobytes()
+            else:
+                rest += some
+        for p, e in zip(rest, self.lib.encode_batch_fast([" " + p for p in rest], add_special_tokens=False)):
             self.known[p] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
