@@ -1,13 +1,75 @@
-"""The corpus pipeline: quality rules, near-dedup, suffix dedup, secret scan, packing."""
+"""The corpus pipeline: quality rules, near-dedup, suffix dedup, secret scan, packing.
+
+Each stage takes (spark, docs, sf_dir), docs having the columns of ``documents``,
+and returns a DataFrame; all but the last return those columns.  Between stages
+rows are written and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexcask.llm import core, near_dedup, packing, quality, secret_scan, suffix_dedup
+
+
+def _row(docs: DataFrame) -> DataFrame:
+    """All columns in one struct beside the text, so a stage's own names cannot clash with them."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("text"))
+
+
+def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns of __row with a new text, and n_chars to match where there is such a column."""
+    new = {"text": F.col(text), "n_chars": F.length(F.col(text)).cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in columns])
+
+
+def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule; the others go."""
+    return quality.judge(_row(docs)).filter("kept").select("__row.*")
+
+
+def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id; rows without an id stay."""
+    kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.filter(docs["doc_id"].isNotNull())
+    return named.join(kept, named["doc_id"] == F.col("__id"), "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
+
+
+def suffix_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the byte strings that documents of smaller ids hold; whole characters only."""
+    rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"])
+    slim = rows.withColumn("__row", F.col("__row").dropFields("text")) if len(docs.columns) > 1 else rows
+    out = suffix_dedup.suffix_dedup(slim, carry=("__row",), characters=True)
+    return _with_text(out.withColumn("__text", F.col("kept").cast("string")), docs.columns, "__text")
+
+
+def secret_scan_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with each secret's value masked."""
+    rows = _row(docs).withColumn("__path", F.col("__row")["source"].cast("string") if "source" in docs.columns else F.lit(""))
+    return _with_text(secret_scan.scan(rows, path_col="__path"), docs.columns, "masked")
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens: a row for each piece, with its ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("secret_scan", secret_scan_stage),
+    ("packing", packing_stage),
+]
+#: Token ids are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = core.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = core.checkpoint(docs)
     return docs

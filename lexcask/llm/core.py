@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes of one chunk, about; a chunk is the unit that one Python call holds.
 CHUNK_BYTES = 2 << 20
@@ -75,6 +76,11 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...
     return out, n_chunks, n_buckets
 
 
+def with_carried(ddl: str, texts: DataFrame, carry: tuple[str, ...]) -> StructType:
+    """A schema and the carried columns after it."""
+    return StructType(StructType.fromDDL(ddl).fields + [StructField(f"__c_{c}", texts.schema[f"__c_{c}"].dataType) for c in carry])
+
+
 def joined(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All texts' bytes in one array, and where each starts (with the end)."""
     arr = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts

@@ -221,8 +221,7 @@ def path_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replies = anchors.groupBy("bucket").applyInArrow(core.repeated, core.REPEATS)
     edges = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_edges(length, gram, n_buckets), "part int, chunk int, blob binary, n int")
     sources = edges.groupBy("part").applyInArrow(_sources, "chunk int, blob binary, n int")
-    kinds = dict(texts.dtypes)
-    schema = "id long, n_words long, n_removed long, paths array<struct<start: long, n_words: long, source_id: long, source_start: long>>, kept binary" + "".join(f", `__c_{c}` {kinds[f'__c_{c}']}" for c in carry)
+    schema = core.with_carried("id long, n_words long, n_removed long, paths array<struct<start: long, n_words: long, source_id: long, source_start: long>>, kept binary", texts, carry)
     out = by_chunk.cogroup(sources.groupBy("chunk")).applyInArrow(_compact(length, gram, carry), schema)
     return out.select(F.nullif(F.col("id"), F.lit(core.NULL_ID)).alias(id_col), "n_words", "n_removed", "paths", "kept", *[F.col(f"__c_{c}").alias(c) for c in carry])
 

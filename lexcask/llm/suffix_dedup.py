@@ -396,8 +396,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replies = anchors.groupBy("bucket").applyInArrow(core.repeated, core.REPEATS)
     runs = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_runs(length, gram, n_buckets), "part int, chunk int, blob binary")
     merged = runs.groupBy("part").applyInArrow(_merge(length), "chunk int, blob binary")
-    kinds = dict(texts.dtypes)
-    schema = "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary" + "".join(f", `__c_{c}` {kinds[f'__c_{c}']}" for c in carry)
+    schema = core.with_carried("id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary", texts, carry)
     out = by_chunk.cogroup(merged.groupBy("chunk")).applyInArrow(_apply(length, carry, characters), schema)
     return out.select(F.nullif(F.col("id"), F.lit(core.NULL_ID)).alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"__c_{c}").alias(c) for c in carry])
 
