@@ -37,6 +37,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def spread(least: np.ndarray) -> np.ndarray:
+    """Anchors over the whole range: the least of many hashes are small, so they are mixed once more (one to one)."""
+    return mix(least + _C2)
+
+
 def slide(op, a: np.ndarray, width: int) -> np.ndarray:
     """``op`` (minimum or maximum) over every run of ``width`` neighbours."""
     n = 1

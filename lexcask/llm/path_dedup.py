@@ -61,7 +61,7 @@ def _anchors(length: int, gram: int, n_buckets: int):
     def run(t: pa.Table) -> pa.Table:
         w = _Words(t, length, gram)
         least = w.anchors()
-        return core.anchor_rows(t["chunk"][0].as_py(), least[w.first_of_run(least)], n_buckets)
+        return core.anchor_rows(t["chunk"][0].as_py(), core.spread(least[w.first_of_run(least)]), n_buckets)
 
     return run
 
@@ -73,7 +73,7 @@ def _edges(length: int, gram: int, n_buckets: int):
             w = _Words(left, length, gram)
             least = w.anchors()
             first = w.first_of_run(least)
-            rep, _ = core.repeat_flags(least[first], n_buckets, right)
+            rep, _ = core.repeat_flags(core.spread(least[first]), n_buckets, right)
             run_of = np.cumsum(first) - 1
             at = np.flatnonzero(w.valid)
             at = at[rep[run_of[at]]]

@@ -78,7 +78,7 @@ def byte_suffixes(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> t
         which = np.repeat(np.arange(len(start)), parts)
         k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
         start, end = start[which] + k * wide, np.minimum(start[which] + (k + 1) * wide, end[which])
-    return start, end, least[start]
+    return start, end, core.spread(least[start])
 
 
 def front_code(keys: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, bytes]:
