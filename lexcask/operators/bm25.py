@@ -58,10 +58,10 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     enough of them; otherwise (tiny corpora) every chunk is considered.
     """
     found = scores(chunks, queries)
-    mean = term_stats(chunks).agg(F.min("idf")).first()[0]
-    some = chunks.select("doc_id", "chunk_ord")
-    if mean is not None and mean > 0:
-        some = some.orderBy("doc_id", "chunk_ord").limit(2 * k)
+    ids = chunks.select("doc_id", "chunk_ord")
+    least = term_stats(chunks).agg(F.min("idf").alias("least"))
+    every = ids.crossJoin(F.broadcast(least)).filter("least <= 0 OR least IS NULL").select("doc_id", "chunk_ord")
+    some = ids.orderBy("doc_id", "chunk_ord").limit(2 * k).unionByName(every).distinct()
     fill = queries.select("query_id").crossJoin(some).join(found, ["query_id", "doc_id", "chunk_ord"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_ord")
     return found.unionByName(fill).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
