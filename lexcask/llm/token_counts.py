@@ -46,7 +46,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     n_tokens); share_le (of all documents).  An empty input gives no rows.
     """
     h = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("n_tokens_total", F.col("n_docs") * F.col("n_tokens"))
-    h = h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    # Read twice below; texts are encoded once.
+    h = core.checkpoint(h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens_total").alias("t"))
     # Few rows: one for every 4096 possible lengths.
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
