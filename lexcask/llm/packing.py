@@ -18,8 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import core
-from .tokens import ByteBpe, byte_bpe_path
+from . import core, tokens
 
 CAPACITY = 1024
 #: Classes go down to pieces of so many tokens.
@@ -94,7 +93,7 @@ def _pack(path: str, eos: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, end = ByteBpe(path), eos.to_bytes(4, "little")
+        coder, end = tokens.coder(path), eos.to_bytes(4, "little")
         bins = Bins(TaskContext.get().partitionId() << 33, capacity)
 
         def table(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -134,7 +133,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     if capacity < SMALLEST or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two, at least 16")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    out = rows.mapInArrow(_pack(tokenizer or byte_bpe_path(), eos, capacity, with_ids), SCHEMA.format(dict(rows.dtypes)["id"]))
+    out = rows.mapInArrow(_pack(tokenizer or tokens.byte_bpe_path(), eos, capacity, with_ids), SCHEMA.format(dict(rows.dtypes)["id"]))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -201,12 +201,22 @@ class Encoder:
         return places[np.cumsum(size)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, which remembers words from one task to the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 SCHEMA = "id {}, ids array<int>, ends array<int>, decoded string"
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = encoder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)

@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import core
-from .tokens import ByteBpe, byte_bpe_path
+from . import core, tokens
 
 #: Lengths are summed in blocks of so many first, so no window holds them all.
 BLOCK = 4096
@@ -24,7 +23,7 @@ BLOCK = 4096
 
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBpe(path)
+        coder = tokens.coder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.column(0).slice(lo, 1024).to_pylist()
@@ -35,7 +34,7 @@ def _lengths(path: str):
 
 def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """n_tokens of each document; a null text has none."""
-    return docs.select(docs[text_col].alias("text")).mapInArrow(_lengths(tokenizer or byte_bpe_path()), "n_tokens long")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(_lengths(tokenizer or tokens.byte_bpe_path()), "n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

@@ -70,6 +70,16 @@ class ByteBpe:
         return out
 
 
+_CODERS: dict[str, ByteBpe] = {}
+
+
+def coder(path: str) -> ByteBpe:
+    """This worker's coder, which remembers pieces from one task to the next."""
+    if path not in _CODERS:
+        _CODERS[path] = ByteBpe(path)
+    return _CODERS[path]
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 
