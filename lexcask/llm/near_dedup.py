@@ -5,12 +5,13 @@ the least and the greatest value are kept, so 110 hash evaluations give 220
 signature values, and runs of five of them are bands.  Documents of equal sets
 are one class from then on.
 
-Links are found in three linear steps.  (1) In every bucket, members link to a
-leader of a compatible size, and these stars are confirmed on the full sets.
-(2) Components are formed of the confirmed links.  (3) Members of one bucket that
-are in different components by now are compared by signature, in blocks; those
-whose estimate is within five deviations of the threshold are confirmed too, and
-components are formed again.  So a group of thousands of copies costs its size,
+Links are found in steps.  (1) In every bucket, members link to a leader of a
+compatible size, and these stars are confirmed on the full sets.  (2) Components
+are formed of the confirmed links.  (3) Members of one bucket that are in
+different components by now are compared by signature, in blocks; each one's best
+partner is confirmed, and components are formed again.  (4) At last every such
+pair whose estimate is within five deviations of the threshold is confirmed, if it
+was not yet.  So a group of thousands of copies costs its size,
 not its square, and a link between different texts is lost only if all 44 bands
 miss (less than 1 in 100,000 at a similarity of 0.75, far less above) or the
 estimate errs by five deviations.
@@ -32,6 +33,8 @@ PERMUTATIONS = 110
 ROWS = 5
 SHINGLE = 5
 THRESHOLD = 75
+#: Rounds in which members of a bucket propose their best partner only.
+BEST_ROUNDS = 2
 #: Rows of a bucket that are compared at a time.
 BLOCK = 512
 #: Members of a star whose sets one task compares with the leader's.
@@ -208,7 +211,8 @@ def _split(t: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.binary()), "side": pa.array(side, pa.int32()), "v": pa.array(v[at], pa.int64()), "label": pa.array(label[at], pa.int64())})
 
 
-def _likely(threshold: int, values: int):
+def _likely(threshold: int, values: int, best: bool):
+    """Pairs of different components whose estimate is high enough; with ``best``, one for each member and block at most."""
     p = threshold / 100
     least = values * p - 5 * (values * p * (1 - p)) ** 0.5
 
@@ -219,7 +223,8 @@ def _likely(threshold: int, values: int):
             ok = (ly[at] != lx[i]) & _fits(ny[at], nx[i], threshold)
             if ok.any():
                 k = np.flatnonzero(ok)
-                k = k[(sy[at][k] == sx[i]).sum(1) >= least]
+                agree = (sy[at][k] == sx[i]).sum(1)
+                k = k[agree >= least][agree[agree >= least].argmax()][None] if best and (agree >= least).any() else k[agree >= least]
                 b.append(vy[at][k])
                 a.append(np.full(len(k), vx[i]))
 
@@ -320,19 +325,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = core.checkpoint(dealt(classes.withColumn("label", F.lit(0).cast("long"))).applyInArrow(_stars(threshold), "a long, b long").distinct())
     wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = core.checkpoint(rows_in.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "v long, shingles binary").distinct())
-    links = confirmed(stars, sets, threshold)
-    found = components(links)
-    labelled = classes.join(found, classes["v"] == found["vertex"], "left").select("v", "n", "sig", F.coalesce("component", "v").alias("label"))
-    # Buckets that still hold members of several components.
-    split = dealt(labelled).applyInArrow(_split, "block binary, side int, v long, label long")
+    found = components(confirmed(stars, sets, threshold))
     sized = classes.select("v", "n", "sig")
-    blocks = split.join(sized, "v").withColumn("home", F.pmod(F.xxhash64("block"), F.lit(8 * n_parts)))
-    likely = blocks.groupBy("home").applyInArrow(_likely(threshold, 2 * permutations), "a long, b long").distinct()
-    rest = core.checkpoint(likely.join(stars, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = confirmed(rest, sets, threshold)
-        # One more row for each vertex says what it belongs to already.
-        found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more))
+    tested = stars
+    for best in (*[True] * BEST_ROUNDS, False):
+        labelled = classes.join(found, classes["v"] == found["vertex"], "left").select("v", "n", "sig", F.coalesce("component", "v").alias("label"))
+        # Buckets that still hold members of several components.
+        split = dealt(labelled).applyInArrow(_split, "block binary, side int, v long, label long")
+        blocks = split.join(sized, "v").withColumn("home", F.pmod(F.xxhash64("block"), F.lit(8 * n_parts)))
+        likely = blocks.groupBy("home").applyInArrow(_likely(threshold, 2 * permutations, best), "a long, b long").distinct()
+        rest = core.checkpoint(likely.join(tested, ["a", "b"], "left_anti"))
+        if not rest.limit(1).count():
+            continue
+        tested = tested.unionByName(rest)
+        more = core.checkpoint(confirmed(rest, sets, threshold))
+        if more.limit(1).count():
+            # One more row for each vertex says what it belongs to already.
+            found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more))
     named = classes.join(found, classes["v"] == found["vertex"], "left").select("digest", F.coalesce("component", "v").alias("component_id"))
     out = feats.select("id", "n", "digest").join(named, "digest", "left")
     # A document without words is its own component.
