@@ -152,7 +152,6 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     n = len(raw)
     if not len(start):
         return np.zeros(0, np.uint64)
-    acc = np.zeros(n + 1, np.uint64)
     # In blocks, with powers that start anew in each; words that cross a block's end are hashed apart.
     out = np.empty(len(start), np.uint64)
     size = BLOCK
@@ -168,7 +167,6 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         s, e = start[lo:hi] - at, np.minimum(end[lo:hi] - at, len(part))
         out[lo:hi] = (sums[e] - sums[s]) * q[s]
         lo = hi
-    del acc
     out += (end - start).astype(np.uint64) * _C1
     out = mix(out)
     for i in np.flatnonzero((end - start > 64) | crossing):
