@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hamming_search, near_dedup, packing, path_dedup, pieces, quality, secret_scan, suffix_dedup, token_counts, url_trust
+from . import hamming_search, near_dedup, packing, path_dedup, pieces, quality, secret_scan, sql, suffix_dedup, token_counts, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.op1,
@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_url_trust": url_trust.verdict_sql(),
+    "op2_path_dedup": sql.PATH_DEDUP,
     "op6_quality_rules": quality.kept_sql(),
+    "op8_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op9_near_dedup": sql.NEAR_DEDUP,
 }
