@@ -8,10 +8,10 @@ are one class from then on.
 Links are found in steps.  (1) In every bucket, members link to a leader of a
 compatible size, and these stars are confirmed on the full sets.  (2) Components
 are formed of the confirmed links.  (3) Members of one bucket that are in
-different components by now are compared by signature, in blocks; each one's best
-partner is confirmed, and components are formed again.  (4) At last every such
-pair whose estimate is within five deviations of the threshold is confirmed, if it
-was not yet.  So a group of thousands of copies costs its size,
+different components by now meet in blocks, with their sets: each pair, in the
+first band it shares, is estimated by signature and, if within five deviations of
+the threshold, decided on the full sets.  Only links go on, and components are
+formed again.  So a group of thousands of copies costs its size,
 not its square, and a link between different texts is lost only if all 44 bands
 miss (less than 1 in 100,000 at a similarity of 0.75, far less above) or the
 estimate errs by five deviations.
@@ -33,8 +33,6 @@ PERMUTATIONS = 110
 ROWS = 5
 SHINGLE = 5
 THRESHOLD = 75
-#: Rounds in which members of a bucket propose their best partner only.
-BEST_ROUNDS = 2
 #: Rows of a bucket that are compared at a time.
 BLOCK = 512
 #: Members of a star whose sets one task compares with the leader's.
@@ -119,7 +117,7 @@ def _features(width: int, permutations: int):
 
 
 def _deal(n_parts: int, rows: int):
-    """Packed (band, vertex, size, label) for each part of the bands."""
+    """Packed (band, vertex, size) for each part of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,30 +129,37 @@ def _deal(n_parts: int, rows: int):
                 h = bands(sig, rows)
                 k = h.shape[1]
                 h = h.ravel()
-                v, n, label = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), k) for c in ("v", "n", "label"))
+                v, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), k) for c in ("v", "n"))
                 order = np.argsort(h, kind="stable")
-                h, v, n, label = h[order], v[order], n[order], label[order]
+                h, v, n = h[order], v[order], n[order]
                 cut = core.slices(h, n_parts)
                 full = [(p, slice(lo, hi)) for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if hi > lo]
-                blobs = [h[s].tobytes() + v[s].astype("<i8").tobytes() + label[s].astype("<i8").tobytes() + n[s].astype("<u4").tobytes() for _, s in full]
+                blobs = [h[s].tobytes() + v[s].astype("<i8").tobytes() + n[s].astype("<u4").tobytes() for _, s in full]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in full], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
 
 
-def _entries(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """All (band, vertex, label, size) of a part whose band has two members or more, by band and vertex."""
-    cols: list[list[np.ndarray]] = [[], [], [], []]
+def _shared(t: pa.Table) -> pa.Table:
+    """The entries (band, vertex, size) of a part whose band has two members or more."""
+    cols: list[list[np.ndarray]] = [[], [], []]
     for b in t["blob"].to_pylist():
-        n = len(b) // 28
-        for c, dt, at in zip(cols, ("<u8", "<i8", "<i8", "<u4"), (0, 8 * n, 16 * n, 24 * n)):
+        n = len(b) // 20
+        for c, dt, at in zip(cols, ("<u8", "<i8", "<u4"), (0, 8 * n, 16 * n)):
             c.append(np.frombuffer(b, dt, n, at))
-    h, v, label, size = (np.concatenate(c) for c in cols)
-    order = np.lexsort((v, h))
-    h, v, label, size = h[order], v[order], label[order], size[order].astype(np.int64)
+    h, v, size = (np.concatenate(c) for c in cols)
+    order = np.argsort(h, kind="stable")
+    h, v, size = h[order], v[order], size[order]
     same = h[1:] == h[:-1]
     many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return h[many], v[many], label[many], size[many]
+    return pa.table({"band": pa.array(h[many].view(np.int64), pa.int64()), "v": pa.array(v[many], pa.int64()), "n": pa.array(size[many].astype(np.int64), pa.int64())})
+
+
+def _sorted(t: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Columns of a part's entries, by band and vertex."""
+    cols = [t[c].to_numpy() for c in ("band", "v", *columns)]
+    order = np.lexsort((cols[1], cols[0]))
+    return [c[order] for c in cols]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
@@ -175,7 +180,7 @@ def _fits(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
 
 def _stars(threshold: int):
     def run(t: pa.Table) -> pa.Table:
-        h, v, _, size = _entries(t)
+        h, v, size = _sorted(t, "n")
         a, b = [], []
         while len(h):
             new = np.concatenate([[True], h[1:] != h[:-1]])
@@ -191,7 +196,7 @@ def _stars(threshold: int):
 
 def _split(t: pa.Table) -> pa.Table:
     """Members of buckets that still hold several components, dealt to pairs of blocks."""
-    h, v, label, _ = _entries(t)
+    h, v, label = _sorted(t, "label")
     if not len(h):
         return pa.table({"block": pa.array([], pa.binary()), "side": pa.array([], pa.int32()), "v": pa.array([], pa.int64()), "label": pa.array([], pa.int64())})
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -211,41 +216,54 @@ def _split(t: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.binary()), "side": pa.array(side, pa.int32()), "v": pa.array(v[at], pa.int64()), "label": pa.array(label[at], pa.int64())})
 
 
-def _likely(threshold: int, values: int, best: bool):
-    """Pairs of different components whose estimate is high enough; with ``best``, one for each member and block at most."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted sets share."""
+    at = np.searchsorted(x, y)
+    return int((x[np.minimum(at, len(x) - 1)] == y).sum())
+
+
+def _between(threshold: int, values: int, rows: int):
+    """Links between members of different components, pair by pair within each block; only confirmed ones go on.
+
+    A pair is looked at in the first band it shares, if its estimate is within
+    five deviations of the threshold, and decided on the full sets.
+    """
     p = threshold / 100
     least = values * p - 5 * (values * p * (1 - p)) ** 0.5
 
-    def compare(x: tuple, y: tuple, same: bool, a: list, b: list) -> None:
-        (vx, lx, nx, sx), (vy, ly, ny, sy) = x, y
+    def compare(band: np.int64, x: tuple, y: tuple, same: bool, a: list, b: list) -> None:
+        (vx, lx, nx, sx, hx, fx), (vy, ly, ny, sy, hy, fy) = x, y
         for i in range(len(vx)):
-            at = slice(i + 1, None) if same else slice(None)
-            ok = (ly[at] != lx[i]) & _fits(ny[at], nx[i], threshold)
-            if ok.any():
-                k = np.flatnonzero(ok)
-                agree = (sy[at][k] == sx[i]).sum(1)
-                k = k[agree >= least][agree[agree >= least].argmax()][None] if best and (agree >= least).any() else k[agree >= least]
-                b.append(vy[at][k])
-                a.append(np.full(len(k), vx[i]))
+            first = i + 1 if same else 0
+            k = np.flatnonzero((ly[first:] != lx[i]) & _fits(ny[first:], nx[i], threshold)) + first
+            k = k[(sy[k] == sx[i]).sum(1) >= least]
+            equal = hy[k] == hx[i]
+            k = k[hx[i][equal.argmax(1)].view(np.int64) == band]
+            for m in k.tolist():
+                both = _common(fx[i], fy[m])
+                if both * 100 >= (len(fx[i]) + len(fy[m]) - both) * threshold:
+                    a.append(vx[i])
+                    b.append(vy[m])
 
     def run(t: pa.Table) -> pa.Table:
-        a: list = [np.zeros(0, np.int64)]
-        b: list = [np.zeros(0, np.int64)]
+        a: list = []
+        b: list = []
         t = t.sort_by([("block", "ascending"), ("side", "ascending"), ("v", "ascending")])
         blocks, side = t["block"].to_pylist(), t["side"].to_numpy()
-        v, label, n = t["v"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(v), -1)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(blocks), -1)
+        full = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        cols = (t["v"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy(), sig, bands(sig, rows))
         lo = 0
-        while lo < len(v):
+        while lo < len(blocks):
             hi = lo
-            while hi < len(v) and blocks[hi] == blocks[lo]:
+            while hi < len(blocks) and blocks[hi] == blocks[lo]:
                 hi += 1
             mid = lo + int(np.searchsorted(side[lo:hi], 1))
-            x = tuple(c[lo:mid] for c in (v, label, n, sig))
+            x = (*(c[lo:mid] for c in cols), full[lo:mid])
             same = blocks[lo][8:10] == blocks[lo][10:12]
-            compare(x, x if same else tuple(c[mid:hi] for c in (v, label, n, sig)), same, a, b)
+            compare(np.frombuffer(blocks[lo], np.int64, 1)[0], x, x if same else (*(c[mid:hi] for c in cols), full[mid:hi]), same, a, b)
             lo = hi
-        return _pairs(np.concatenate(a), np.concatenate(b))
+        return _pairs(np.array(a, np.int64), np.array(b, np.int64))
 
     return run
 
@@ -269,8 +287,7 @@ def _confirm(threshold: int):
         for b, blob in zip(right["b"].to_pylist(), right["shingles"].to_pylist()):
             y = np.frombuffer(blob, np.uint64)
             for x in leaders:
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                both = _common(x, y)
                 if both * 100 >= (len(x) + len(y) - both) * threshold:
                     yes.append(b)
                     break
@@ -319,29 +336,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = core.checkpoint(classes)
     n_parts = max(core.partitions(spark), classes.count() * (2 * permutations // rows) // 500_000)
 
-    def dealt(labelled: DataFrame) -> DataFrame:
-        return labelled.select("v", "n", "label", "sig").mapInArrow(_deal(n_parts, rows), "part int, blob binary").groupBy("part")
-
-    stars = core.checkpoint(dealt(classes.withColumn("label", F.lit(0).cast("long"))).applyInArrow(_stars(threshold), "a long, b long").distinct())
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    dealt = classes.select("v", "n", "sig").mapInArrow(_deal(n_parts, rows), "part int, blob binary").groupBy("part")
+    # From here on only the entries of bands that several members share, and their signatures.
+    entries = core.checkpoint(dealt.applyInArrow(_shared, "band long, v long, n long"))
+    part = F.pmod(F.xxhash64("band"), F.lit(n_parts)).alias("part")
+    stars = core.checkpoint(entries.select("*", part).groupBy("part").applyInArrow(_stars(threshold), "a long, b long").distinct())
+    signed = core.checkpoint(classes.join(entries.select("v").distinct(), "v", "left_semi").select("v", "n", "sig"))
+    wanted = signed.select(F.col("v").alias("id"))
     sets = core.checkpoint(rows_in.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "v long, shingles binary").distinct())
     found = components(confirmed(stars, sets, threshold))
-    sized = classes.select("v", "n", "sig")
-    tested = stars
-    for best in (*[True] * BEST_ROUNDS, False):
-        labelled = classes.join(found, classes["v"] == found["vertex"], "left").select("v", "n", "sig", F.coalesce("component", "v").alias("label"))
-        # Buckets that still hold members of several components.
-        split = dealt(labelled).applyInArrow(_split, "block binary, side int, v long, label long")
-        blocks = split.join(sized, "v").withColumn("home", F.pmod(F.xxhash64("block"), F.lit(8 * n_parts)))
-        likely = blocks.groupBy("home").applyInArrow(_likely(threshold, 2 * permutations, best), "a long, b long").distinct()
-        rest = core.checkpoint(likely.join(tested, ["a", "b"], "left_anti"))
-        if not rest.limit(1).count():
-            continue
-        tested = tested.unionByName(rest)
-        more = core.checkpoint(confirmed(rest, sets, threshold))
-        if more.limit(1).count():
-            # One more row for each vertex says what it belongs to already.
-            found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more))
+    labelled = entries.join(found, entries["v"] == found["vertex"], "left").select("band", "v", F.coalesce("component", "v").alias("label"), part)
+    # Bands that still hold members of several components.
+    split = labelled.groupBy("part").applyInArrow(_split, "block binary, side int, v long, label long")
+    blocks = split.join(signed, "v").join(sets, "v").withColumn("home", F.pmod(F.xxhash64("block"), F.lit(8 * n_parts)))
+    more = core.checkpoint(blocks.groupBy("home").applyInArrow(_between(threshold, 2 * permutations, rows), "a long, b long"))
+    if more.limit(1).count():
+        # One more row for each vertex says what it belongs to already.
+        found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more))
     named = classes.join(found, classes["v"] == found["vertex"], "left").select("digest", F.coalesce("component", "v").alias("component_id"))
     out = feats.select("id", "n", "digest").join(named, "digest", "left")
     # A document without words is its own component.
