@@ -1,7 +1,7 @@
 """Secret scanning: wide candidates, then a random forest that removes false positives.
 
-Any long run of key-like characters that holds a digit is a candidate.  The forest
-sees its length, how its characters change from class to class, how much of it
+Every long run of key-like characters is a candidate, wherever it stands in a word,
+and so is a short one after an assignment or a key word.  The forest sees its length, how its characters change from class to class, how much of it
 dictionary words cover, the path it was found under and the words around it.  It
 is trained by Spark's own learner on labelled findings (a bounded table), and its
 trees compile into one column expression, so scanning is a projection: no join,
@@ -19,18 +19,30 @@ from pyspark.sql import functions as F
 from . import core
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: A candidate: key-like characters, at the end of a word or before closing marks.
-VALUE = r"([A-Za-z0-9+/_\-]{16,}={0,2})[\"'`)\]},.;:]*(?:[#*$%&!?]*)$"
 #: Words that name a secret, and words that name something else.
 KEYS = "password|passwd|pwd|secret|token|apikey|api_key|api-key|auth|credential|private"
 OTHERS = "commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|guid|card|iban|order|invoice|build|version|rev|etag|isbn|serial"
+#: A candidate anywhere in a word; after an assignment, a shorter one; after a key word's assignment, anything up to a mark that ends values.
+LONG = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+SHORT = r"[A-Za-z0-9][A-Za-z0-9+/_\-]{3,}={0,2}"
+KEYED = r"[^\x20\x09-\x0D\"'`<>|&,;(){}\[\]=:]{3,}[A-Za-z0-9+/_\-]={0,2}"
+_IN_WORD = rf"(?<=[=:>][\"'`]{{0,2}})(?<=(?i:{KEYS})[A-Za-z0-9_\-]{{0,20}}[\"'`]{{0,2}}[=:>]{{1,2}}[\"'`]{{0,2}}){KEYED}|{LONG}|(?<=[=:][\"'`]{{0,2}}){SHORT}"
+_FIRST = r"(?<=^[\"'`(]{0,3})"
+#: Ends of the words before that make a word's first run a value.
+KEY_BEFORE = rf"(?i:{KEYS})[A-Za-z0-9_\-]{{0,20}}[\"'`]{{0,2}} ?([=:]{{1,2}}>?)?$"
+ASSIGNED_BEFORE = r"[=:]>?$"
+#: What a word, or the word before it, must hold to be looked into.
+_HOT = r"[A-Za-z0-9+/_\-]{16}|[=:>][\"'`]{0,2}[^\"'`]{4}"
+_HOT_BEFORE = rf"{ASSIGNED_BEFORE}|(?i:{KEYS})[A-Za-z0-9_\-]{{0,20}}[\"'`]{{0,2}}$"
+#: What stands before a short value, which is masked nowhere else.
+_LEAD = rf"((?:[=:>]|(?i:{KEYS})[A-Za-z0-9_\-]{{0,20}})[\"'`]{{0,2}}[\x20\x09-\x0D]*[\"'`(]{{0,3}})"
 #: Parts of words that are common in identifiers and prose.
 DICTIONARY = (
     "the and for that with this from have not you are was all can has one our out get set new old key val map list item name user data file path test type time date code page site link text "
     "view form node tree hash table index count value state model class field query event error index main config server client service manager handler factory builder request response message "
     "example sample demo dummy placeholder changeme document content header footer image video audio button window object string number array result report update create delete insert select"
 ).split()
-FEATURES = ("length", "digits", "uppers", "lowers", "changes", "distinct", "hex", "only_digits", "dictionary", "key_near", "other_near", "assigned", "test_path")
+FEATURES = ("length", "digits", "uppers", "lowers", "changes", "distinct", "hex", "only_digits", "dictionary", "key_near", "other_near", "assigned", "key_assigned", "test_path")
 TREES, DEPTH, SEED = 15, 6, 11
 #: Labelled findings that are made where none are given, and read at most.
 FINDINGS = 4000
@@ -41,9 +53,11 @@ def _share(value: Column, kind: str) -> Column:
 
 
 def features(value: Column, before: Column, word: Column, after: Column, path: Column) -> Column:
-    """A struct of numbers; before holds the two words before, word the one the value stands in."""
+    """A struct of numbers; before holds the two words before, word the one the value stands in, or the part since the last value in it."""
     near = F.lower(F.concat_ws(" ", before, F.replace(word, value, F.lit(" ")), after))
     low = F.lower(value)
+    # Up to the last place the value stands at.
+    lead = F.concat(before, F.lit(" "), F.left(word, F.length(word) - F.length(value) - F.length(F.call_function("substring_index", word, value, F.lit(-1)))))
     covered = 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / F.greatest(F.length(low), F.lit(1))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     columns = (
@@ -58,7 +72,8 @@ def features(value: Column, before: Column, word: Column, after: Column, path: C
         covered,
         flag(near.rlike(f"(^|[^a-z])({KEYS})([^a-z]|$)")),
         flag(near.rlike(f"(^|[^a-z0-9])({OTHERS})([^a-z0-9]|$)")),
-        flag(F.concat(before, F.lit(" "), word).rlike("[=:] *[\"'`]?" + "[A-Za-z0-9+/_\\-]{16,}={0,2}[^A-Za-z0-9]*$")),
+        flag(lead.rlike("[=:]>? *[\"'`(]{0,3}$")),
+        flag(lead.rlike(rf"(?i:{KEYS})[A-Za-z0-9_\-]{{0,20}}[\"'`]{{0,2}} *[=:>]{{1,2}} *[\"'`(]{{0,3}}$")),
         flag(F.lower(path).rlike("(^|[/_.-])(test|tests|spec|fixture|fixtures|example|examples|doc|docs|mock)([/_.-]|$)")),
     )
     return F.struct(*[c.cast("double").alias(n) for c, n in zip(columns, FEATURES)])
@@ -79,6 +94,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     words = pick(3, ["getUserNameFromTable", "test_file_path_config", "index-page-example", "dataServiceManagerFactory", "sample_value_placeholder", "event_handler_request"])
     uuid = F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
     digits = F.substring(F.concat(F.translate(h, "abcdef", "123456"), h), 1, 16)
+    letters = F.translate(F.regexp_replace(b64, "[+/]", "k"), "0123456789", "ghJkmNpqRs")
+    mixed = F.regexp_replace(b64, "[+/]", "7")
+    some = lambda c, least, k: F.substr(c, F.lit(3), (r(k, 8) + least).cast("int"))
+    part = lambda k: pick(k, ["on", "tes", "ver", "al", "schaft", "ment", "en", "ique", "reth", "ado", "ing", "st", "ura", "ber"])
+    prose = F.concat(part(20), part(21), part(22))
+    long_prose = F.concat(prose, pick(23, ["-", "", "_", ""]), part(24), part(25), part(26), F.lit("ation"), part(27))
+    long_prose = F.when(r(39, 4) == 0, F.upper(long_prose)).when(r(39, 4) == 1, F.initcap(long_prose)).otherwise(long_prose)
+    small = pick(28, ["from", "which", "that", "wird", "pour", "value", "there", "when", "ring", "with", "este", "para"])
+    stands = pick(29, ["string", "example", "placeholder", "changeme", "value", "request.token", "user_name", "getUserName", "default", "config.value", "example_value", "user.name", "sample"])
+    field = pick(30, ["region", "user", "name", "lang", "host", "type", "page", "title"])
+    named = pick(31, ["us-east-1", "bobby", "alice", "localhost", "eu-west-2", "html5", "page-12", "admin", "index", "en-US1", "https", "10203"])
     path = pick(4, ["src/app/main.py", "conf/prod.env", "web/site", "tests/unit/data.txt", "docs/example.md", "", "blog", "src7", "src0", "src12"])
     # (value, what precedes it, its word, label)
     kinds = [
@@ -98,9 +124,31 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
         (F.concat(words, r(6, 99).cast("string")), plain(5), "{}", 0),
         (F.concat(words, F.lit("_"), r(6, 9999).cast("string")), F.lit("value ="), '"{}"', 0),
         (F.concat(F.lit("/"), F.translate(words, "_", "/"), F.lit("/"), r(6, 9999).cast("string")), plain(5), "{}", 0),
+        (some(mixed, 6, 32), F.concat(key, F.lit(" =")), '"{}"', 1),
+        (some(mixed, 4, 32), plain(5), "password={}", 1),
+        (F.concat(F.lit("q8"), some(mixed, 4, 32)), F.concat(F.lit("x "), F.lower(key)), "{}", 1),
+        (F.concat(some(letters, 3, 32), F.lit("@"), F.substring(h, 1, 4)), plain(5), "pwd={}", 1),
+        (F.lower(some(letters, 6, 32)), F.concat(key, F.lit(":")), "{}", 1),
+        (F.substring(letters, 1, 32), F.concat(key, F.lit(" =")), "'{}'", 1),
+        (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), plain(5), pick(33, ['{"api_key":"', "<key>", "a=", ",b=", '","id":"', "(", "|"]), 1),
+        (F.substring(h, 1, 40), plain(5), pick(34, ['{"token":"', "https://h/cb?token=", '","secret":"', "&auth=", "<password>"]), 1),
+        (F.concat(F.lit("eyJ"), F.substring(mixed, 1, 34)), plain(5), pick(35, ["", ".", "token=", "("]), 1),
+        (F.substring(mixed, 2, 43), F.concat(F.lit("eyJ"), F.substring(mixed, 9, 30)), ".{}", 1),
+        (long_prose, plain(5), "{}", 0),
+        (long_prose, pick(36, ["note:", "und", "=", "la"]), pick(37, ["", "(", "x/", '"']), 0),
+        (small, F.concat(F.lit("the "), F.lower(key)), "{}", 0),
+        (prose, F.concat(F.lit("the "), F.lower(key)), "{}", 0),
+        (stands, F.concat(key, F.lit(" =")), '"{}"', 0),
+        (named, F.concat(F.lit('{"'), F.lower(key), F.lit('":"'), F.substring(h, 1, 20)), F.concat(F.lit('","'), field, F.lit('":"')), 0),
+        (named, plain(5), F.concat(field, F.lit("=")), 0),
+        (prose, pick(38, ["note:", "nota:", "x =", "siehe:"]), "{}", 0),
+        (F.concat(F.lit("/"), prose, F.lit("/"), r(6, 9999).cast("string"), F.lit("/"), small, F.lit("-"), part(27)), plain(5), "https://www.example.com", 0),
+        (F.concat(prose, F.lit("-"), small, F.lit("-"), prose), plain(5), "{}", 0),
     ]
+    # A word of a kind is a form for the value, or what stands before it.
+    formed = lambda k: F.concat(k[2], k[0]) if isinstance(k[2], Column) else F.format_string(k[2].replace("{}", "%s"), k[0]) if "{}" in k[2] else F.concat(F.lit(k[2]), k[0])
     row = reduce(
-        lambda out, k: F.when(F.pmod(i, F.lit(len(kinds))) == k[0], F.struct(k[1][0].alias("value"), k[1][1].alias("lead"), F.format_string(k[1][2].replace("{}", "%s"), k[1][0]).alias("word"), F.lit(k[1][3]).alias("label"))).otherwise(out),
+        lambda out, k: F.when(F.pmod(i, F.lit(len(kinds))) == k[0], F.struct(k[1][0].alias("value"), k[1][1].alias("lead"), formed(k[1]).alias("word"), F.lit(k[1][3]).alias("label"))).otherwise(out),
         enumerate(kinds),
         F.lit(None),
     )
@@ -164,25 +212,35 @@ def forest(spark: SparkSession) -> Forest:
 def findings(text: Column, path: Column, model: Forest) -> Column:
     """An array of (place, value, votes) of every candidate in a text, places being words from 0."""
 
-    def found(words: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (F.length(F.get(words, i)) >= 16) & F.get(words, i).rlike("[0-9]") & F.get(words, i).rlike(VALUE))
-        gap = F.lit("")
-        near = F.transform(
-            F.when(F.size(words) > 0, places).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(
+    def runs(i: Column, words: Column) -> Column:
+        """Every run of one word: what stands between the last one and it, and itself."""
+        word = F.get(words, i)
+        before = F.concat_ws(" ", F.when(i > 1, F.get(words, F.greatest(i - 2, F.lit(0)))), F.when(i > 0, F.get(words, F.greatest(i - 1, F.lit(0)))))
+        each = lambda p: F.arrays_zip(F.regexp_extract_all(word, F.lit(f"(?s)(.*?)({p})"), F.lit(0)).alias("part"), F.regexp_extract_all(word, F.lit(f"(?s)(.*?)({p})"), F.lit(2)).alias("value"))
+        parts = F.when(before.rlike(KEY_BEFORE), each(f"{_FIRST}{KEYED}|{_IN_WORD}")).when(before.rlike(ASSIGNED_BEFORE), each(f"{_IN_WORD}|{_FIRST}{SHORT}")).otherwise(each(_IN_WORD))
+        next_word = F.coalesce(F.get(words, i + 1), F.lit(""))
+        with_context = lambda all_: F.transform(
+            all_,
+            lambda p, k: F.struct(
                 i.cast("long").alias("place"),
-                F.regexp_extract(F.get(words, i), VALUE, 1).alias("value"),
-                F.concat_ws(" ", F.when(i > 1, F.get(words, F.greatest(i - 2, F.lit(0)))).otherwise(gap), F.when(i > 0, F.get(words, F.greatest(i - 1, F.lit(0)))).otherwise(gap)).alias("before"),
-                F.get(words, i).alias("word"),
-                F.coalesce(F.get(words, i + 1), gap).alias("after"),
+                p["value"].alias("value"),
+                F.when(k > 0, F.get(all_, F.greatest(k - 1, F.lit(0)))["part"]).otherwise(before).alias("before"),
+                p["part"].alias("word"),
+                F.coalesce(F.get(all_, k + 1)["part"], next_word).alias("after"),
             ),
         )
-        seen = F.transform(F.filter(near, lambda c: c["value"].rlike("[0-9]")), lambda c: F.struct(c.alias("c"), features(c["value"], c["before"], c["word"], c["after"], path).alias("f")))
+        return F.flatten(F.transform(F.array(parts), with_context))
+
+    def found(words: Column) -> Column:
+        hot = lambda i: F.get(words, i).rlike(_HOT) | F.when(i > 0, F.get(words, F.greatest(i - 1, F.lit(0))).rlike(_HOT_BEFORE)).otherwise(False)
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), hot)
+        near = F.flatten(F.transform(F.when(F.size(words) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: runs(i, words)))
+        seen = F.transform(F.filter(near, lambda c: c["value"].rlike("[A-Za-z0-9]")), lambda c: F.struct(c.alias("c"), features(c["value"], c["before"], c["word"], c["after"], path).alias("f")))
         return F.transform(seen, lambda s: F.struct(s["c"]["place"].alias("place"), s["c"]["value"].alias("value"), F.round(model.votes(s["f"]), 6).alias("votes")))
 
     empty = F.array().cast("array<struct<place: bigint, value: string, votes: double>>")
-    # Most texts have no such run of characters and go no further.
-    return F.when(text.rlike(r"[A-Za-z0-9+/_\-]{16}"), F.transform(F.array(F.split(text, SPACE)), found)[0]).otherwise(empty)
+    # Texts without a long run, an assignment or a key word go no further.
+    return F.when(text.rlike(rf"[A-Za-z0-9+/_\-]{{16}}|[=:>]|(?i:{KEYS})"), F.transform(F.array(F.split(text, SPACE)), found)[0]).otherwise(empty)
 
 
 def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", model: Forest | None = None, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
@@ -191,7 +249,8 @@ def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = "source
 
     Nulls: a null text has no candidates and stays null; a null path counts as
     empty.  Input columns of these names are replaced.  Repeated rows are scanned
-    each, and so is a value that occurs twice in a text.
+    each, and so is a value that occurs twice in a text.  A value of 16 characters or
+    more is masked wherever it occurs, a shorter one after an assignment or key word.
     """
     model = model or forest(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
@@ -199,7 +258,10 @@ def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = "source
     out = out.withColumn("secrets", F.filter("candidates", lambda c: c["votes"] >= threshold))
     # Longer values first, so none is replaced as a part of another.
     values = F.transform(F.array_sort(F.transform("secrets", lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("v")))), lambda s: s["v"])
-    return out.withColumn("masked", F.aggregate(values, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mask))))
+    put = mask.replace("\\", r"\\").replace("$", r"\$")
+    at = lambda v: F.concat(F.lit(_LEAD + r"\Q"), v, F.lit(r"\E(?![A-Za-z0-9+/_\-])"))
+    masked_in = lambda t, v: F.when(F.length(v) >= 16, F.replace(t, v, F.lit(mask))).otherwise(F.regexp_replace(t, at(v), F.lit("$1" + put)))
+    return out.withColumn("masked", F.aggregate(values, F.col(text_col), masked_in))
 
 
 def op4(spark, sf_dir):
