@@ -32,11 +32,11 @@ def _docs(spark, d):
 
 
 def _old_chunks(spark, d):
-    return frame(spark, d, "chunks").select("doc_id", "chunk_id", F.concat(F.lit("old "), F.substring("text", 1, 20)).alias("text"))
+    return frame(spark, d, "chunks").select("doc_id", "chunk_id", F.concat(F.lit("old "), "text").alias("text"))
 
 
 def _new_chunks(spark, d):
-    return frame(spark, d, "chunks").select("doc_id", "chunk_id", F.concat(F.lit("new "), F.substring("text", 1, 20)).alias("text"))
+    return frame(spark, d, "chunks").select("doc_id", "chunk_id", F.concat(F.lit("new "), "text").alias("text"))
 
 
 def upload_plan(spark, d):
