@@ -1,11 +1,13 @@
 """Adapters that derive the engine's record shapes from the driver's tables.
 
-Each is one SQL text in a dialect that Spark and DuckDB share.
+Each is one SQL text in a dialect that Spark and DuckDB share; those in BUILT are
+DataFrames over whole tables, and the queries read them in place of the SQL text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _EXT = "CASE {id} % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt' WHEN 3 THEN '.md' ELSE '.html' END"
 
@@ -39,10 +41,45 @@ FROM events""",
 TABLES = {"documents": "documents", "events": "events", "conversations": "conversations", "benchmark": "benchmark", "embeddings": "embeddings"}
 
 
+def _doc_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change of one document for each event: every document can be reached, small numbers change more often, so some stay as they are."""
+    events, documents = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    count = documents.agg((F.coalesce(F.max("doc_id"), F.lit(0)) + 1).alias("n"))
+    drawn = F.pmod(F.xxhash64("event_id"), F.lit(1 << 30)) / float(1 << 30)
+    number = F.floor(drawn * drawn * drawn * F.col("n")).cast("string")
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "noop").otherwise("upsert")
+    return events.crossJoin(F.broadcast(count)).select((F.col("event_id") + 1).alias("change_id"), F.concat(F.lit("raws/doc-"), number, F.lit(".txt")).alias("doc_id"), op.alias("op"))
+
+
+def _snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of each document with its whole text; every third comes again with another text, and malformed rows stand between."""
+    i = F.col("doc_id")
+    name = F.concat(F.lit("doc-"), i.cast("string"))
+
+    def row(content: Column) -> Column:
+        ids = F.struct(F.concat(F.lit(" raws/"), name, F.lit(".txt ")).alias("doc_id"))
+        return F.to_json(F.struct(F.concat(F.lit(" "), name, F.lit("_chunk_0001 ")).alias("id"), content.alias("page_content"), ids.alias("metadata")))
+
+    bad = (
+        F.when(i % 13 == 0, "{bad")
+        .when(i % 11 == 0, '{"id":"c","page_content":5,"metadata":{"doc_id":"d"}}')
+        .when(i % 7 == 0, '{"id":" ","page_content":"x","metadata":{"doc_id":"d"}}')
+        .when(i % 5 == 0, '{"id":"c","page_content":"x","metadata":{"doc_id":" "}}')
+    )
+    again = F.when(i % 3 == 0, row(F.concat(F.lit("again "), F.col("text"))))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(i, F.posexplode(F.array(bad, row(F.col("text")), again)).alias("k", "row"))
+    return rows.filter("row IS NOT NULL").select((i * 3 + F.col("k")).alias("row_no"), "row")
+
+
+BUILT = {"doc_changes": _doc_changes, "snapshot_rows": _snapshot_rows}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One adapter's rows."""
     import re
 
+    if name in BUILT:
+        return BUILT[name](spark, sf_dir)
     sql = SQL[name]
     source = re.search(r"FROM (\w+)\s*$", sql)[1]
     # The text holds braces of JSON, so the table's name is replaced, not formatted.

@@ -46,3 +46,18 @@ def test_delta_carries_whole_texts(spark, sf, documents):
     want = [chunk(r, "old ") for r in documents if indexed(r) and chunk(r, "")[0] not in net]
     want += [chunk(r, "new ") for r in documents if r.doc_id % 10 != 9 and net.get(chunk(r, "")[0]) == "upsert"]
     assert counted(QUERIES["apply_delta"](spark, sf).select("doc_id", "chunk_id", "text")) == counted_rows(want)
+
+
+def test_snapshot_holds_every_document(spark, sf, documents):
+    got = QUERIES["load_snapshot"](spark, sf).select("doc_id", "chunk_id", "page_content")
+    assert counted(got) == counted_rows(chunk(r, "" if r.doc_id % 3 else "again ") for r in documents)
+
+
+def test_changes_reach_documents_of_any_number(spark, tmp_path):
+    n = 2000
+    spark.range(n).selectExpr("id AS doc_id", "'t' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(10 * n).selectExpr("id AS event_id", "'click' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    numbers = {int(r.doc_id[9:-4]) for r in frame(spark, str(tmp_path), "doc_changes").collect()}
+    assert 0.8 * n < len(numbers) < n and max(numbers) >= n - 10 and min(numbers) == 0
+    # Numbers all over the range are changed, and some are left, for the base's rows to stay.
+    assert all(len([x for x in numbers if lo <= x < lo + 100]) > 60 for lo in range(0, n, 100))
