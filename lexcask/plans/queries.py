@@ -96,7 +96,8 @@ def delete_vectors(spark, d):
 
 def vector_topk(spark, d):
     rows = frame(spark, d, "vector_records")
-    asked = rows.filter(F.col("key").endswith("00")).select(F.col("key").alias("query_key"), F.col("embedding").alias("query"))
+    # The vector's id ends the key.
+    asked = rows.filter(F.regexp_extract("key", "_chunk_([0-9]+)$", 1).cast("long") % 100 == 0).select(F.col("key").alias("query_key"), F.col("embedding").alias("query"))
     return vectors.top_k(asked, rows.select("key", "embedding"))
 
 

@@ -61,3 +61,9 @@ def test_changes_reach_documents_of_any_number(spark, tmp_path):
     assert 0.8 * n < len(numbers) < n and max(numbers) >= n - 10 and min(numbers) == 0
     # Numbers all over the range are changed, and some are left, for the base's rows to stay.
     assert all(len([x for x in numbers if lo <= x < lo + 100]) > 60 for lo in range(0, n, 100))
+
+
+def test_every_hundredth_vector_is_asked(spark, sf):
+    ids = {f"doc-{r.label}_chunk_{r.vec_id}" for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 100 = 0").collect()}
+    got = QUERIES["vector_topk"](spark, sf).collect()
+    assert any(i.endswith("_chunk_0") for i in ids) and {r.query_key for r in got} == ids and len(got) == 5 * len(ids)
