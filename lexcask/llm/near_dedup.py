@@ -13,8 +13,9 @@ first band it shares, is estimated by signature and, if within five deviations o
 the threshold, decided on the full sets.  Only links go on, and components are
 formed again.  So a group of thousands of copies costs its size,
 not its square, and a link between different texts is lost only if all 44 bands
-miss (less than 1 in 100,000 at a similarity of 0.75, far less above) or the
-estimate errs by five deviations.
+miss (about 1 in 100,000 at a similarity of 0.75, far less above, but about 1 in
+10,000 for sets of 4 and 3 shingles, as the least and the greatest value of few
+depend on each other) or the estimate errs by five deviations.
 """
 
 from __future__ import annotations
