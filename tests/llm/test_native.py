@@ -174,18 +174,55 @@ def test_every_secret_of_the_corpus_is_masked(spark):
 
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (500, 3), np.uint8)
-    index = hamming_search.Index(codes)
-    for radius in (0, 4, 7, 12):
-        for q in rng.integers(0, 256, (20, 3), np.uint8):
-            apart = np.unpackbits(codes ^ q, axis=1).sum(1)
-            assert index.within(q, radius).tolist() == np.flatnonzero(apart <= radius).tolist()
+    x = rng.standard_normal((600, 24))
+    model = hamming_search.Model(x, 5, len(x))
+    z = model.coordinates(x)
+    codes, masks, grid = model.values(z), *hamming_search.flips(model.bits)
+    inside = 0
+    for q in range(0, 600, 40):
+        probed = model.probed(z[q])
+        # Each substring's probes are the values of least weighted distance.
+        cost = (z[q] * z[q]) @ grid.T
+        radius = np.sort(cost, axis=1)[:, model.probes - 1]
+        differ = ((codes ^ codes[q])[..., None] >> np.arange(model.bits)) & 1
+        whole = (differ * (z[q] * z[q])).sum((1, 2))
+        found = np.array([any(d in set(p.tolist()) for d, p in zip(row, probed)) for row in (codes ^ codes[q]).tolist()])
+        assert found[whole <= radius.sum() * (1 - 1e-9)].all()
+        inside += (whole <= radius.sum()).sum()
+    assert inside >= 15
+    assert len(masks) == len(set(masks.tolist()))
+
+
+def test_index_reaches_few_rows(spark):
+    """Clustered vectors: the probes reach all neighbours and a small part of the rows."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((100, 32))
+    x = centres[np.arange(3000) % 100] + 0.3 * rng.standard_normal((3000, 32))
+    rows = list(zip(range(3000), x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    classes, asked = hamming_search.classes_of(df, 5), df.filter("vec_id % 50 = 0")
+    got = hamming_search.candidates(classes, asked, hamming_search.Model(x, 5, 3000), 4)
+    assert got.agg(F.sum(F.size("found"))).first()[0] < 0.1 * 3000 * 60
+    want = exact(rows, 50, 5)
+    found = {(r.query_id, r.vec_id) for r in hamming_search.nearest(df).collect()}
+    assert sum((q, j) in found for q, near in want.items() for j, _ in near) >= 0.95 * 300
+
+
+def test_a_vector_that_a_third_of_all_rows_hold(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else rng.standard_normal(3).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert hamming_search.classes_of(df, 5).filter("size(members) > 1").select("members").collect() == [([0, 3, 6, 9, 12, 15],)]
+    got = collections.defaultdict(list)
+    for r in hamming_search.nearest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got[0] == [3, 6, 9, 12, 15] and got[150] == [0, 3, 6, 9, 12] and len(got) == 12
 
 
 def exact(rows, every, k):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    dim = collections.Counter(len(v) for _, v in good).most_common(1)[0][0]
-    good = [(i, v) for i, v in good if len(v) == dim]
+    dim = max(len(v) for _, v in good)
+    good = [(i, np.pad(v, (0, dim - len(v)))) for i, v in good]
     out = {}
     for i, q in good:
         if i % every == 0:
