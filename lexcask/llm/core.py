@@ -290,15 +290,27 @@ def repeat_flags(found: np.ndarray, n_buckets: int, replies: pa.Table) -> tuple[
 def checkpoint(df: DataFrame) -> DataFrame:
     """The same rows from files in the cluster's shared checkpoint folder (spark.checkpoint.dir).
 
-    Only where that is unset, as in tests, a local folder is used.
+    Where that is unset, one machine's session uses a folder of its own, as in tests;
+    on a cluster, whose machines could not read it, that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="lexcask-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def release(df: DataFrame) -> None:
+    """Removes a checkpoint's files, once nothing reads them any more."""
+    jvm = df.sparkSession._jvm
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

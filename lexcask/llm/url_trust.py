@@ -1,15 +1,19 @@
 """URL filters: rules by host and path, and trust spread over the links between hosts.
 
-Rules decide the pages they fit.  Every host then starts with as much trust as it
-has allowed pages and as much distrust as it has blocked ones.  Trust follows the
-links (personalised PageRank from the trusted hosts), distrust runs against them
-from the blocked ones: who links to a blocked host earns some.  A page that no
-rule fits is blocked where its host's distrust exceeds its trust by more than half
-of its pages.  All of it is DataFrame operations.
+Rules decide the pages they fit.  All allowed pages together are a trust of 1, dealt
+to their hosts, and all blocked pages a distrust of 1.  Trust follows the links
+(personalised PageRank from the trusted hosts), distrust runs against them from the
+blocked ones: who links to a blocked host earns some.  Rounds go on until nothing
+moves any more.  A page that no rule fits is blocked where its host's share of the
+distrust exceeds its share of the trust by more than the host's share of all pages,
+so a host is blocked when distrust is denser there than over the whole table.  All
+of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +22,13 @@ from . import core
 #: (host, path from its slash on, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
-ROUNDS = 20
-#: Distrust less trust, for each page of the host, from which on it is blocked (off any simple fraction).
-LIMIT = 0.500001
+#: Mass, of 1, that may still move between two looks at it; and rounds from one look to the next.
+SETTLED = 1e-4
+STEP = 3
+#: Density of distrust less trust, in multiples of the table's, above which a host is blocked (off any simple fraction).
+LIMIT = 1.000001
+#: Parts a host's pages are dealt to when they learn its verdict.
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,36 +64,49 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return found.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def _spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """host, mass: what the seeds' mass (host, seed) comes to over the edges (src, dst, share).
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
+    """kind, host, mass: what the seeds (kind, host, seed; 1 in all for each kind) come to over the edges (kind, src, dst, share).
 
-    Mass of a host without edges goes back to the seeds.  Every round is written
-    to the shared checkpoint folder; rounds end early once nothing moves.
+    Mass of a host without edges goes back to the seeds of its kind.  Without
+    ``rounds`` it goes on until no more than SETTLED moves; each round shrinks the
+    rest by ``damping``, so it ends.  Every few rounds are written to the shared
+    checkpoint folder, and the folder before is removed.
     """
-    total = seeds.agg(F.sum("seed")).first()[0] or 0.0
-    now = seeds.select("host", F.col("seed").alias("mass"))
-    if not total or not edges.limit(1).count():
-        return now  # nothing to spread, or nowhere to spread to
-    ends = edges.select(F.col("src").alias("host")).distinct().withColumn("leads", F.lit(True))
-    for _ in range(rounds):
-        held = now.join(ends, "host", "left")
-        idle = held.agg(F.sum(F.when(F.col("leads").isNull(), F.col("mass")).otherwise(0.0)).alias("idle"))
-        moved = now.join(edges, now["host"] == edges["src"]).groupBy("dst").agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
-        back = seeds.crossJoin(F.broadcast(idle)).select("host", ((1 - damping) * F.col("seed") + damping * F.col("idle") * F.col("seed") / total).alias("base"))
-        new = back.join(moved, F.col("host") == F.col("dst"), "full").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("base", F.lit(0.0)) + damping * F.coalesce("got", F.lit(0.0))).alias("mass"))
+    now = seeds.select("kind", "host", F.col("seed").alias("mass"))
+    if rounds == 0 or not edges.limit(1).count():
+        return now  # nowhere to spread to
+    ends = edges.select("kind", F.col("src").alias("host")).distinct()
+    done, held = 0, None
+    while rounds is None or done < rounds:
+        new = now
+        for _ in range(STEP if rounds is None else min(STEP, rounds - done)):
+            # A row for each kind, of which there are two.
+            idle = new.join(ends, ["kind", "host"], "left_anti").groupBy("kind").agg(F.sum("mass").alias("idle"))
+            base = seeds.join(F.broadcast(idle), "kind", "left").select("kind", "host", (F.col("seed") * ((1 - damping) + damping * F.coalesce("idle", F.lit(0.0)))).alias("mass"))
+            moved = new.join(edges.withColumnRenamed("src", "host"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("mass") * F.col("share")).alias("mass"))
+            new = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+            done += 1
         new = core.checkpoint(new)
-        change = new.join(now.withColumnRenamed("mass", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        now = new
-        if not change:
+        if rounds is None:
+            moves = new.unionByName(now.select("kind", "host", (-F.col("mass")).alias("mass"))).groupBy("kind", "host").agg(F.abs(F.sum("mass")).alias("m"))
+            change = moves.agg(F.sum("m")).first()[0]
+        if held is not None:
+            core.release(held)
+        now = held = new
+        if rounds is None and change <= SETTLED:
             break
     return now
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, limit: float = LIMIT) -> DataFrame:
-    """id_col, host, path, rule, verdict, trust, distrust (of the host); one row for each input row.
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = DAMPING, rounds: int | None = None, limit: float = LIMIT) -> DataFrame:
+    """id_col, host, path, rule, verdict, trust, distrust (of the host; 1 in all hosts); one row for each input row.
+
+    ``rounds`` fixes the number of rounds; without it they go on until nothing moves.
 
     Nulls: a null url or one without :// has an empty host and path, fits no rule
     and is allowed; a null html has no links.  Repeated rows count as pages each.
+    An empty table gives none.  Other columns are not read, whatever their names;
+    texts of any length are read as they are.
     """
     rows = pages.select(F.col(id_col).alias("page"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("__html"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("own", verdict_of(F.col("rule"), rules))
@@ -93,20 +114,28 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         rows.filter("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("own") == "allow", 1.0).otherwise(0.0)).alias("allowed"), F.sum(F.when(F.col("own") == "block", 1.0).otherwise(0.0)).alias("blocked"))
     )
     links = core.checkpoint(host_links(rows, "__html"))
+    totals = hosts.agg(F.sum("pages").alias("pages"), F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()
+    every, allowed, blocked = (float(x or 0) for x in totals)
+
+    def seeds(kind: str, column: str, total: float) -> DataFrame:
+        return hosts.filter(F.col(column) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(column) / (total or 1.0)).alias("seed"))
 
-    def edges(frm: str, to: str) -> DataFrame:
+    def edges(kind: str, frm: str, to: str) -> DataFrame:
         out = links.groupBy(frm).agg(F.sum("n").alias("all"))
-        return links.join(out, frm).select(F.col(frm).alias("src"), F.col(to).alias("dst"), (F.col("n") / F.col("all")).alias("share"))
+        return links.join(out, frm).select(F.lit(kind).alias("kind"), F.col(frm).alias("src"), F.col(to).alias("dst"), (F.col("n") / F.col("all")).alias("share"))
 
-    trust = _spread(hosts.filter("allowed > 0").select("host", F.col("allowed").alias("seed")), edges("src", "dst"), damping, rounds)
-    distrust = _spread(hosts.filter("blocked > 0").select("host", F.col("blocked").alias("seed")), edges("dst", "src"), damping, rounds)
+    paths = edges("trust", "src", "dst").unionByName(edges("distrust", "dst", "src"))
+    mass = spread(seeds("trust", "allowed", allowed).unionByName(seeds("distrust", "blocked", blocked)), paths, damping, rounds)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     judged = (
-        hosts.join(trust.withColumnRenamed("mass", "trust"), "host", "left")
-        .join(distrust.withColumnRenamed("mass", "distrust"), "host", "left")
+        hosts.select("host", "pages")
+        .join(mass.groupBy("host").agg(of("trust"), of("distrust")), "host", "left")
         .select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-        .withColumn("verdict_host", F.when(F.col("distrust") - F.col("trust") > limit * F.col("pages"), F.lit("block")).otherwise(F.lit("allow")))
+        .withColumn("verdict_host", F.when((F.col("distrust") - F.col("trust")) * every > limit * F.col("pages"), F.lit("block")).otherwise(F.lit("allow")))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    out = rows.drop("__html").join(judged, "host", "left")
+    # A host may hold a third of all pages, so they are dealt to the copies of its verdict.
+    out = rows.drop("__html").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(judged, ["host", "salt"], "left")
     return out.select(F.col("page").alias(id_col), "host", "path", "rule", F.coalesce("own", "verdict_host", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
@@ -114,8 +143,9 @@ def op1(spark, sf_dir):
     return filter_urls(core.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def verdict_sql(rounds: int = ROUNDS) -> str:
-    """DuckDB SQL of the same verdicts over ``pages``."""
+def verdict_sql() -> str:
+    """DuckDB SQL of the same verdicts over ``pages``, with as many rounds as the masses can need to settle."""
+    rounds = ceil(log(SETTLED / 2) / log(DAMPING))
     case, own = "CASE", "CASE rule"
     for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1])):
         case += f" WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
@@ -128,17 +158,19 @@ h AS MATERIALIZED (SELECT host, count(*) AS pages, CAST(count(*) FILTER (own = '
 hrefs AS (SELECT host AS src, page_id, {host.format(u="regexp_replace(u, '^//', 'http://')")} AS dst FROM (SELECT host, page_id, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']?((?:https?:)?//[^\"''\\s>]+)', 1)) AS u FROM r)),
 links AS MATERIALIZED (SELECT src, dst, count(DISTINCT page_id) AS n FROM hrefs WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)"""
     ]
-    for side, seed, frm, to in (("t", "allow0", "src", "dst"), ("d", "block0", "dst", "src")):
-        parts.append(f"{side}e AS MATERIALIZED (SELECT {frm} AS a, {to} AS b, n / sum(n) OVER (PARTITION BY {frm}) AS share FROM links)")
-        parts.append(f"{side}0 AS MATERIALIZED (SELECT host, {seed} AS mass FROM h WHERE {seed} > 0)")
-        if_edges = f"(SELECT count(*) FROM {side}e) > 0"
-        for i in range(rounds):
-            parts.append(
-                f"{side}{i + 1} AS MATERIALIZED (SELECT host, sum(mass) AS mass FROM ("
-                f"SELECT host, CASE WHEN {if_edges} THEN {1 - DAMPING!r} * mass + {DAMPING} * mass / (SELECT sum(mass) FROM {side}0) * coalesce((SELECT sum(mass) FROM {side}{i} WHERE host NOT IN (SELECT a FROM {side}e)), 0) ELSE mass END AS mass FROM {side}0"
-                f" UNION ALL SELECT b, {DAMPING} * mass * share FROM {side}{i} JOIN {side}e ON host = a) GROUP BY host)"
-            )
-    return ",\n".join(parts) + f"""
-SELECT page_id, r.host, path, rule, coalesce(own, CASE WHEN coalesce(d{rounds}.mass, 0) - coalesce(t{rounds}.mass, 0) > {LIMIT} * pages THEN 'block' END, 'allow') AS verdict
-FROM r LEFT JOIN h ON r.host = h.host LEFT JOIN t{rounds} ON r.host = t{rounds}.host LEFT JOIN d{rounds} ON r.host = d{rounds}.host
+    parts.append("""e AS MATERIALIZED (SELECT 'trust' AS kind, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS share FROM links
+UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links)""")
+    parts.append("""s AS MATERIALIZED (SELECT 'trust' AS kind, host, allow0 / (SELECT sum(allow0) FROM h) AS seed FROM h WHERE allow0 > 0
+UNION ALL SELECT 'distrust', host, block0 / (SELECT sum(block0) FROM h) FROM h WHERE block0 > 0)""")
+    parts.append("m0 AS MATERIALIZED (SELECT kind, host, seed AS mass FROM s)")
+    for i in range(rounds):
+        parts.append(
+            f"""m{i + 1} AS MATERIALIZED (SELECT kind, host, sum(mass) AS mass FROM (
+SELECT s.kind, host, seed * ({1 - DAMPING!r} + {DAMPING} * coalesce(idle, 0)) AS mass FROM s LEFT JOIN (SELECT kind, sum(mass) AS idle FROM m{i} WHERE (kind, host) NOT IN (SELECT (kind, a) FROM e) GROUP BY kind) AS i ON s.kind = i.kind
+UNION ALL SELECT e.kind, b, {DAMPING} * mass * share FROM m{i} JOIN e ON m{i}.kind = e.kind AND host = a) GROUP BY kind, host)"""
+        )
+    return ",\n".join(parts) + f""",
+v AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) - coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS more FROM m{rounds} GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(own, CASE WHEN more * (SELECT sum(pages) FROM h) > {LIMIT} * pages THEN 'block' END, 'allow') AS verdict
+FROM r LEFT JOIN h ON r.host = h.host LEFT JOIN v ON r.host = v.host
 """

@@ -49,17 +49,16 @@ def test_urls_equal_their_sql(spark, sf):
 
 
 def brute_trust(seeds, edges, damping, rounds):
-    hosts = set(seeds) | {h for e in edges for h in e[:2]}
     total = sum(seeds.values())
+    seeds = {h: m / total for h, m in seeds.items()}
+    hosts = set(seeds) | {h for e in edges for h in e[:2]}
     out = collections.defaultdict(float)
     for a, b, n in edges:
         out[a] += n
     now = {h: seeds.get(h, 0.0) for h in hosts}
-    if not edges:
-        return now
-    for _ in range(rounds):
+    for _ in range(rounds if edges else 0):
         idle = sum(m for h, m in now.items() if not out[h])
-        new = {h: (1 - damping) * seeds.get(h, 0) + damping * idle * seeds.get(h, 0) / total for h in hosts}
+        new = {h: (1 - damping + damping * idle) * seeds.get(h, 0) for h in hosts}
         for a, b, n in edges:
             new[b] += damping * now[a] * n / out[a]
         now = new
@@ -82,6 +81,7 @@ def test_trust_follows_links_and_distrust_runs_against_them(spark):
         (11, "https://example.com", ""),
         (11, "https://example.com", ""),
         (12, "http://xcom/", ""),
+        (13, "http://farm.org/1", link(("http://", "bad.net"))),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
     out = url_trust.filter_urls(df, rounds=6).collect()
@@ -92,17 +92,44 @@ def test_trust_follows_links_and_distrust_runs_against_them(spark):
     assert (got[3].path, got[3].verdict) == ("/fr/1", "block") and got[5].path == "/"
     assert got[9].rule == "www.example.com/en/" and got[10].rule == "example.com/en/" and got[10].verdict == "block"
     assert (got[11].path, got[11].rule, got[6].host, got[7].verdict, got[12].rule) == ("", None, "", "allow", None)
-    edges = [("good.com", "friend.org", 1), ("spam.org", "bad.net", 1), ("friend.org", "spam.org", 1)]
+    edges = [("good.com", "friend.org", 1), ("spam.org", "bad.net", 1), ("friend.org", "spam.org", 1), ("farm.org", "bad.net", 1)]
     trust = brute_trust({"good.com": 1.0, "www.example.com": 1.0}, edges, 0.85, 6)
     distrust = brute_trust({"bad.net": 2.0, "example.com": 1.0}, [(b, a, n) for a, b, n in edges], 0.85, 6)
     for r in out:
         assert abs(r.trust - trust.get(r.host, 0)) < 1e-9 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-9
     for i, h in ((4, "spam.org"), (5, "friend.org")):
         assert distrust[h] > 0 and trust[h] > 0
-        assert got[i].verdict == ("block" if distrust[h] - trust[h] > url_trust.LIMIT else "allow")
+        assert got[i].verdict == ("block" if (distrust[h] - trust[h]) * 12 > url_trust.LIMIT else "allow")
+    assert got[13].verdict == "block" and got[13].trust == 0 and got[5].verdict == "allow"
+    # Without propagation the one that links to a blocked host is not found.
+    still = {r.page_id: r for r in url_trust.filter_urls(df, rounds=0).collect()}
+    assert still[13].verdict == "allow" and still[13].distrust == 0
     assert url_trust.filter_urls(df.limit(0)).count() == 0
 
 
+def test_masses_settle_on_a_cycle(spark):
+    """Rounds go on until nothing moves: the same as very many rounds."""
+    rng = np.random.default_rng(8)
+    links = {(f"h{i}.org", f"h{(i + 1) % 30}.org") for i in range(30)} | {(f"h{a}.org", f"h{b}.org") for a, b in rng.integers(0, 30, (25, 2)) if a != b} | {("a.com", "h3.org"), ("h20.org", "b.net")}
+    pages = [("http://a.com/x", "a.com"), ("http://b.net/es/1", "b.net")] + [(f"http://h{i}.org/", f"h{i}.org") for i in range(30)]
+    rows = [(i, u, "".join(f'<a href="https://{d}/p">' for s, d in sorted(links) if s == h)) for i, (u, h) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = url_trust.filter_urls(df).collect()
+    edges = [(a, b, 1) for a, b in sorted(links)]
+    trust = brute_trust({"a.com": 1.0}, edges, 0.85, 400)
+    distrust = brute_trust({"b.net": 1.0}, [(b, a, n) for a, b, n in edges], 0.85, 400)
+    for r in out:
+        assert abs(r.trust - trust.get(r.host, 0)) < 2e-4 and abs(r.distrust - distrust.get(r.host, 0)) < 2e-4
+        if r.rule is None:
+            assert r.verdict == ("block" if (distrust[r.host] - trust[r.host]) * 32 > url_trust.LIMIT else "allow")
+    assert {r.verdict for r in out if r.rule is None} == {"allow", "block"}
+
+
+def test_pages_without_a_rule_get_both_verdicts(spark):
+    out = url_trust.op1(spark, "/root/testdata/sf0.01").filter("rule IS NULL").groupBy("verdict").count().collect()
+    assert {v for v, _ in out} == {"allow", "block"}
+
+
 def test_forest_is_right_on_findings_it_has_not_seen(spark):
     model = secret_scan.forest(spark)
     held = secret_scan.labelled_findings(spark, 2000, seed=99)
