@@ -23,7 +23,7 @@ def normalize_whitespace(c: Column) -> Column:
 
 def ws_tokens(c: Column) -> Column:
     """Words as they stand, for the lexical index."""
-    return F.filter(F.split(normalize_whitespace(c), " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(c, F.lit("")), f"{SPACE_CLASS}+"), lambda w: w != "")
 
 
 def word_tokens(c: Column) -> Column:

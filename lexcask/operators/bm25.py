@@ -1,13 +1,18 @@
 """Okapi BM25 over chunks (doc_id, chunk_ord, text) by joins on postings.
 
-Terms are words as they stand.  Queries meet only postings of their own terms; the
-corpus's totals are one row.  Scores are rounded before they are ranked, and ties
-go by document and chunk, so the order is total.
+Terms are words as they stand.  Words meet the queries' terms before they are
+counted, so postings of other terms are never built; how many chunks hold a term is
+counted from each chunk's distinct words, mostly before the exchange.  The corpus's
+totals are one row.  Scores are rounded before they are ranked, and ties go by
+document and chunk, so the order is total.  ``write_index`` keeps postings and
+statistics as tables, so a corpus is cut into words once for each refresh.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_tokens
@@ -15,13 +20,10 @@ from ..functions.text import ws_tokens
 # The usual constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, doc_id, chunk_ord, tf, dl."""
-    words = chunks.select("doc_id", "chunk_ord", ws_tokens(F.col("text")).alias("w"))
-    terms = words.select("doc_id", "chunk_ord", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return terms.groupBy("term", "doc_id", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+#: Different terms of all queries that are sent to every task, at most.
+SENT_TERMS = 200_000
+#: Ranges of terms that a kept index is written in.
+TERM_FILES = 64
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
@@ -34,34 +36,82 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return doc_stats(chunks).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 
+def _words(chunks: DataFrame) -> DataFrame:
+    """term, doc_id, chunk_ord, dl of every word of every chunk."""
+    words = chunks.select("doc_id", "chunk_ord", ws_tokens(F.col("text")).alias("w"))
+    return words.select(F.explode("w").alias("term"), "doc_id", "chunk_ord", F.size("w").cast("long").alias("dl"))
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    return words.groupBy("term", "doc_id", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """term, doc_id, chunk_ord, tf, dl."""
+    return _counted(_words(chunks))
+
+
 def term_stats(chunks: DataFrame) -> DataFrame:
     """term, df, idf; a negative idf becomes a quarter of the mean over all terms."""
-    df = postings(chunks).groupBy("term").agg(F.count("*").alias("df"))
+    df = chunks.select(F.explode(F.array_distinct(ws_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(corpus_stats(chunks))).select("term", "df", (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
-def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, chunk_ord, score of the chunks that hold a term of a query (query_id, query); repeats count."""
+@dataclass(frozen=True)
+class Index:
+    """postings (term, doc_id, chunk_ord, tf, dl), terms (term, df, idf) and totals (n_chunks, avgdl) of a corpus."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+def write_index(chunks: DataFrame, path: str) -> Index:
+    """Writes a corpus's index, postings sorted by term so that a term's are read alone, and reads it back."""
+    postings(chunks).repartitionByRange(TERM_FILES, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    term_stats(chunks).write.mode("overwrite").parquet(f"{path}/terms")
+    corpus_stats(chunks).write.mode("overwrite").parquet(f"{path}/totals")
+    return read_index(chunks.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")])
+
+
+def scores(chunks: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
+    """query_id, doc_id, chunk_ord, score of the chunks that hold a term of a query (query_id, query); repeats count.
+
+    With a kept ``index`` its postings are read, else only those of the queries' terms are
+    counted.  Either way rows stay dealt by document, so counts and scores need no exchange of
+    words; the queries' terms are sent to every task if they are few, else joined.
+    """
+    chunks = chunks.repartition("doc_id")
     asked = queries.select("query_id", F.explode(ws_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    to_all = F.broadcast if asked.count() <= SENT_TERMS else lambda df: df
+    terms, totals = (index.terms, index.totals) if index else (term_stats(chunks), corpus_stats(chunks))
+    wanted = to_all(asked.select("term").distinct())
+    found = index.postings.join(wanted, "term", "left_semi").repartition("doc_id") if index else _counted(_words(chunks).join(wanted, "term", "left_semi"))
     weight = (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hit = asked.join(postings(chunks), "term").join(term_stats(chunks), "term").crossJoin(F.broadcast(corpus_stats(chunks)))
+    hit = found.join(to_all(terms.join(to_all(asked), "term")), "term").crossJoin(F.broadcast(totals))
     return hit.groupBy("query_id", "doc_id", "chunk_ord").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), DIGITS).alias("score"))
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def top_k(chunks: DataFrame, queries: DataFrame, k: int = 20, index: Index | None = None) -> DataFrame:
     """query_id, doc_id, chunk_ord, score, rank (from 0) of each query's best ``k`` chunks.
 
     Chunks without any term score 0 and fill up what is missing, in their order.
     With a mean idf above 0 all scores are positive, so the first 2 * k chunks hold
-    enough of them; otherwise (tiny corpora) every chunk is considered.
+    enough of them; otherwise (where most terms stand in most chunks, as only in
+    tiny corpora) every chunk is considered.
     """
-    found = scores(chunks, queries)
-    ids = chunks.select("doc_id", "chunk_ord")
-    least = term_stats(chunks).agg(F.min("idf").alias("least"))
-    every = ids.crossJoin(F.broadcast(least)).filter("least <= 0 OR least IS NULL").select("doc_id", "chunk_ord")
-    some = ids.orderBy("doc_id", "chunk_ord").limit(2 * k).unionByName(every).distinct()
-    fill = queries.select("query_id").crossJoin(some).join(found, ["query_id", "doc_id", "chunk_ord"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_ord")
-    return found.unionByName(fill).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    best = scores(chunks, queries, index).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).drop("rank")
+    texts = chunks.select("doc_id", "chunk_ord", "text")
+    least = (index.terms if index else term_stats(chunks)).agg(F.min("idf").alias("least"))
+    every = texts.crossJoin(F.broadcast(least)).filter("least <= 0 OR least IS NULL").select("doc_id", "chunk_ord", "text")
+    some = texts.orderBy("doc_id", "chunk_ord").limit(2 * k).unionByName(every).distinct()
+    pairs = queries.crossJoin(some).filter(~F.coalesce(F.arrays_overlap(ws_tokens(F.col("query")), ws_tokens(F.col("text"))), F.lit(False)))
+    fill = pairs.select("query_id", "doc_id", "chunk_ord", F.lit(0.0).alias("score"))
+    return best.unionByName(fill).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)

@@ -14,8 +14,8 @@ DIMENSIONS = 64
 
 
 def hashed_counts(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """The default: how many words fall into each of so many hash buckets (whole numbers)."""
-    at = F.transform(word_tokens(text), lambda w: F.pmod(F.crc32(w), F.lit(dimensions)))
+    """The default: how many words fall into each of so many hash buckets (whole numbers; 256 buckets at most)."""
+    at = F.transform(word_tokens(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int"), F.lit(dimensions)))
     return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("float"))
 
 

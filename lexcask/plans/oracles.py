@@ -42,8 +42,8 @@ def _suffix(k: str) -> str:
     return rf"regexp_extract({k}, '[^/](\.[^./]+)$', 1)"
 
 
-_OLD = "old_chunks AS (SELECT doc_id, chunk_id, 'old ' || substr(text, 1, 20) AS text FROM chunks)"
-_NEW = "new_chunks AS (SELECT doc_id, chunk_id, 'new ' || substr(text, 1, 20) AS text FROM chunks)"
+_OLD = "old_chunks AS (SELECT doc_id, chunk_id, 'old ' || text AS text FROM chunks)"
+_NEW = "new_chunks AS (SELECT doc_id, chunk_id, 'new ' || text AS text FROM chunks)"
 
 
 def _net(table: str) -> str:
@@ -156,9 +156,15 @@ distances AS MATERIALIZED (SELECT s.doc_id, s.i, round(1 - CASE WHEN coalesce(x.
   LEFT JOIN norms x ON x.doc_id = s.doc_id AND x.i = s.i LEFT JOIN norms y ON y.doc_id = s.doc_id AND y.i = s.i + 1 LEFT JOIN dots ON dots.doc_id = s.doc_id AND dots.i = s.i),
 breaks AS MATERIALIZED (SELECT *, distance > threshold AS is_break FROM (SELECT doc_id, i, distance, round(quantile_cont(distance, 0.9) OVER (PARTITION BY doc_id), 9) AS threshold FROM distances))"""
 )
+_CHUNKED = (
+    _SENTENCES
+    + """, numbered AS (SELECT s.doc_id, s.i, sentence, CAST(coalesce(sum(CASE WHEN is_break THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id ORDER BY s.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS INTEGER) AS chunk_ord FROM sentences s LEFT JOIN breaks b ON s.doc_id = b.doc_id AND s.i = b.i),
+semantic AS MATERIALIZED (SELECT doc_id, chunk_ord, string_agg(sentence, ' ' ORDER BY i) AS text FROM numbered GROUP BY doc_id, chunk_ord)"""
+)
 _CHUNK_ID = "replace(replace(doc_id, 'raws/', ''), '.txt', '') || '_chunk_' || printf('%04d', {n})"
 
 ORACLES = {
+    "upload_plan": _with("raw_objects") + " SELECT replace(key, 'raws/', '') AS name, octet_length(encode(text)) AS size, 'raws/' || regexp_replace(replace(key, 'raws/', ''), '[.][^.]*$', '') || '-(id)' || regexp_extract(key, '[.][^.]*$') AS key FROM raw_objects",
     "list_documents": _with("raw_objects") + " SELECT key AS \"docId\", original_filename AS \"fileName\", strftime(to_timestamp(1700000000 + n_chars * 60) AT TIME ZONE 'UTC', '%Y-%m-%d') AS \"uploadedAt\" FROM raw_objects",
     "delete_raw_document": _with("raw_objects") + " SELECT key, n_chars FROM raw_objects WHERE NOT ends_with(key, '.html')",
     "extract_text_route": _with("raw_objects") + f" SELECT key, s AS suffix, CASE s WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text' ELSE 'unsupported' END AS route FROM (SELECT key, lower({_suffix('key')}) AS s FROM raw_objects)",
@@ -171,7 +177,7 @@ ORACLES = {
 b AS (SELECT *, CASE WHEN n_vectors > 200 THEN greatest(1, n_vectors // 5) ELSE n_vectors END AS batch_size FROM n)
 SELECT doc_id, n_vectors, n_vectors > 200 AS batched, CAST(batch_size AS BIGINT) AS batch_size, CAST((n_vectors + batch_size - 1) // batch_size AS BIGINT) AS n_batches FROM b""",
     "delete_vectors": _with("vector_records") + " SELECT doc_id, key FROM vector_records WHERE doc_id <> 'raws/doc-3.txt'",
-    "vector_topk": _with("vector_records") + """, s AS (SELECT q.key AS query_key, r.key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS score FROM vector_records q, vector_records r WHERE ends_with(q.key, '00') AND q.key <> r.key)
+    "vector_topk": _with("vector_records") + """, s AS (SELECT q.key AS query_key, r.key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS score FROM vector_records q, vector_records r WHERE CAST(regexp_extract(q.key, '_chunk_([0-9]+)$', 1) AS BIGINT) % 100 = 0 AND q.key <> r.key)
 SELECT query_key, key, score, CAST(row_number() OVER (PARTITION BY query_key ORDER BY score DESC, key) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
     "indexed_doc_ids": _with("manifest") + " SELECT doc_id FROM manifest WHERE status = 'indexed'",
     "append_change_log": _with("change_log", "chunks") + " SELECT (SELECT max(change_id) FROM change_log) + row_number() OVER (ORDER BY 'new/' || doc_id) AS change_id, 'new/' || doc_id AS doc_id, 'upsert' AS op FROM chunks",
@@ -190,21 +196,16 @@ UNION ALL SELECT doc_id, chunk_id, text FROM new_chunks WHERE NOT ends_with(doc_
     "chunk_to_doc": _with("vector_records") + " SELECT key AS chunk_id, max(doc_id) AS doc_id FROM vector_records GROUP BY key",
     "chunk_payload": _with("chunks") + " SELECT chunk_id AS id, text, doc_id AS metadata_doc_id FROM chunks",
     "chunk_ids": _with("vector_records") + " SELECT doc_id, key, " + _CHUNK_ID.format(n="row_number() OVER (PARTITION BY doc_id ORDER BY key) + 9990") + " AS chunk_id FROM vector_records",
-    "embed_chunks": _with("chunks") + f" SELECT chunk_id AS key, doc_id, [CAST(len({_words('text')}) AS FLOAT), CAST(len(list_distinct({_words('text')})) AS FLOAT)] AS embedding FROM chunks",
-    "load_snapshot": _with("snapshot_rows") + f""", p AS (SELECT row_no, CASE WHEN json_valid(row) THEN CAST(row AS JSON) END AS j FROM snapshot_rows),
-f AS (SELECT row_no, CASE WHEN json_type(j, '$.id') = 'VARCHAR' THEN {_strip("json_extract_string(j, '$.id')")} END AS chunk_id,
-  CASE WHEN json_type(j, '$.page_content') = 'VARCHAR' THEN json_extract_string(j, '$.page_content') END AS page_content,
-  CASE WHEN json_type(j, '$.metadata.doc_id') = 'VARCHAR' THEN {_strip("json_extract_string(j, '$.metadata.doc_id')")} END AS doc_id FROM p),
-g AS (SELECT * FROM f WHERE chunk_id <> '' AND page_content IS NOT NULL AND doc_id <> ''),
-last AS (SELECT chunk_id, arg_max(page_content, row_no) AS page_content FROM g GROUP BY chunk_id)
-SELECT doc_id, chunk_id, page_content FROM (SELECT DISTINCT doc_id, chunk_id FROM g) JOIN last USING (chunk_id)""",
+    "embed_chunks": _with("chunks") + f", w AS (SELECT doc_id, chunk_id, list_transform({_words('text')}, lambda x: CAST('0x' || substr(md5(x), 1, 2) AS INTEGER) % 64) AS h FROM chunks) SELECT chunk_id AS key, doc_id, list_transform(range(64), lambda i: CAST(len(list_filter(h, lambda x: x = i)) AS FLOAT)) AS embedding FROM w",
+    "load_snapshot": "SELECT 'raws/doc-' || doc_id || '.txt' AS doc_id, 'doc-' || doc_id || '_chunk_0001' AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'again ' ELSE '' END || text AS page_content FROM documents WHERE text IS NOT NULL",
     "publish_snapshot": _with("chunks") + f", {_OLD} SELECT chunk_id AS id, text AS page_content, doc_id, chunk_id FROM old_chunks",
     "snapshot_stats": _NORMAL + "," + _with("chunks", "manifest", "change_log")[4:] + """
 SELECT greatest((SELECT max(corpus_version) FROM valid), (SELECT max(change_id) FROM change_log)) AS corpus_version, count(DISTINCT doc_id) AS doc_count, count(*) AS chunk_count, (SELECT count(*) FROM latest) AS coalesced_event_count
 FROM chunks WHERE doc_id IN (SELECT doc_id FROM manifest WHERE status = 'indexed')""",
     "read_pointer": _with("change_log") + " SELECT coalesce(max(change_id), 0) AS corpus_version, 'bm25/v' || CAST(max(change_id) AS VARCHAR) AS key FROM change_log WHERE change_id % 50 = 0",
     "rebuild_needed": _NORMAL + "," + _with("change_log")[4:] + " SELECT (SELECT coalesce(max(change_id), 0) FROM change_log WHERE change_id % 50 = 0) < (SELECT max(corpus_version) FROM valid) AS rebuild_needed",
-    "rebuild_guard": _with("change_log") + f" SELECT change_id AS corpus_version, CASE WHEN change_id >= {CURSOR} THEN 'skip' WHEN change_id < 200 OR (SELECT count(*) FROM change_log WHERE change_id > {CURSOR}) = 0 THEN 'error' ELSE 'rebuild' END AS decision FROM change_log WHERE change_id % 50 = 0",
+    "rebuild_guard": _with("change_log") + f""", since AS (SELECT * FROM change_log WHERE change_id > {CURSOR}), net AS ({_net('since')}), unknown AS (SELECT * FROM since WHERE op = 'noop'), nothing AS ({_net('unknown')})
+SELECT change_id AS corpus_version, CASE WHEN change_id >= {CURSOR} THEN 'skip' WHEN CASE WHEN change_id < 200 THEN (SELECT count(*) FROM nothing) ELSE (SELECT count(*) FROM net) END = 0 THEN 'error' ELSE 'rebuild' END AS decision FROM change_log WHERE change_id % 50 = 0""",
     "validate_publish_event": _NORMAL + """ SELECT message_id, coalesce(doc_id <> '' AND op IN ('upsert', 'delete') AND (SELECT json_type(j, '$.corpus_version') IN ('BIGINT', 'UBIGINT') FROM parsed p WHERE p.message_id = fields.message_id) AND corpus_version <> 0, false) AS publishable FROM fields""",
     "validate_created_events": _object("ObjectCreated:", None),
     "validate_removed_events": _object("ObjectRemoved:", "corpus-bucket"),
@@ -231,6 +232,6 @@ FROM chunks WHERE doc_id IN (SELECT doc_id FROM manifest WHERE status = 'indexed
 SELECT query_id, coalesce(answer, '{NOT_FOUND.replace("'", "''")}') AS answer FROM search_queries LEFT JOIN lines USING (query_id)""",
     "sentence_distances": _SENTENCES + " SELECT doc_id, i, distance FROM distances",
     "chunk_breakpoints": _SENTENCES + " SELECT doc_id, i, distance, threshold, is_break FROM breaks",
-    "semantic_chunks": _SENTENCES + """, numbered AS (SELECT s.doc_id, s.i, sentence, CAST(coalesce(sum(CASE WHEN is_break THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id ORDER BY s.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS INTEGER) AS chunk_ord FROM sentences s LEFT JOIN breaks b ON s.doc_id = b.doc_id AND s.i = b.i)
-SELECT doc_id, chunk_ord, """ + _CHUNK_ID.format(n="chunk_ord") + " AS chunk_id, string_agg(sentence, ' ' ORDER BY i) AS text FROM numbered GROUP BY doc_id, chunk_ord",
+    "semantic_chunks": _CHUNKED + " SELECT doc_id, chunk_ord, " + _CHUNK_ID.format(n="chunk_ord") + " AS chunk_id, text FROM semantic",
+    "semantic_search": _CHUNKED + "," + _BM25[4:].replace(FIXTURES["chunks"], "SELECT doc_id, chunk_ord, text FROM semantic").replace("chunks AS (", "parts AS (", 1).replace("FROM chunks)", "FROM parts)") + _reranked("query") + " SELECT query_id, doc_id, chunk_ord, overlap, place AS rank FROM best",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, text
 from ..operators import bm25, changelog, chunking, corpus, embedding, events, manifest, search, snapshot, vectors
 from ..sources import lake
-from ..sources.fixtures import frame
+from ..sources.fixtures import dealt, frame
 
 BUCKET = "corpus-bucket"
 #: A cursor and a snapshot's version in the middle of the log.
@@ -41,7 +41,9 @@ def _new_chunks(spark, d):
 
 def upload_plan(spark, d):
     rows = frame(spark, d, "raw_objects")
-    return lake.upload_plan(rows.select(F.concat(F.lit("in/"), keys.base_name(F.col("key"))).alias("filename"), F.encode("text", "utf-8").alias("content")))
+    plan = lake.upload_plan(rows.select(F.concat(F.lit("in/"), keys.base_name(F.col("key"))).alias("filename"), F.encode("text", "utf-8").alias("content")))
+    # Every key has an id of its own, which stands here as (id).
+    return plan.withColumn("key", F.regexp_replace("key", "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "(id)"))
 
 
 def list_documents(spark, d):
@@ -167,7 +169,8 @@ def chunk_ids(spark, d):
 
 
 def embed_chunks(spark, d):
-    return embedding.embed_chunks(frame(spark, d, "chunks"), lambda t: F.array(F.size(text.word_tokens(t)).cast("float"), F.size(text.overlap_tokens(t)).cast("float")))
+    records = embedding.vector_records(embedding.embed_chunks(frame(spark, d, "chunks")))
+    return records.select("key", F.col("metadata")["doc_id"].alias("doc_id"), F.col("data.float32").alias("embedding"))
 
 
 def load_snapshot(spark, d):
@@ -200,8 +203,11 @@ def rebuild_needed(spark, d):
 
 def rebuild_guard(spark, d):
     pointers = _pointers(spark, d)
-    n = changelog.changes_since(frame(spark, d, "change_log"), CURSOR).agg(F.count("*").alias("n"))
-    return pointers.crossJoin(F.broadcast(n)).select("corpus_version", snapshot.rebuild_guard(F.col("corpus_version"), F.lit(CURSOR), F.when(F.col("corpus_version") < 200, 0).otherwise(F.col("n"))).alias("decision"))
+    since = changelog.changes_since(frame(spark, d, "change_log"), CURSOR)
+    # Below 200 as if the log held unknown operations alone, which come to nothing.
+    n = changelog.net_changes(since).agg(F.count("*").alias("n")).crossJoin(changelog.net_changes(since.filter("op = 'noop'")).agg(F.count("*").alias("none")))
+    changes = F.when(F.col("corpus_version") < 200, F.col("none")).otherwise(F.col("n"))
+    return pointers.crossJoin(F.broadcast(n)).select("corpus_version", snapshot.rebuild_guard(F.col("corpus_version"), F.lit(CURSOR), changes).alias("decision"))
 
 
 def validate_publish_event(spark, d):
@@ -300,15 +306,19 @@ def chat_answer(spark, d):
 
 
 def sentence_distances(spark, d):
-    return chunking.distances(_docs(spark, d))
+    return chunking.distances(dealt(_docs(spark, d)))
 
 
 def chunk_breakpoints(spark, d):
-    return chunking.breakpoints(chunking.distances(_docs(spark, d)))
+    return chunking.breakpoints(dealt(_docs(spark, d)))
 
 
 def semantic_chunks(spark, d):
-    return chunking.semantic_chunks(_docs(spark, d))
+    return chunking.semantic_chunks(dealt(_docs(spark, d)))
+
+
+def semantic_search(spark, d):
+    return search.search(chunking.semantic_chunks(dealt(_docs(spark, d))).select("doc_id", "chunk_ord", "text"), _queries(spark, d))
 
 
 NAMES = (
@@ -317,6 +327,6 @@ NAMES = (
     "merge_chunks doc_chunk_index chunk_to_doc chunk_payload chunk_ids embed_chunks load_snapshot publish_snapshot snapshot_stats read_pointer rebuild_needed rebuild_guard "
     "validate_publish_event validate_created_events validate_removed_events normalize_index_events coalesce_events target_version batch_failures manifest_fold claim_outcomes "
     "validate_chat tokenize_overlap tokenize_ws normalize_whitespace snippet decode_keys doc_name chunk_key bm25_doc_stats bm25_term_stats bm25_topk rerank_overlap "
-    "rerank_empty_tokens chat_answer sentence_distances chunk_breakpoints semantic_chunks"
+    "rerank_empty_tokens chat_answer sentence_distances chunk_breakpoints semantic_chunks semantic_search"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

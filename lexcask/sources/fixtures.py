@@ -6,6 +6,8 @@ DataFrames over whole tables, and the queries read them in place of the SQL text
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,22 +35,18 @@ FROM events""",
     "vector_records": "SELECT 'raws/doc-' || CAST(label AS STRING) || '.txt' AS doc_id, 'doc-' || CAST(label AS STRING) || '_chunk_' || CAST(vec_id AS STRING) AS key, embedding FROM embeddings",
     # A document is indexed unless its number is divisible by 7, and its chunk is in the first or the second batch.
     "manifest": "SELECT 'raws/doc-' || CAST(doc_id AS STRING) || '.txt' AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'deleted' WHEN doc_id % 11 = 0 THEN 'ingest failed' ELSE 'indexed' END AS status FROM documents",
-    "doc_changes": "SELECT event_id + 1 AS change_id, 'raws/doc-' || CAST(event_id % 400 AS STRING) || '.txt' AS doc_id, CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'noop' ELSE 'upsert' END AS op FROM events",
-    "snapshot_rows": """SELECT doc_id AS row_no, CASE WHEN doc_id % 13 = 0 THEN '{bad' WHEN doc_id % 11 = 0 THEN '{"id":"c","page_content":5,"metadata":{"doc_id":"d"}}' WHEN doc_id % 7 = 0 THEN '{"id":" ","page_content":"x","metadata":{"doc_id":"d"}}'
-  WHEN doc_id % 5 = 0 THEN '{"id":"c","page_content":"x","metadata":{"doc_id":" "}}'
-  ELSE '{"id":" doc-' || CAST(doc_id % 300 AS STRING) || '_chunk_0001 ","page_content":"' || lang || ' ' || CAST(n_chars AS STRING) || '","metadata":{"doc_id":" raws/doc-' || CAST(doc_id % 300 AS STRING) || '.txt "}}' END AS row FROM documents""",
+    # A change of one document for each event: every document can be reached, small numbers change more often, so some stay as they are.
+    "doc_changes": """SELECT event_id + 1 AS change_id, 'raws/doc-' || CAST(CAST(floor(drawn * drawn * drawn * n) AS BIGINT) AS STRING) || '.txt' AS doc_id, CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'noop' ELSE 'upsert' END AS op
+FROM (SELECT event_id, event_type, CAST((event_id % 1000003 * (event_id % 1000003) * 7919 + event_id % 1000003 * 104729) % 1000003 AS DOUBLE) / 1000003 AS drawn FROM events),
+  (SELECT coalesce(max(doc_id), 0) + 1 AS n FROM documents)""",
 }
-TABLES = {"documents": "documents", "events": "events", "conversations": "conversations", "benchmark": "benchmark", "embeddings": "embeddings"}
+TABLES = {"documents", "events", "conversations", "benchmark", "embeddings"}
 
 
-def _doc_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change of one document for each event: every document can be reached, small numbers change more often, so some stay as they are."""
-    events, documents = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    count = documents.agg((F.coalesce(F.max("doc_id"), F.lit(0)) + 1).alias("n"))
-    drawn = F.pmod(F.xxhash64("event_id"), F.lit(1 << 30)) / float(1 << 30)
-    number = F.floor(drawn * drawn * drawn * F.col("n")).cast("string")
-    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "noop").otherwise("upsert")
-    return events.crossJoin(F.broadcast(count)).select((F.col("event_id") + 1).alias("change_id"), F.concat(F.lit("raws/doc-"), number, F.lit(".txt")).alias("doc_id"), op.alias("op"))
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a table of fewer splits than there are cores, dealt out: a small file is read by a single task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,18 +69,17 @@ def _snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("row IS NOT NULL").select((i * 3 + F.col("k")).alias("row_no"), "row")
 
 
-BUILT = {"doc_changes": _doc_changes, "snapshot_rows": _snapshot_rows}
+BUILT = {"snapshot_rows": _snapshot_rows}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One adapter's rows."""
-    import re
-
     if name in BUILT:
         return BUILT[name](spark, sf_dir)
+    # The text holds braces of JSON, so the tables' names are replaced, not formatted.
     sql = SQL[name]
-    source = re.search(r"FROM (\w+)\s*$", sql)[1]
-    # The text holds braces of JSON, so the table's name is replaced, not formatted.
-    view = f"__lexcask_{source}"
-    spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(view)
-    return spark.sql(re.sub(rf"FROM {source}\s*$", f"FROM {view}", sql))
+    for source in sorted(set(re.findall(r"FROM (\w+)", sql)) & TABLES):
+        view = f"__lexcask_{source}"
+        spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(view)
+        sql = re.sub(rf"FROM {source}\b", f"FROM {view}", sql)
+    return spark.sql(sql)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from io import BytesIO
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import raw_key, reader_route
 from ..functions.text import decode_utf8, normalize_whitespace
+from ..operators import snapshot
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -80,15 +82,23 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id string, chunk_id string, text string, bucket int").json(path).drop("bucket")
 
 
-def publish_snapshot(chunks: DataFrame, root: str, version: int) -> str:
-    """Writes snapshot ``version`` to a folder of its own, then its pointer; readers follow the newest pointer.
+def publish_snapshot(chunks: DataFrame, root: str, version: int, coalesced_events: int = 0) -> str:
+    """Writes snapshot ``version`` to a folder of its own, then its pointer with the snapshot's statistics; readers follow the newest pointer.
 
-    Folders are never overwritten in place, so a reader of the one before is not disturbed.
+    Folders are named anew each time and never overwritten, so a reader of the one before is not
+    disturbed, and a publication that is run again leaves one that no pointer names.  Rows without a
+    document, a chunk id or a text are an error, found before the pointer is written.
     """
     spark = chunks.sparkSession
-    key = f"{root}/v{version}"
-    chunks.write.mode("overwrite").parquet(key)
-    spark.range(1).select(F.lit(version).cast("long").alias("corpus_version"), F.lit(key).alias("key"), F.current_timestamp().alias("updated_at")).coalesce(1).write.mode("append").json(f"{root}/pointers")
+    key = f"{root}/v{version}-{uuid.uuid4().hex[:12]}"
+    chunks.write.parquet(key)
+    written = spark.read.schema(chunks.schema).parquet(key)
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = written.agg(F.count(F.when(blank("doc_id") | blank("chunk_id") | F.col("text").isNull(), 1))).first()[0]
+    if bad:
+        raise ValueError(f"{bad} malformed chunks in snapshot {version}")
+    row = snapshot.stats(written, coalesced_events, version, version)
+    row.select("corpus_version", F.lit(key).alias("key"), F.current_timestamp().alias("updated_at"), "doc_count", "chunk_count", "coalesced_event_count").coalesce(1).write.mode("append").json(f"{root}/pointers")
     return key
 
 
@@ -103,3 +113,8 @@ def read_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame | None, int
             raise
         row = None
     return (spark.read.parquet(row["key"]), row["corpus_version"]) if row else (None, 0)
+
+
+def snapshot_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """corpus_version, key, updated_at, doc_count, chunk_count, coalesced_event_count of every published snapshot."""
+    return spark.read.schema("corpus_version long, key string, updated_at timestamp, doc_count long, chunk_count long, coalesced_event_count long").json(f"{root}/pointers")

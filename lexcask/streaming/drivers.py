@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import changelog, corpus, events
 from ..sources import lake
 
+log_ = logging.getLogger(__name__)
+
 # Deliveries before a message is dead, messages of a batch, its longest wait.
 MAX_RECEIVES = 5
 BATCH_FILES = 10
@@ -30,11 +33,14 @@ def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: s
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=WAIT)).start()
 
 
-def redrive(failed: DataFrame, retry: str, dead: str) -> None:
-    """Failed messages go back with one more attempt; those at the limit go to the dead-letter folder."""
-    again = failed.withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1).persist()
-    again.filter(F.col("attempts") < MAX_RECEIVES).write.mode("append").json(retry)
-    again.filter(F.col("attempts") >= MAX_RECEIVES).write.mode("append").json(dead)
+def redrive(failed: DataFrame, retry: str, dead: str, batch_id: int, error: str) -> None:
+    """Failed messages go back with one more attempt and the error; those at the limit go to the dead-letter folder.
+
+    Each batch has a folder of its own, overwritten if it is run again, so that no message is retried twice for one fault.
+    """
+    again = failed.withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1).withColumn("error", F.lit(error)).persist()
+    again.filter(F.col("attempts") < MAX_RECEIVES).write.mode("overwrite").json(f"{retry}/batch={batch_id}")
+    again.filter(F.col("attempts") >= MAX_RECEIVES).write.mode("overwrite").json(f"{dead}/batch={batch_id}")
     again.unpersist()
 
 
@@ -75,12 +81,13 @@ def snapshot_batch(root: str, log_path: str, artifacts_path: str, manifest_path:
             artifacts = spark.read.parquet(artifacts_path)
             if base is None:
                 base = corpus.bootstrap(spark.read.parquet(manifest_path), artifacts)
-            if not changes.limit(1).count():
+            if not changelog.net_changes(changes).limit(1).count():
                 raise RuntimeError("the change log is behind the events")
-            lake.publish_snapshot(corpus.apply_changes(base, changes, artifacts), root, max(target, bound))
-        except Exception:
+            lake.publish_snapshot(corpus.apply_changes(base, changes, artifacts), root, max(target, bound), events.coalesce_events(valid).count())
+        except Exception as e:
+            log_.exception("batch %s is delivered again", batch_id)
             ids = events.batch_failures(normal, F.lit(True)).select(F.col("itemIdentifier").alias("message_id"))
-            redrive(batch.join(ids, "message_id", "left_semi"), retry, dead)
+            redrive(batch.join(ids, "message_id", "left_semi"), retry, dead, batch_id, f"{type(e).__name__}: {e}"[:2000])
         finally:
             normal.unpersist()
 

@@ -80,6 +80,11 @@ def test_snapshots_round_trip(spark, tmp_path):
     lake.publish_snapshot(a, root, 4)
     out, version = lake.read_snapshot(spark, root)
     assert version == 5 and out.count() == 0
+    got = {r.corpus_version: (r.doc_count, r.chunk_count) for r in lake.snapshot_statistics(spark, root).collect()}
+    assert got == {3: (1, 1), 4: (1, 1), 5: (0, 0)}
+    with pytest.raises(ValueError):
+        lake.publish_snapshot(spark.createDataFrame([("d", "", "x")], CHUNKS), root, 6)
+    assert lake.read_snapshot(spark, root)[1] == 5
 
 
 def test_chunk_files_round_trip(spark, tmp_path):
