@@ -63,7 +63,9 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...
     """(chunk, id, text, row, carried columns) with documents dealt by a hash; the number of chunks and of buckets.
 
     Both numbers follow the corpus's bytes, so a chunk and a bucket stay of one
-    size as it grows.  Nulls: a null text is empty, a null id comes after all ids.
+    size as it grows.  The hash is of id and text, so rows without an id, or of one
+    repeated id, are dealt out as others are.  Nulls: a null text is empty, a null id
+    comes after all ids.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
@@ -73,7 +75,7 @@ def chunks_of(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...
     key = F.coalesce(F.col(id_col), F.lit(NULL_ID))
     kept = [F.col(c).alias(f"__c_{c}") for c in carry]
     out = docs.select(
-        F.pmod(F.xxhash64(key), F.lit(n_chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(key, F.col(text_col)), F.lit(n_chunks)).cast("int").alias("chunk"),
         key.cast("long").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         *kept,
@@ -207,9 +209,10 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> _U32) * np.uint64(n)) >> _U32
 
 
-def slices(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes, with the end."""
-    return np.searchsorted(bucket_of(sorted_hashes, n), np.arange(n + 1, dtype=np.uint64))
+def filled(sorted_hashes: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) in sorted hashes of each bucket that holds any, so work follows the hashes, not the buckets."""
+    b, first = np.unique(bucket_of(sorted_hashes, n), return_index=True)
+    return list(zip(b.tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_hashes)]))
 
 
 def pack6(h: np.ndarray) -> bytes:
@@ -230,8 +233,7 @@ HOT = 4096
 def anchor_rows(chunk: int, found: np.ndarray, n_buckets: int) -> pa.Table:
     """One row for each bucket: the chunk's distinct anchors and how often each was found (where twice or more)."""
     u, cnt = np.unique(found & np.uint64(0xFFFFFFFFFFFF0000), return_counts=True)
-    at = slices(u, n_buckets)
-    rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(at[:-1], at[1:])) if hi > lo]
+    rows = filled(u, n_buckets)
     more = [np.flatnonzero(cnt[lo:hi] > 1).astype("<u4") for _, lo, hi in rows]
     return pa.table(
         {
@@ -277,10 +279,10 @@ def repeat_flags(found: np.ndarray, n_buckets: int, replies: pa.Table) -> tuple[
     """Whether each found anchor is repeated, and whether it is hot, from the buckets' replies to this chunk."""
     cut = found & np.uint64(0xFFFFFFFFFFFF0000)
     u, inv = np.unique(cut, return_inverse=True)
-    at = slices(u, n_buckets)
+    at = {b: (lo, hi) for b, lo, hi in filled(u, n_buckets)}
     rep, hot = np.zeros(len(u), bool), np.zeros(len(u), bool)
     for b, bits in zip(replies["bucket"].to_pylist(), replies["bits"].to_pylist()):
-        lo, hi = at[b], at[b + 1]
+        lo, hi = at[b]
         k = -(-(hi - lo) // 8)
         rep[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8, k), count=hi - lo)
         hot[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8, k, k), count=hi - lo)

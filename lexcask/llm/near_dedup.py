@@ -12,10 +12,16 @@ different components by now meet in blocks, with their sets: each pair, in the
 first band it shares, is estimated by signature and, if within five deviations of
 the threshold, decided on the full sets.  Only links go on, and components are
 formed again.  So a group of thousands of copies costs its size,
-not its square, and a link between different texts is lost only if all 44 bands
-miss (about 1 in 100,000 at a similarity of 0.75, far less above, but about 1 in
-10,000 for sets of 4 and 3 shingles, as the least and the greatest value of few
-depend on each other) or the estimate errs by five deviations.
+not its square.
+
+Small sets, of up to ``SMALL`` shingles, and all sets where ``exact`` is asked for, are
+also found by their prefixes: of n shingles in the order of their hashes the first
+n - ceil(0.75 n) + 1, of which two sets that are linked share one.  Pairs found so are
+decided on the full sets without an estimate, so no link is lost.  A link between
+larger sets is lost only if all 44 bands miss (about 1 in 100,000 at a similarity of
+0.75, far less above) or the estimate errs by five deviations.
+
+Sets hold 64-bit hashes of shingles; two shingles of one hash count as one.
 """
 
 from __future__ import annotations
@@ -35,7 +41,9 @@ ROWS = 5
 SHINGLE = 5
 THRESHOLD = 75
 #: Rows of a bucket that are compared at a time.
-BLOCK = 512
+BLOCK = 2048
+#: Sets of so many shingles are found exactly, through their prefixes.
+SMALL = 24
 #: Members of a star whose sets one task compares with the leader's.
 SALT = 256
 
@@ -98,7 +106,12 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def _features(width: int, permutations: int):
+def prefix(s: np.ndarray, threshold: int) -> np.ndarray:
+    """The least values of a sorted set, of which every set so similar shares one, as bands."""
+    return core.mix(s[: len(s) - -(-len(s) * threshold // 100) + 1] + core._C1)
+
+
+def _features(width: int, permutations: int, threshold: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
         import xxhash
@@ -108,11 +121,12 @@ def _features(width: int, permutations: int):
                 sets = shingle_sets(part.column("text"), width)
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full, permutations)) if full else iter(())
-                digest, rows = [], []
+                digest, rows, heads = [], [], []
                 for s in sets:
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     rows.append(next(sig).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary())], ["id", "n", "digest", "sig"])
+                    heads.append(prefix(s, threshold).tobytes() if len(s) and (exact or len(s) <= SMALL) else b"")
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(rows, pa.binary()), pa.array(heads, pa.binary())], ["id", "n", "digest", "sig", "head"])
 
     return run
 
@@ -128,13 +142,13 @@ def _deal(n_parts: int, rows: int):
                     continue
                 sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
                 h = bands(sig, rows)
-                k = h.shape[1]
-                h = h.ravel()
-                v, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), k) for c in ("v", "n"))
+                heads = batch.column("head").to_pylist()
+                who = np.concatenate([np.repeat(np.arange(len(h)), h.shape[1]), np.repeat(np.arange(len(h)), [len(x) // 8 for x in heads])])
+                h = np.concatenate([h.ravel(), np.frombuffer(b"".join(heads), np.uint64)])
+                v, n = (batch.column(c).to_numpy(zero_copy_only=False)[who] for c in ("v", "n"))
                 order = np.argsort(h, kind="stable")
                 h, v, n = h[order], v[order], n[order]
-                cut = core.slices(h, n_parts)
-                full = [(p, slice(lo, hi)) for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if hi > lo]
+                full = [(p, slice(lo, hi)) for p, lo, hi in core.filled(h, n_parts)]
                 blobs = [h[s].tobytes() + v[s].astype("<i8").tobytes() + n[s].astype("<u4").tobytes() for _, s in full]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in full], pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
@@ -195,9 +209,14 @@ def _stars(threshold: int):
     return run
 
 
-def _split(t: pa.Table) -> pa.Table:
-    """Members of buckets that still hold several components, dealt to pairs of blocks."""
-    h, v, label = _sorted(t, "label")
+def _split(t: pa.Table, threshold: int = THRESHOLD) -> pa.Table:
+    """Members of buckets that still hold several components, dealt to pairs of blocks.
+
+    Blocks follow the sets' sizes, so only those near the diagonal can hold a link.
+    """
+    h, v, label, n_of = (t[c].to_numpy() for c in ("band", "v", "label", "n"))
+    order = np.lexsort((v, n_of, h))
+    h, v, label, n_of = h[order], v[order], label[order], n_of[order]
     if not len(h):
         return pa.table({"block": pa.array([], pa.binary()), "side": pa.array([], pa.int32()), "v": pa.array([], pa.int64()), "label": pa.array([], pa.int64())})
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -210,6 +229,9 @@ def _split(t: pa.Table) -> pa.Table:
         for i in range(k):
             own = np.arange(f + i * BLOCK, min(f + n, f + (i + 1) * BLOCK))
             for j in range(k):
+                # The greatest set of the smaller block against the least of the greater one.
+                if i != j and n_of[min(f + n, f + (min(i, j) + 1) * BLOCK) - 1] * 100 < n_of[f + max(i, j) * BLOCK] * threshold:
+                    continue
                 block += [head + bytes([min(i, j) & 255, min(i, j) >> 8, max(i, j) & 255, max(i, j) >> 8])] * len(own)
                 side += [0 if i <= j else 1] * len(own)
                 who.append(own)
@@ -227,7 +249,8 @@ def _between(threshold: int, values: int, rows: int):
     """Links between members of different components, pair by pair within each block; only confirmed ones go on.
 
     A pair is looked at in the first band it shares, if its estimate is within
-    five deviations of the threshold, and decided on the full sets.
+    five deviations of the threshold, or in a prefix that it shares, and decided on
+    the full sets.
     """
     p = threshold / 100
     least = values * p - 5 * (values * p * (1 - p)) ** 0.5
@@ -237,9 +260,11 @@ def _between(threshold: int, values: int, rows: int):
         for i in range(len(vx)):
             first = i + 1 if same else 0
             k = np.flatnonzero((ly[first:] != lx[i]) & _fits(ny[first:], nx[i], threshold)) + first
-            k = k[(sy[k] == sx[i]).sum(1) >= least]
-            equal = hy[k] == hx[i]
-            k = k[hx[i][equal.argmax(1)].view(np.int64) == band]
+            # In a prefix every pair is decided; of other bands, in the first that both have.
+            if (hx[i] == band.view(np.uint64)).any():
+                k = k[(sy[k] == sx[i]).sum(1) >= least]
+                equal = hy[k] == hx[i]
+                k = k[hx[i][equal.argmax(1)].view(np.int64) == band]
             for m in k.tolist():
                 both = _common(fx[i], fy[m])
                 if both * 100 >= (len(fx[i]) + len(fy[m]) - both) * threshold:
@@ -304,7 +329,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
     A pair's second set goes to the first's; a vertex with many pairs is salted,
     its own set sent to each salt.
     """
-    degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
+    # From files, so that both sides of the join below are plain exchanges, which adaptive execution splits where a vertex has many pairs.
+    degree = core.checkpoint(pairs.groupBy("a").agg(F.count("*").alias("deg")))
     salts = degree.select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("deg") / SALT).cast("int"))).alias("salt"), "deg")
     left = salts.join(sets, salts["a"] == sets["v"]).select("v", "salt", "shingles")
     # The salt hangs on b alone, so both sides agree.
@@ -317,27 +343,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
     return left.groupBy("v", "salt").cogroup(right.groupBy("a", "salt")).applyInArrow(_confirm(threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, width: int = SHINGLE, permutations: int = PERMUTATIONS, rows: int = ROWS, exact: bool = False) -> DataFrame:
     """id_col, n_shingles, component_id (the smallest id reachable), kept; one row for each input row.
 
     Two documents are linked if 100 * intersection >= threshold * union of their
     sets of ``width``-word shingles; with fewer words the whole sequence is the one
-    shingle.  A document without words is linked with nothing.
+    shingle.  A document without words is linked with nothing.  ``exact`` finds all sets
+    by their prefixes too, so that no link at all is lost, at some twice the entries.
 
     Nulls: a null text has no words; a row whose id is null takes no part (null
     component_id, kept).  Rows of one id and one text are one document; an id with
     several texts is one vertex for each of them unless it leads a class of copies.
+    Texts of any length are taken whole, in Arrow's 64-bit offsets.  An empty table
+    gives none; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = core.checkpoint(rows_in.mapInArrow(_features(width, permutations), "id long, n long, digest binary, sig binary"))
+    feats = core.checkpoint(rows_in.mapInArrow(_features(width, permutations, threshold, exact), "id long, n long, digest binary, sig binary, head binary"))
     real = feats.filter("digest IS NOT NULL AND id IS NOT NULL")
     # One vertex for each set; copies are counted before the shuffle.
-    classes = real.groupBy("digest").agg(F.min("id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = real.groupBy("digest").agg(F.min("id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("head").alias("head"))
     classes = core.checkpoint(classes)
     n_parts = max(core.partitions(spark), classes.count() * (2 * permutations // rows) // 500_000)
 
-    dealt = classes.select("v", "n", "sig").mapInArrow(_deal(n_parts, rows), "part int, blob binary").groupBy("part")
+    dealt = classes.select("v", "n", "sig", "head").mapInArrow(_deal(n_parts, rows), "part int, blob binary").groupBy("part")
     # From here on only the entries of bands that several members share, and their signatures.
     entries = core.checkpoint(dealt.applyInArrow(_shared, "band long, v long, n long"))
     part = F.pmod(F.xxhash64("band"), F.lit(n_parts)).alias("part")
@@ -346,9 +375,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = signed.select(F.col("v").alias("id"))
     sets = core.checkpoint(rows_in.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "v long, shingles binary").distinct())
     found = components(confirmed(stars, sets, threshold))
-    labelled = entries.join(found, entries["v"] == found["vertex"], "left").select("band", "v", F.coalesce("component", "v").alias("label"), part)
+    labelled = entries.join(found, entries["v"] == found["vertex"], "left").select("band", "v", "n", F.coalesce("component", "v").alias("label"), part)
     # Bands that still hold members of several components.
-    split = labelled.groupBy("part").applyInArrow(_split, "block binary, side int, v long, label long")
+    split = labelled.groupBy("part").applyInArrow(lambda t: _split(t, threshold), "block binary, side int, v long, label long")
     blocks = split.join(signed, "v").join(sets, "v").withColumn("home", F.pmod(F.xxhash64("block"), F.lit(8 * n_parts)))
     more = core.checkpoint(blocks.groupBy("home").applyInArrow(_between(threshold, 2 * permutations, rows), "a long, b long"))
     if more.limit(1).count():

@@ -84,14 +84,12 @@ def _edges(length: int, gram: int, n_buckets: int):
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
                 h, check, at = h[new], check[new], at[new]
                 ids, place = w.ids[w.row[at]], at - w.off[w.row[at]]
-                cut = core.slices(h, n_buckets)
-                for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                    if hi > lo:
-                        s = slice(lo, hi)
-                        out["part"].append(p)
-                        out["n"].append(hi - lo)
-                        out["chunk"].append(left["chunk"][0].as_py())
-                        out["blob"].append(h[s].astype("<u8").tobytes() + check[s].astype("<u8").tobytes() + _zip(ids[s].astype("<i8").tobytes() + place[s].astype("<u4").tobytes()))
+                for p, lo, hi in core.filled(h, n_buckets):
+                    s = slice(lo, hi)
+                    out["part"].append(p)
+                    out["n"].append(hi - lo)
+                    out["chunk"].append(left["chunk"][0].as_py())
+                    out["blob"].append(h[s].astype("<u8").tobytes() + check[s].astype("<u8").tobytes() + _zip(ids[s].astype("<i8").tobytes() + place[s].astype("<u4").tobytes()))
         return pa.table({"part": pa.array(out["part"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int32()), "blob": pa.array(out["blob"], pa.binary()), "n": pa.array(out["n"], pa.int32())})
 
     return run

@@ -235,13 +235,11 @@ def _runs(length: int, gram: int, n_buckets: int):
             keys = sorted(at)
             if keys:
                 heads = np.frombuffer(b"".join([k[:8] for k in keys]), ">u8").astype(np.uint64)
-                cut = core.slices(heads, n_buckets)
-                for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                    if hi > lo:
-                        ks = keys[lo:hi]
-                        out["part"].append(p)
-                        out["chunk"].append(chunk)
-                        out["blob"].append(pack_run(ks, [least[k] for k in ks], [at[k] for k in ks], width))
+                for p, lo, hi in core.filled(heads, n_buckets):
+                    ks = keys[lo:hi]
+                    out["part"].append(p)
+                    out["chunk"].append(chunk)
+                    out["blob"].append(pack_run(ks, [least[k] for k in ks], [at[k] for k in ks], width))
         return pa.table({"part": pa.array(out["part"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
 
     return run

@@ -1,4 +1,9 @@
 import collections
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from lexcask.llm import components, near_dedup
 
@@ -59,8 +64,6 @@ def test_a_chain_of_changes_is_one_component(spark):
 
 def test_links_that_no_star_finds(spark):
     """Many texts of a similarity about the threshold to each other, few to a common leader."""
-    import random
-
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
     rows = []
@@ -73,6 +76,41 @@ def test_links_that_no_star_finds(spark):
     assert counted((r.doc_id, r.n_shingles, r.component_id, r["kept"]) for r in got) == counted(brute([(i, t) for i, t in rows]))
 
 
+@pytest.mark.parametrize(("words", "exact"), [(7, False), (60, True)])
+def test_no_link_is_lost_where_prefixes_find_them(spark, words, exact):
+    """With two bands only, which miss most links: small sets, and all where that is asked for, are found none the less."""
+    rng = random.Random(words)
+    rows = []
+    for k in range(150):
+        w = [f"w{k}_{i}" for i in range(words)]
+        rows.append((2 * k, " ".join(w)))
+        rows.append((2 * k + 1, " ".join(w + [f"y{i}" for i in range(rng.randint(0, max(1, words // 5)))])))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), permutations=5, exact=exact).collect()
+    assert counted((r.doc_id, r.n_shingles, r.component_id, r["kept"]) for r in got) == counted(brute([(i, t) for i, t in rows]))
+
+
+def test_blocks_by_size_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 60, 40)
+    t = pa.table({"band": pa.array([7] * 40, pa.int64()), "v": pa.array(range(40), pa.int64()), "n": pa.array(n, pa.int64()), "label": pa.array(range(40), pa.int64())})
+    out = near_dedup._split(t)
+    met = set()
+    for b in set(out["block"].to_pylist()):
+        rows = [(s, v) for x, s, v in zip(out["block"].to_pylist(), out["side"].to_pylist(), out["v"].to_pylist()) if x == b]
+        same = b[8:10] == b[10:12]
+        met |= {frozenset((v, w)) for s, v in rows for u, w in rows if v != w and (same or s != u)}
+    need = {frozenset((i, j)) for i in range(40) for j in range(i) if min(n[i], n[j]) * 100 >= max(n[i], n[j]) * 75}
+    assert need <= met and len(met) < 40 * 39 / 2
+
+
+def test_a_star_of_many_rows_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(components, "SALT", 4)
+    edges = [(i, i + 1) for i in range(20)] + [(100, k) for k in range(101, 180)] + [(150, 500 + k) for k in range(40)]
+    got = {r.vertex: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(21)} | {k: 100 for k in range(100, 180)} | {500 + k: 100 for k in range(40)}
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -37,12 +37,22 @@ def test_run_and_odd_rows(spark, tmp_path):
     rows = [(1, text, "en", "s", 1), (2, text, "en", "s", 1), (None, text + " x", None, None, None), (3, None, "en", "s", 0), (1, text, "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in out.collect()} == {1, None}
+    # Copies of one id, of another and of none are one document.
+    out = out.collect()
+    assert {r.doc_id for r in out} == {1} and len({(r.doc_id, r.start) for r in out}) == len(out)
     os.makedirs(tmp_path / "none")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_copies_without_an_id(spark):
+    texts = [" ".join(f"v{k}w{i}" for i in range(60)) for k in range(3)]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[1] + " x"), (None, texts[2]), (4, texts[2]), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted((i for i, _ in got), key=str) == [1, 4, None, None] and {t for _, t in got if t} >= {texts[0], texts[2]} and len(got) == 4
+
+
 def test_clashing_names(spark):
     rows = [(1, " ".join(f"w{i}a the w{i}b" for i in range(60)), "k", "n", "s", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words string, spans string, candidates string")

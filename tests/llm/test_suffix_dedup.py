@@ -108,3 +108,23 @@ def test_query(spark, sf):
     for i, n, spans, kept in brute(rows, 50):
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    """A third of all rows without an id, and a third of one id, fall into as many chunks as any others."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text number {i} of many " * 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks, n, _ = s.core.chunks_of(df, "doc_id", "text")
+    sizes = [r["count"] for r in chunks.groupBy("chunk").count().collect()]
+    assert max(sizes) < 4 * 600 / n
+    got = s.suffix_dedup(df).collect()
+    assert counted((r.doc_id, r.n_bytes, tuple(map(tuple, r.spans)), bytes(r.kept)) for r in got) == counted(brute(rows, 50))
+
+
+def test_work_follows_the_hashes_not_the_buckets():
+    import numpy as np
+
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2))
+    cut = s.core.filled(h, 1 << 30)
+    assert len(cut) <= 50 and [x for _, lo, hi in cut for x in h[lo:hi]] == h.tolist()
+    assert all((s.core.bucket_of(h[lo:hi], 1 << 30) == b).all() for b, lo, hi in cut)
