@@ -30,10 +30,18 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; rows without an id stay."""
-    kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.filter(docs["doc_id"].isNotNull())
-    return named.join(kept, named["doc_id"] == F.col("__id"), "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
+    """One document of each group of near duplicates, that of the smallest id; of rows of one id and text, one.
+
+    A row without an id takes part under a number after every id, made of its text.
+    """
+    after = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), after).alias("__id"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("__text"))
+    same = rows.groupBy("__id", F.xxhash64("__text").alias("h")).count().filter(F.col("count") > 1)
+    if same.limit(1).count():
+        rows = core.checkpoint(rows.dropDuplicates(["__id", "__text"]))
+    judged = near_dedup.near_duplicates(rows, "__id", "__text")
+    kept = judged.filter("kept").select(F.col("__id").alias("__kept")).distinct()
+    return rows.join(kept, rows["__id"] == kept["__kept"], "left_semi").select("__row.*")
 
 
 def suffix_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
