@@ -34,8 +34,6 @@ ASSIGNED_BEFORE = r"[=:]>?$"
 #: What a word, or the word before it, must hold to be looked into.
 _HOT = r"[A-Za-z0-9+/_\-]{16}|[=:>][\"'`]{0,2}[^\"'`]{4}"
 _HOT_BEFORE = rf"{ASSIGNED_BEFORE}|(?i:{KEYS})[A-Za-z0-9_\-]{{0,20}}[\"'`]{{0,2}}$"
-#: What stands before a short value, which is masked nowhere else.
-_LEAD = rf"((?:[=:>]|(?i:{KEYS})[A-Za-z0-9_\-]{{0,20}})[\"'`]{{0,2}}[\x20\x09-\x0D]*[\"'`(]{{0,3}})"
 #: Parts of words that are common in identifiers and prose.
 DICTIONARY = (
     "the and for that with this from have not you are was all can has one our out get set new old key val map list item name user data file path test type time date code page site link text "
@@ -80,7 +78,11 @@ def features(value: Column, before: Column, word: Column, after: Column, path: C
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
-    """n made findings (value, before, word, after, path, label), alike everywhere: half of them secrets."""
+    """n made findings (value, before, word, after, path, label), alike everywhere: half of them secrets.
+
+    The path decides too: keys under tests, fixtures and examples are mostly dummies,
+    which are labelled 0, while the same shapes elsewhere are labelled 1.
+    """
     i = F.col("id")
     h = F.sha2(F.concat(F.lit(f"{seed}-"), i.cast("string")), 256)
     h2 = F.sha2(F.concat(F.lit(f"{seed}+"), i.cast("string")), 256)
@@ -88,7 +90,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     b64 = F.regexp_replace(F.base64(F.unhex(F.concat(h, h2))), "[=\n\r]", "")
     upper = F.upper(F.translate(F.substring(b64, 1, 60), "abcdefghijklmnopqrstuvwxyz+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ23"))
     pick = lambda k, words: F.element_at(F.array(*[F.lit(w) for w in words]), (r(k, len(words)) + 1).cast("int"))
-    plain = lambda k: pick(k, ["", "the", "onen", "reth.", "und", "que", "of", "ertion,", "in", "eau", "x1"])
+    plain = lambda k: pick(k, ["", "the", "water", "garden.", "und", "que", "of", "house,", "in", "soleil", "x1"])
     key = pick(1, ["token", "password", "secret", "api_key", "auth", "apikey", "TOKEN", "Secret"])
     other = pick(2, ["commit", "sha256", "md5", "checksum", "uuid", "hash", "build", "etag", "card", "order"])
     words = pick(3, ["getUserNameFromTable", "test_file_path_config", "index-page-example", "dataServiceManagerFactory", "sample_value_placeholder", "event_handler_request"])
@@ -97,7 +99,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     letters = F.translate(F.regexp_replace(b64, "[+/]", "k"), "0123456789", "ghJkmNpqRs")
     mixed = F.regexp_replace(b64, "[+/]", "7")
     some = lambda c, least, k: F.substr(c, F.lit(3), (r(k, 8) + least).cast("int"))
-    part = lambda k: pick(k, ["on", "tes", "ver", "al", "schaft", "ment", "en", "ique", "reth", "ado", "ing", "st", "ura", "ber"])
+    part = lambda k: pick(k, ["ka", "tos", "ver", "al", "schaft", "ment", "en", "ique", "lor", "ado", "ing", "st", "ura", "ber", "th", "and", "er", "eux", "mi", "gre", "son"])
     prose = F.concat(part(20), part(21), part(22))
     long_prose = F.concat(prose, pick(23, ["-", "", "_", ""]), part(24), part(25), part(26), F.lit("ation"), part(27))
     long_prose = F.when(r(39, 4) == 0, F.upper(long_prose)).when(r(39, 4) == 1, F.initcap(long_prose)).otherwise(long_prose)
@@ -105,7 +107,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     stands = pick(29, ["string", "example", "placeholder", "changeme", "value", "request.token", "user_name", "getUserName", "default", "config.value", "example_value", "user.name", "sample"])
     field = pick(30, ["region", "user", "name", "lang", "host", "type", "page", "title"])
     named = pick(31, ["us-east-1", "bobby", "alice", "localhost", "eu-west-2", "html5", "page-12", "admin", "index", "en-US1", "https", "10203"])
-    path = pick(4, ["src/app/main.py", "conf/prod.env", "web/site", "tests/unit/data.txt", "docs/example.md", "", "blog", "src7", "src0", "src12"])
+    dummy = pick(4, ["tests/unit/data.txt", "docs/example.md", "spec/keys.rb", "fixtures/a.json", "app/mock/auth.ts"])
+    real = pick(40, ["src/app/main.py", "conf/prod.env", "web/site", "", "", "blog", "crawl/page", "dump.sql", "mail/17"])
     # (value, what precedes it, its word, label)
     kinds = [
         (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), plain(5), "{}", 1),
@@ -144,6 +147,10 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
         (prose, pick(38, ["note:", "nota:", "x =", "siehe:"]), "{}", 0),
         (F.concat(F.lit("/"), prose, F.lit("/"), r(6, 9999).cast("string"), F.lit("/"), small, F.lit("-"), part(27)), plain(5), "https://www.example.com", 0),
         (F.concat(prose, F.lit("-"), small, F.lit("-"), prose), plain(5), "{}", 0),
+        # Dummies, by their path.
+        (F.substring(h, 1, 40), F.concat(key, F.lit(" =")), '"{}"', None),
+        (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), plain(5), "{}", None),
+        (some(mixed, 6, 32), plain(5), "password={}", None),
     ]
     # A word of a kind is a form for the value, or what stands before it.
     formed = lambda k: F.concat(k[2], k[0]) if isinstance(k[2], Column) else F.format_string(k[2].replace("{}", "%s"), k[0]) if "{}" in k[2] else F.concat(F.lit(k[2]), k[0])
@@ -152,8 +159,11 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
         enumerate(kinds),
         F.lit(None),
     )
-    return spark.range(0, n, 1, 4).select(row.alias("f"), plain(7).alias("first"), plain(8).alias("after"), path.alias("path")).select(
-        "f.value", F.concat_ws(" ", "first", "f.lead").alias("before"), "f.word", "after", "path", F.col("f.label").cast("double").alias("label")
+    # Of rows without a label of their kind a third stand elsewhere than in dummies' places, of other false ones nine in ten, and all true ones.
+    apart = F.when(F.col("f.label").isNull(), r(41, 3) == 0).otherwise((F.col("f.label") == 1) | (r(41, 10) > 0))
+    made = spark.range(0, n, 1, 4).select("id", row.alias("f"), plain(7).alias("first"), plain(8).alias("after")).withColumn("apart", apart)
+    return made.withColumn("path", F.when(F.col("apart"), real).otherwise(dummy)).withColumn("label", F.coalesce("f.label", F.col("apart").cast("int"))).select(
+        "f.value", F.concat_ws(" ", "first", "f.lead").alias("before"), "f.word", "after", "path", F.col("label").cast("double").alias("label")
     )
 
 
@@ -168,6 +178,16 @@ def _tree(lines: list[str], at: int) -> tuple[tuple, int]:
     return (int(m[1]), float(m[2]), yes, no), at
 
 
+def learn(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, limit: int = FINDINGS) -> tuple:
+    """Spark's own learner fitted on labelled findings, of which at most ``limit`` are read; and its table (features, label)."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = findings.limit(limit).select(features(*[F.coalesce(F.col(c), F.lit("")) for c in ("value", "before", "word", "after", "path")]).alias("f"), "label").select("f.*", "label")
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=128).fit(table), table
+
+
 class Forest:
     """Trees as plain tuples, and the share of their votes as a column."""
 
@@ -177,12 +197,11 @@ class Forest:
     @classmethod
     def fit(cls, findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, limit: int = FINDINGS) -> Forest:
         """Learns from labelled findings (as labelled_findings gives them), of which at most ``limit`` are read."""
-        from pyspark.ml.classification import RandomForestClassifier
-        from pyspark.ml.feature import VectorAssembler
+        return cls.of(learn(findings, trees, depth, seed, limit)[0])
 
-        rows = findings.limit(limit).select(features(*[F.coalesce(F.col(c), F.lit("")) for c in ("value", "before", "word", "after", "path")]).alias("f"), "label").select("f.*", "label")
-        table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
-        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=128).fit(table)
+    @classmethod
+    def of(cls, model) -> Forest:
+        """The trees of a fitted learner."""
         found = []
         for t in model.trees:
             lines = t.toDebugString.strip().split("\n")[1:]
@@ -210,7 +229,7 @@ def forest(spark: SparkSession) -> Forest:
 
 
 def findings(text: Column, path: Column, model: Forest) -> Column:
-    """An array of (place, value, votes) of every candidate in a text, places being words from 0."""
+    """An array of (place, at, value, votes) of every candidate in a text: the word, from 0, and the character in it."""
 
     def runs(i: Column, words: Column) -> Column:
         """Every run of one word: what stands between the last one and it, and itself."""
@@ -227,6 +246,7 @@ def findings(text: Column, path: Column, model: Forest) -> Column:
                 F.when(k > 0, F.get(all_, F.greatest(k - 1, F.lit(0)))["part"]).otherwise(before).alias("before"),
                 p["part"].alias("word"),
                 F.coalesce(F.get(all_, k + 1)["part"], next_word).alias("after"),
+                (F.aggregate(F.slice(all_, 1, k + 1), F.lit(0), lambda n, q: n + F.length(q["part"])) - F.length(p["value"])).cast("long").alias("at"),
             ),
         )
         return F.flatten(F.transform(F.array(parts), with_context))
@@ -236,35 +256,44 @@ def findings(text: Column, path: Column, model: Forest) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), hot)
         near = F.flatten(F.transform(F.when(F.size(words) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: runs(i, words)))
         seen = F.transform(F.filter(near, lambda c: c["value"].rlike("[A-Za-z0-9]")), lambda c: F.struct(c.alias("c"), features(c["value"], c["before"], c["word"], c["after"], path).alias("f")))
-        return F.transform(seen, lambda s: F.struct(s["c"]["place"].alias("place"), s["c"]["value"].alias("value"), F.round(model.votes(s["f"]), 6).alias("votes")))
+        return F.transform(seen, lambda s: F.struct(s["c"]["place"].alias("place"), s["c"]["at"].alias("at"), s["c"]["value"].alias("value"), F.round(model.votes(s["f"]), 6).alias("votes")))
 
-    empty = F.array().cast("array<struct<place: bigint, value: string, votes: double>>")
+    empty = F.array().cast("array<struct<place: bigint, at: bigint, value: string, votes: double>>")
     # Texts without a long run, an assignment or a key word go no further.
     return F.when(text.rlike(rf"[A-Za-z0-9+/_\-]{{16}}|[=:>]|(?i:{KEYS})"), F.transform(F.array(F.split(text, SPACE)), found)[0]).otherwise(empty)
 
 
+def masked_text(text: Column, secrets: Column, mask: str) -> Column:
+    """The text with the mask in the place of each secret; everything else, white space too, as it stands."""
+
+    def hidden(word: Column, i: Column) -> Column:
+        own = F.reverse(F.filter(secrets, lambda s: s["place"] == i))  # the last one first, so places before it hold
+        put = lambda w, s: F.concat(F.left(w, s["at"].cast("int")), F.lit(mask), F.substr(w, (s["at"] + F.length(s["value"]) + 1).cast("int")))
+        return F.aggregate(own, word, put)
+
+    gaps = F.concat(F.regexp_extract_all(text, F.lit(SPACE), F.lit(0)), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(F.transform(F.split(text, SPACE), hidden), gaps, lambda w, g: F.concat(w, g)), "")
+    return F.when(F.size(secrets) > 0, whole).otherwise(text)
+
+
 def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", model: Forest | None = None, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
-    """The input with secrets (array of place, value, votes; candidates that the forest accepts), candidates
-    (all of them) and masked (the text with each secret's value replaced).
+    """The input with secrets (array of place, at, value, votes; candidates that the forest accepts), candidates
+    (all of them) and masked (the text with each secret masked where it stands).
 
     Nulls: a null text has no candidates and stays null; a null path counts as
     empty.  Input columns of these names are replaced.  Repeated rows are scanned
-    each, and so is a value that occurs twice in a text.  A value of 16 characters or
-    more is masked wherever it occurs, a shorter one after an assignment or key word.
+    each, and so is a value that occurs twice in a text; the same characters
+    elsewhere, which the forest does not take for a secret there, stay.  An empty
+    table gives none; a text of any length is scanned whole.
     """
     model = model or forest(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     out = docs.withColumn("candidates", findings(F.coalesce(F.col(text_col), F.lit("")), path, model))
     out = out.withColumn("secrets", F.filter("candidates", lambda c: c["votes"] >= threshold))
-    # Longer values first, so none is replaced as a part of another.
-    values = F.transform(F.array_sort(F.transform("secrets", lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("v")))), lambda s: s["v"])
-    put = mask.replace("\\", r"\\").replace("$", r"\$")
-    at = lambda v: F.concat(F.lit(_LEAD + r"\Q"), v, F.lit(r"\E(?![A-Za-z0-9+/_\-])"))
-    masked_in = lambda t, v: F.when(F.length(v) >= 16, F.replace(t, v, F.lit(mask))).otherwise(F.regexp_replace(t, at(v), F.lit("$1" + put)))
-    return out.withColumn("masked", F.aggregate(values, F.col(text_col), masked_in))
+    return out.withColumn("masked", masked_text(F.col(text_col), F.col("secrets"), mask))
 
 
 def op4(spark, sf_dir):
     docs = core.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = scan(docs).select("doc_id", F.inline("candidates"))
-    return out.select("doc_id", "place", "value", "votes", (F.col("votes") >= 0.5).alias("kept"))
+    return out.select("doc_id", "place", "at", "value", "votes", (F.col("votes") >= 0.5).alias("kept"))

@@ -33,7 +33,11 @@ def _lengths(path: str):
 
 
 def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """n_tokens of each document; a null text has none."""
+    """n_tokens of each document; a null text has none.
+
+    Repeated rows count each, a text of any length is encoded whole, an empty table
+    gives no rows, and other columns (ids too, null or not) are not read.
+    """
     return docs.select(docs[text_col].alias("text")).mapInArrow(_lengths(tokenizer or tokens.byte_bpe_path()), "n_tokens long")
 
 
@@ -48,7 +52,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     # Read twice below; texts are encoded once.
     h = core.checkpoint(h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens_total").alias("t"))
-    # Few rows: one for every 4096 possible lengths.
+    # A row for every 4096 lengths that occur: a document of 10 GB is the bound of 2.5 million of them.
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     before = blocks.select(
@@ -82,7 +86,9 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 
 def totals_at(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, truncated_total, docs_over: exact for any limits, also such as no document has."""
+    """limit, truncated_total, docs_over: exact for any limits, also such as no document has; no limits give no rows."""
+    if not limits:
+        return hist.sparkSession.createDataFrame([], "limit long, truncated_total long, docs_over long")
     rows = ", ".join(f"({int(x)}L)" for x in limits)
     few = hist.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS v(limit)")
     # Each length meets each of the given few limits, before the sum.

@@ -139,8 +139,74 @@ def test_forest_is_right_on_findings_it_has_not_seen(spark):
 
 
 def test_compiled_trees_vote_as_the_learner_does(spark):
-    tree, at = secret_scan._tree(["If (feature 0 <= 20.5)", " If (feature 3 <= 0.1)", "  Predict: 1.0", " Else (feature 3 > 0.1)", "  Predict: 0.0", "Else (feature 0 > 20.5)", " Predict: 1.0"], 0)
-    assert at == 7 and tree == (0, 20.5, (3, 0.1, (1.0,), (0.0,)), (1.0,))
+    rows = secret_scan.labelled_findings(spark, 1000, seed=3)
+    model, table = secret_scan.learn(rows)
+    forest = secret_scan.Forest.of(model)
+    seen = table.collect()
+    want = [round(sum(t.predict(r.features) for t in model.trees) / len(model.trees), 6) for r in seen]
+    f = secret_scan.features(*[F.col(c) for c in ("value", "before", "word", "after", "path")])
+    got = [r.v for r in rows.select(f.alias("f")).select(F.round(forest.votes(F.col("f")), 6).alias("v")).collect()]
+    assert got == want and 0 < sum(v >= 0.5 for v in want) < len(want)
+    # The path the finding stands under decides too.
+    assert dict(zip(secret_scan.FEATURES, model.featureImportances.toArray()))["test_path"] > 0.01
+
+
+def test_a_key_is_judged_by_its_path(spark):
+    text = 'so secret = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" here'
+    df = spark.createDataFrame([(1, text, "src/app/main.py"), (2, text, "tests/unit/data.txt"), (3, text, None)], "doc_id long, text string, source string")
+    votes = {r.doc_id: r.candidates[0].votes for r in secret_scan.scan(df).collect()}
+    assert votes[1] >= 0.5 and votes[3] >= 0.5 and votes[2] < votes[1]
+
+
+def brute_candidates(text, path, trees):
+    """Every (place, at, value, votes) of a text, by another regex engine and plain loops."""
+    import regex
+
+    k, o = secret_scan.KEYS, secret_scan.OTHERS
+    words = re.split(secret_scan.SPACE, text)
+    find = lambda p, w: list(regex.finditer(f"(?s)(.*?)({p})", w))
+    out = []
+    if not re.search(rf"[A-Za-z0-9+/_\-]{{16}}|[=:>]|(?i:{k})", text):
+        return out
+    for i, w in enumerate(words):
+        before = " ".join(words[max(0, i - 2) : i])
+        if not (regex.search(secret_scan._HOT, w) or (i and regex.search(secret_scan._HOT_BEFORE, words[i - 1]))):
+            continue
+        inside, first = secret_scan._IN_WORD, secret_scan._FIRST
+        p = f"{first}{secret_scan.KEYED}|{inside}" if regex.search(secret_scan.KEY_BEFORE, before) else f"{inside}|{first}{secret_scan.SHORT}" if regex.search(secret_scan.ASSIGNED_BEFORE, before) else inside
+        found = find(p, w)
+        for n, m in enumerate(found):
+            value, part = m[2], m[0]
+            if not re.search("[A-Za-z0-9]", value):
+                continue
+            lead_words = found[n - 1][0] if n else before
+            after = found[n + 1][0] if n + 1 < len(found) else words[i + 1] if i + 1 < len(words) else ""
+            near = " ".join([lead_words, part.replace(value, " "), after]).lower()
+            lead = lead_words + " " + part[: part.rindex(value)]
+            share = lambda c: len(re.findall(c, value)) / len(value)
+            covered = 1 - len(re.sub("|".join(sorted(secret_scan.DICTIONARY, key=len, reverse=True)), "", value.lower())) / len(value)
+            f = [
+                len(value), share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"), len(set(value)) / len(value),
+                bool(re.search("^[0-9a-f]+$", value)), bool(re.search("^[0-9]+$", value)), covered,
+                bool(re.search(f"(^|[^a-z])({k})([^a-z]|$)", near)), bool(re.search(f"(^|[^a-z0-9])({o})([^a-z0-9]|$)", near)),
+                bool(re.search("[=:]>? *[\"'`(]{0,3}$", lead)), bool(re.search(rf"(?i:{k})[A-Za-z0-9_\-]{{0,20}}[\"'`]{{0,2}} *[=:>]{{1,2}} *[\"'`(]{{0,3}}$", lead)),
+                bool(re.search("(^|[/_.-])(test|tests|spec|fixture|fixtures|example|examples|doc|docs|mock)([/_.-]|$)", path.lower())),
+            ]
+
+            def vote(node):
+                return node[0] if len(node) == 1 else vote(node[2] if f[node[0]] <= node[1] else node[3])
+
+            out.append((i, m.start(2), value, round(sum(map(vote, trees)) / len(trees), 6)))
+    return out
+
+
+def test_query_equals_brute_force(spark, sf):
+    trees = secret_scan.forest(spark).trees
+    want = collections.Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want.update((r.doc_id, *c, c[3] >= 0.5) for c in brute_candidates(r.text or "", r.source or "", trees))
+    got = collections.Counter((r.doc_id, r.place, r["at"], r.value, round(r.votes, 6), r["kept"]) for r in secret_scan.op4(spark, sf).collect())
+    assert got == want and len(want) > 3
 
 
 def test_secrets_are_found_and_masked(spark):
@@ -182,6 +248,9 @@ def test_secrets_inside_words_and_short_ones(spark):
         (f"x {'.'.join(jwt)} y", "x [SECRET].[SECRET].[SECRET] y"),
         ("so password=hunter2x, test hunter2x", "so password=[SECRET], test hunter2x"),
         ("es password: kqzvtrbnwp es", "es password: [SECRET] es"),
+        ("go to postgres://admin:x9Kq2LmT7vRz4WcB8nYd@db.host now", "go to postgres://admin:[SECRET]@db.host now"),
+        (f'{{"aws_secret":"{hex40}q","user":"bob"}}', '{"aws_secret":"[SECRET]","user":"bob"}'),
+        (f"token: {hex40}\n\t blob {hex40[:9]} and\u00a0x ", f"token: [SECRET]\n\t blob {hex40[:9]} and\u00a0x "),
         ("the token from there: nothing", "the token from there: nothing"),
         ("une internationalization-verschaftment ici", "une internationalization-verschaftment ici"),
         ("Thlybleesonhetiou ERSCHSCHBERBERTZ", "Thlybleesonhetiou ERSCHSCHBERBERTZ"),

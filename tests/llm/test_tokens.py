@@ -192,3 +192,26 @@ def test_pieces_query(spark, sf):
         assert (r.n_tokens, r.n_bytes) == (len(ids), len(docs_[r.doc_id].encode()))
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_histogram_of_odd_tables(spark):
+    rows = [(None, "one two"), (1, "one two"), (1, "one two"), (2, None), (3, "")]
+    h = token_counts.histogram(token_counts.lengths(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_docs", F.lit("clash"))))
+    got = {r.n_tokens: r.n_docs for r in h.collect()}
+    assert got == {0: 2, 2: 3}
+    assert token_counts.totals_at(h, []).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert token_counts.histogram(token_counts.lengths(empty)).count() == 0
+
+
+def test_token_count_query(spark, sf):
+    """Against the library, document by document, and sums by plain loops."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokens.byte_bpe_path())
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    n = sorted(len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False))
+    got = {r.n_tokens: r for r in token_counts.op5(spark, sf).collect()}
+    assert set(got) == set(n)
+    for k, r in got.items():
+        assert (r.n_docs, r.docs_le, r.tokens_gt, r.truncated_total) == (n.count(k), sum(x <= k for x in n), sum(x for x in n if x > k), sum(min(x, k) for x in n))
