@@ -11,9 +11,10 @@ substrings' probed radii agrees with some probed value, so the join finds all of
 them.  What is found is ranked by the cosine of the original vectors, in double
 precision.
 
-A substring has 16 bits, or the logarithm of the table's rows if that is more, so a
-value's rows stay few as the table grows.  How many substrings there are is learned
-from the sample, so that its true neighbours are within the radius.
+A substring has 16 bits, or one more than the logarithm of the table's rows if that is
+more, so a value's rows stay few as the table grows.  How many substrings there are is
+learned from the sample, so that its true neighbours are within the radius: of a sample
+of a fifth of all rows, say, the nearest one stands for the five nearest of the table.
 
 Equal vectors are one class, which holds its ``k + 1`` smallest ids: more of them
 can never be among the nearest, as ties go to the smaller id.  So a vector that a
@@ -37,7 +38,7 @@ from . import core
 SAMPLE = 10_000
 ASKED = 200
 #: Share of true neighbours in the sample that the substrings must reach.
-REACH = 0.92
+REACH = 0.94
 #: Bits of a substring at least, and at most.
 BITS, MOST_BITS = 16, 30
 #: Values probed in each substring; doubled if so many substrings do not reach.
@@ -66,7 +67,7 @@ class Model:
         unit = x / np.linalg.norm(x, axis=1)[:, None]
         self.dim = x.shape[1]
         self.mean = unit.mean(0)
-        self.bits = int(min(MOST_BITS, max(BITS, np.ceil(np.log2(max(rows, 2))))))
+        self.bits = int(min(MOST_BITS, max(BITS, np.ceil(np.log2(max(rows, 2))) + 1)))
         z = unit - self.mean
         _, axes = np.linalg.eigh(z.T @ z)
         z = (z @ axes)[:4096]
@@ -81,7 +82,7 @@ class Model:
         self.turns = np.concatenate(turns, axis=1)
         self.probes = min(PROBES, len(flips(self.bits)[0]))
         self.substrings = SUBSTRINGS[-1]
-        self._fit(unit, k, reach)
+        self._fit(unit, max(1, round(k * len(x) / max(rows, 1))), k, reach)
         self.turns = self.turns[:, : self.substrings * self.bits].copy()
 
     def coordinates(self, x: np.ndarray) -> np.ndarray:
@@ -102,9 +103,12 @@ class Model:
             return np.tile(masks, (len(z), 1))
         return masks[np.argpartition(cost, self.probes - 1, axis=1)[:, : self.probes]]
 
-    def _fit(self, unit: np.ndarray, k: int, reach: float) -> None:
-        """The fewest substrings, and then probes, that find this share of the sample's own neighbours."""
-        own = np.unique(np.linspace(0, len(unit) - 1, min(ASKED, len(unit))).astype(int))
+    def _fit(self, unit: np.ndarray, k: int, most: int, reach: float) -> None:
+        """The fewest substrings, and then probes, that find this share of the sample's own ``k`` nearest.
+
+        Where these are fewer than ``most``, up to three times as many rows ask, for as steady a share.
+        """
+        own = np.unique(np.linspace(0, len(unit) - 1, min(ASKED * min(3, most // k), len(unit))).astype(int))
         sim = unit[own] @ unit.T
         sim[np.arange(len(own)), own] = -2
         near = np.argsort(-sim, axis=1)[:, : min(k, len(unit) - 1)]
