@@ -39,13 +39,14 @@ def _small(edges: DataFrame, many: int) -> DataFrame:
     return _tie(down, least, many).select(F.col("m").alias("a"), "b").unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """vertex, component (its least vertex) of every vertex in the links (a, b).
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
+    """vertex, component (its least vertex) of every vertex in the links (a, b), of which there are at most ``most`` if that is known.
 
     Every round goes to files in the shared folder, so the plan stays short and a
-    lost executor costs one round; the round before is removed.
+    lost executor costs one round; the round before is removed.  Files follow the
+    number of edges, which no round raises above that of edges and vertices.
     """
-    edges = core.checkpoint(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = core.checkpoint(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), most)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -55,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
         if not before[0]:
             break
         many = max(SALT, before[0] // (4 * core.partitions(links.sparkSession)))
-        new = core.checkpoint(_small(_large(edges, many), many))
+        new = core.checkpoint(_small(_large(edges, many), many), 3 * before[0])
         core.release(edges)
         edges, now = new, state(new)
         if now == before:

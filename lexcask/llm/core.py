@@ -289,9 +289,16 @@ def repeat_flags(found: np.ndarray, n_buckets: int, replies: pa.Table) -> tuple[
     return rep[inv], hot[inv]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+#: Rows of a checkpoint's file, where a bound of them is known.
+FILE_ROWS = 500_000
+
+
+def checkpoint(df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
     """The same rows from files in the cluster's shared checkpoint folder (spark.checkpoint.dir).
 
+    If there are known to be at most ``rows``, there are no more files than one for
+    ``each`` so many: an iteration over few rows does not write a file a partition.
+
     Where that is unset, one machine's session uses a folder of its own, as in tests;
     on a cluster, whose machines could not read it, that is an error.
     """
@@ -306,7 +313,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             shared = tempfile.mkdtemp(prefix="lexcask-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(1, -(-rows // each)))).checkpoint()
 
 
 def release(df: DataFrame) -> None:

@@ -46,6 +46,8 @@ BLOCK = 2048
 SMALL = 24
 #: Members of a star whose sets one task compares with the leader's.
 SALT = 256
+#: Signatures in a file.
+SIGNED_ROWS = 20_000
 
 
 def _constants(n: int) -> np.ndarray:
@@ -323,14 +325,14 @@ def _confirm(threshold: int):
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, most: int | None = None) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
     A pair's second set goes to the first's; a vertex with many pairs is salted,
-    its own set sent to each salt.
+    its own set sent to each salt.  ``most`` bounds the vertices, if it is known.
     """
     # From files, so that both sides of the join below are plain exchanges, which adaptive execution splits where a vertex has many pairs.
-    degree = core.checkpoint(pairs.groupBy("a").agg(F.count("*").alias("deg")))
+    degree = core.checkpoint(pairs.groupBy("a").agg(F.count("*").alias("deg")), most)
     salts = degree.select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("deg") / SALT).cast("int"))).alias("salt"), "deg")
     left = salts.join(sets, salts["a"] == sets["v"]).select("v", "salt", "shingles")
     # The salt hangs on b alone, so both sides agree.
@@ -364,17 +366,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One vertex for each set; copies are counted before the shuffle.
     classes = real.groupBy("digest").agg(F.min("id").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("head").alias("head"))
     classes = core.checkpoint(classes)
-    n_parts = max(core.partitions(spark), classes.count() * (2 * permutations // rows) // 500_000)
+    n_classes, n_bands = classes.count(), 2 * permutations // rows
+    n_parts = max(core.partitions(spark), n_classes * n_bands // 500_000)
+    # A class has at most one star in each band, or in each value of its prefix.
+    n_stars = None if exact else n_classes * (n_bands + SMALL)
 
     dealt = classes.select("v", "n", "sig", "head").mapInArrow(_deal(n_parts, rows), "part int, blob binary").groupBy("part")
     # From here on only the entries of bands that several members share, and their signatures.
     entries = core.checkpoint(dealt.applyInArrow(_shared, "band long, v long, n long"))
     part = F.pmod(F.xxhash64("band"), F.lit(n_parts)).alias("part")
-    stars = core.checkpoint(entries.select("*", part).groupBy("part").applyInArrow(_stars(threshold), "a long, b long").distinct())
-    signed = core.checkpoint(classes.join(entries.select("v").distinct(), "v", "left_semi").select("v", "n", "sig"))
+    stars = core.checkpoint(entries.select("*", part).groupBy("part").applyInArrow(_stars(threshold), "a long, b long").distinct(), n_stars)
+    signed = core.checkpoint(classes.join(entries.select("v").distinct(), "v", "left_semi").select("v", "n", "sig"), n_classes, SIGNED_ROWS)
     wanted = signed.select(F.col("v").alias("id"))
     sets = core.checkpoint(rows_in.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "v long, shingles binary").distinct())
-    found = components(confirmed(stars, sets, threshold))
+    found = components(confirmed(stars, sets, threshold, n_classes), n_stars)
     labelled = entries.join(found, entries["v"] == found["vertex"], "left").select("band", "v", "n", F.coalesce("component", "v").alias("label"), part)
     # Bands that still hold members of several components.
     split = labelled.groupBy("part").applyInArrow(lambda t: _split(t, threshold), "block binary, side int, v long, label long")
