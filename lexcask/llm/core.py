@@ -59,6 +59,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a table of fewer splits than there are cores, dealt out; a table of enough splits stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunks_of(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
     """(chunk, id, text, row, carried columns) with documents dealt by a hash; the number of chunks and of buckets.
 

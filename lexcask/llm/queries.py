@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hamming_search, near_dedup, packing, path_dedup, pieces, quality, secret_scan, sql, suffix_dedup, token_counts, url_trust
+from . import chat_format, hamming_search, hard_negatives, kd_clusters, near_dedup, packing, path_dedup, pieces, quality, secret_scan, sql, suffix_dedup, token_counts, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_near_dedup": near_dedup.op9,
     "op10_pieces": pieces.op10,
+    "op11_chat_format": chat_format.op11,
+    "op12_hard_negatives": hard_negatives.op12,
+    "op13_kd_clusters": kd_clusters.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +26,7 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.kept_sql(),
     "op8_suffix_dedup": sql.SUFFIX_DEDUP,
     "op9_near_dedup": sql.NEAR_DEDUP,
+    "op11_chat_format": chat_format.formatted_sql(),
+    "op12_hard_negatives": hard_negatives.negatives_sql(),
+    "op13_kd_clusters": kd_clusters.clusters_sql(),
 }
