@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,8 +23,11 @@ MESSAGES = "message_id string, arrival_seq long, body string, attempts int"
 
 
 def messages(spark: SparkSession, path: str, files_per_batch: int = BATCH_FILES) -> DataFrame:
-    """A queue as a folder of JSON lines; the checkpoint takes the place of visibility timeouts."""
-    return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", files_per_batch).json(path)
+    """A queue as a folder of JSON lines, with all below it: what is delivered again is read like what is new.
+
+    The checkpoint takes the place of visibility timeouts.
+    """
+    return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(path)
 
 
 def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -33,12 +36,13 @@ def run(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: s
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=WAIT)).start()
 
 
-def redrive(failed: DataFrame, retry: str, dead: str, batch_id: int, error: str) -> None:
+def redrive(failed: DataFrame, retry: str, dead: str, batch_id: int | str, error: str | Column) -> None:
     """Failed messages go back with one more attempt and the error; those at the limit go to the dead-letter folder.
 
     Each batch has a folder of its own, overwritten if it is run again, so that no message is retried twice for one fault.
     """
-    again = failed.withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1).withColumn("error", F.lit(error)).persist()
+    said = error if isinstance(error, Column) else F.lit(error)
+    again = failed.select("message_id", "arrival_seq", "body", (F.coalesce("attempts", F.lit(0)) + 1).alias("attempts"), said.alias("error")).persist()
     again.filter(F.col("attempts") < MAX_RECEIVES).write.mode("overwrite").json(f"{retry}/batch={batch_id}")
     again.filter(F.col("attempts") >= MAX_RECEIVES).write.mode("overwrite").json(f"{dead}/batch={batch_id}")
     again.unpersist()
