@@ -163,7 +163,33 @@ semantic AS MATERIALIZED (SELECT doc_id, chunk_ord, string_agg(sentence, ' ' ORD
 )
 _CHUNK_ID = "replace(replace(doc_id, 'raws/', ''), '.txt', '') || '_chunk_' || printf('%04d', {n})"
 
+_NUMBER = "CAST(regexp_extract({k}, '([0-9]+)', 1) AS BIGINT)"
+_INGESTED = (
+    _CHUNKED.replace(FIXTURES["chunks"], "SELECT key AS doc_id, 1 AS chunk_ord, '' AS chunk_id, text FROM (" + FIXTURES["raw_objects"] + ") WHERE (ends_with(key, '.txt') OR ends_with(key, '.md')) AND " + _NUMBER.format(k="key") + " % 13 <> 0")
+    + ", "
+    + _with("raw_objects", "manifest_before", "created_messages")[5:]
+    + f""",
+old AS (SELECT key AS doc_id, {_NUMBER.format(k='key')} AS n, status, text FROM raw_objects LEFT JOIN manifest_before ON doc_id = key),
+work AS (SELECT doc_id, n, text FROM old WHERE coalesce(status, 'ingest failed') = 'ingest failed' AND n % 17 <> 0),
+failed AS (SELECT doc_id, CASE WHEN n % 13 = 0 THEN 'no such object' WHEN ends_with(doc_id, '.pdf') THEN 'no PDF reader is plugged in' WHEN ends_with(doc_id, '.docx') THEN 'BadZipFile: File is not a zip file'
+  WHEN ends_with(doc_id, '.html') THEN 'Unsupported file type' WHEN {_norm('text')} = '' THEN 'document text extraction failed' END AS error_message FROM work),
+good AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS change_id FROM failed WHERE error_message IS NULL),
+words AS (SELECT doc_id, chunk_ord, text, len({_words('text')}) AS w FROM semantic),
+made AS (SELECT doc_id, count(*) AS n_chunks, sum(length(text)) AS chunk_chars, regexp_replace(replace(doc_id, 'raws/', ''), '[.][^.]*$', '') || '_chunk_' || printf('%04d', max(chunk_ord)) AS last_chunk,
+  CASE WHEN count(*) > 200 THEN ceil(count(*) / greatest(1, count(*) // 5)) ELSE 1 END AS n_batches, sum(w) AS n_words FROM words WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY doc_id)"""
+)
+
 ORACLES = {
+    "ingest_batch": _INGESTED
+    + """ SELECT d.doc_id, CASE WHEN g.doc_id IS NOT NULL THEN 'indexed' WHEN f.doc_id IS NOT NULL THEN 'ingest failed' ELSE d.status END AS status, CASE WHEN f.doc_id IS NULL THEN 'before' ELSE 'ingest-0' END AS req_id, f.error_message, CAST(coalesce(n_chunks, 0) AS INTEGER) AS n_keys,
+  n_chunks, CAST(chunk_chars AS BIGINT) AS chunk_chars, last_chunk, CAST(n_batches AS BIGINT) AS n_batches, CAST(n_words AS BIGINT) AS n_words, change_id, CASE WHEN g.doc_id IS NOT NULL THEN 'upsert' END AS op
+FROM old d LEFT JOIN failed f ON f.doc_id = d.doc_id LEFT JOIN good g ON g.doc_id = d.doc_id LEFT JOIN made m ON m.doc_id = d.doc_id WHERE d.status IS NOT NULL OR f.doc_id IS NOT NULL""",
+    "delete_batch": _with("chunks", "manifest_full")
+    + f""", asked AS (SELECT *, {_NUMBER.format(k='doc_id')} % 3 <> 0 AND {_NUMBER.format(k='doc_id')} % 5 <> 0 AND status IN ('indexed', 'delete failed') AS gone FROM manifest_full),
+ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS change_id FROM asked WHERE gone)
+SELECT a.doc_id, CASE WHEN gone THEN 'deleted' ELSE status END AS status, CASE WHEN gone THEN 'delete-0' ELSE 'before' END AS req_id, CASE WHEN gone OR status = 'deleted' THEN [] ELSE [a.chunk_id] END AS vector_keys,
+  CASE WHEN NOT gone AND status <> 'deleted' THEN 1 END AS n_chunks, CASE WHEN NOT gone AND status <> 'deleted' THEN CAST(length(c.text) AS BIGINT) END AS chunk_chars, CASE WHEN NOT gone AND status <> 'deleted' THEN 1 END AS n_vectors, change_id, CASE WHEN gone THEN 'delete' END AS op
+FROM asked a JOIN chunks c ON c.doc_id = a.doc_id LEFT JOIN ids ON ids.doc_id = a.doc_id""",
     "upload_plan": _with("raw_objects") + " SELECT replace(key, 'raws/', '') AS name, octet_length(encode(text)) AS size, 'raws/' || regexp_replace(replace(key, 'raws/', ''), '[.][^.]*$', '') || '-(id)' || regexp_extract(key, '[.][^.]*$') AS key FROM raw_objects",
     "list_documents": _with("raw_objects") + " SELECT key AS \"docId\", original_filename AS \"fileName\", strftime(to_timestamp(1700000000 + n_chars * 60) AT TIME ZONE 'UTC', '%Y-%m-%d') AS \"uploadedAt\" FROM raw_objects",
     "delete_raw_document": _with("raw_objects") + " SELECT key, n_chars FROM raw_objects WHERE NOT ends_with(key, '.html')",

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import bm25, changelog, chunking, corpus, embedding, events, manifest, search, snapshot, vectors
-from ..sources import lake
+from ..sources import lake, store
 from ..sources.fixtures import dealt, frame
+from ..sources.scratch import shared_folder
+from ..streaming import workers
 
 BUCKET = "corpus-bucket"
 #: A cursor and a snapshot's version in the middle of the log.
@@ -321,12 +323,54 @@ def semantic_search(spark, d):
     return search.search(chunking.semantic_chunks(dealt(_docs(spark, d))).select("doc_id", "chunk_ord", "text"), _queries(spark, d))
 
 
+def _worker(spark, d):
+    """A worker over an empty store; every 13th document's object is missing."""
+    root = shared_folder(spark, "corpus")
+    objects = dealt(frame(spark, d, "raw_objects")).filter(F.regexp_extract("key", "([0-9]+)", 1).cast("long") % 13 != 0).select(F.col("key").alias("doc_id"), F.encode("text", "utf-8").alias("content"))
+    queues = workers.Queues(f"{root}/queue/retry", f"{root}/dead", f"{root}/refused", f"{root}/index")
+    return workers.Worker(store.Store(spark, f"{root}/store"), queues, lambda s: objects, BUCKET)
+
+
+def _manifest_rows(rows, vector_keys):
+    none = F.lit(None).cast("string")
+    return rows.select("doc_id", F.lit(BUCKET).alias("bucket_name"), "status", F.lit("before").alias("req_id"), vector_keys.alias("vector_keys"), none.alias("error_message"))
+
+
+def ingest_batch(spark, d):
+    """Every document's created event in one batch, over a manifest that knows a third of the documents: what the store holds then."""
+    w = _worker(spark, d)
+    before = _manifest_rows(frame(spark, d, "manifest_before"), F.array().cast("array<string>"))
+    w.store.commit(lambda now: store.Written(now, {"manifest": w.store.replace("manifest", now, before.select("doc_id"), before)}))
+    w.ingestion()(frame(spark, d, "created_messages"), 0)
+    chunks = w.store.read("chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chunk_chars"), F.max("chunk_id").alias("last_chunk"))
+    batches = w.store.read("vectors").groupBy("doc_id").agg((F.max("batch_no") + 1).alias("n_batches"), F.sum(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).cast("long").alias("n_words"))
+    rows = w.store.read("manifest").join(chunks, "doc_id", "left").join(batches, "doc_id", "left").join(w.store.changes().select("doc_id", "change_id", "op"), "doc_id", "left")
+    return rows.select("doc_id", "status", "req_id", "error_message", F.size("vector_keys").alias("n_keys"), "n_chunks", "chunk_chars", "last_chunk", "n_batches", "n_words", "change_id", "op")
+
+
+def delete_batch(spark, d):
+    """Removed events of two thirds of the documents in one batch: what the store holds then."""
+    w = _worker(spark, d)
+    full = frame(spark, d, "manifest_full")
+    there = F.col("status") != "deleted"
+    before = _manifest_rows(full, F.when(there, F.array("chunk_id")).otherwise(F.array().cast("array<string>")))
+    chunks = frame(spark, d, "chunks").join(full.filter(there).select("doc_id"), "doc_id", "left_semi")
+    records = full.filter(there).select("doc_id", F.col("chunk_id").alias("key"), F.lit(0).cast("long").alias("batch_no"), F.array(F.col("n_chars").cast("float")).alias("embedding"))
+    put = lambda now, table, rows: w.store.replace(table, now, rows.select("doc_id"), rows)
+    w.store.commit(lambda now: store.Written(now, {t: put(now, t, r) for t, r in (("manifest", before), ("chunks", chunks), ("vectors", records))}))
+    w.deletion()(frame(spark, d, "removed_messages"), 0)
+    n_chunks = w.store.read("chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chunk_chars"))
+    n_vectors = w.store.read("vectors").groupBy("doc_id").agg(F.count("*").alias("n_vectors"))
+    rows = w.store.read("manifest").join(n_chunks, "doc_id", "left").join(n_vectors, "doc_id", "left").join(w.store.changes().select("doc_id", "change_id", "op"), "doc_id", "left")
+    return rows.select("doc_id", "status", "req_id", "vector_keys", "n_chunks", "chunk_chars", "n_vectors", "change_id", "op")
+
+
 NAMES = (
     "upload_plan list_documents delete_raw_document extract_text_route decode_utf8_replace chunks_to_jsonl load_chunks delete_chunks vector_batches vector_batch_summary "
     "delete_vectors vector_topk indexed_doc_ids append_change_log changes_since latest_change_id net_changes advance_cursor is_stale bootstrap_corpus apply_delta remove_doc "
     "merge_chunks doc_chunk_index chunk_to_doc chunk_payload chunk_ids embed_chunks load_snapshot publish_snapshot snapshot_stats read_pointer rebuild_needed rebuild_guard "
     "validate_publish_event validate_created_events validate_removed_events normalize_index_events coalesce_events target_version batch_failures manifest_fold claim_outcomes "
     "validate_chat tokenize_overlap tokenize_ws normalize_whitespace snippet decode_keys doc_name chunk_key bm25_doc_stats bm25_term_stats bm25_topk rerank_overlap "
-    "rerank_empty_tokens chat_answer sentence_distances chunk_breakpoints semantic_chunks semantic_search"
+    "rerank_empty_tokens chat_answer sentence_distances chunk_breakpoints semantic_chunks semantic_search ingest_batch delete_batch"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

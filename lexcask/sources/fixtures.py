@@ -30,6 +30,15 @@ FROM events""",
       || '","corpus_version":' || CAST(event_id - event_id % 3 AS STRING) || '}' END AS body
 FROM events""",
     "manifest_actions": "SELECT 'raws/doc-' || CAST(user_id AS STRING) || '.txt' AS doc_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'claim_ingest' WHEN 'purchase' THEN 'finalize_ingest' WHEN 'error' THEN 'fail_ingest' WHEN 'click' THEN 'claim_delete' ELSE 'finalize_delete' END AS action, 'req-' || CAST(event_id % 2 AS STRING) AS req_id FROM events",
+    # A created and a removed event of documents, and what the manifest knows of them before.
+    "created_messages": f"""SELECT 'i-' || CAST(doc_id AS STRING) AS message_id, doc_id AS arrival_seq, 0 AS attempts,
+  '{{"Records":[{{"eventName":"' || CASE WHEN doc_id % 17 = 0 THEN 'ObjectTagging:Put' ELSE 'ObjectCreated:Put' END || '","s3":{{"bucket":{{"name":"corpus-bucket"}},"object":{{"key":"raws/doc-' || CAST(doc_id AS STRING) || {_EXT.format(id='doc_id')} || '"}}}}}}]}}' AS body
+FROM documents""",
+    "removed_messages": """SELECT 'r-' || CAST(doc_id AS STRING) AS message_id, doc_id AS arrival_seq, 0 AS attempts,
+  '{"Records":[{"eventName":"ObjectRemoved:Delete","s3":{"bucket":{"name":"' || CASE WHEN doc_id % 5 = 0 THEN 'other-bucket' ELSE 'corpus-bucket' END || '"},"object":{"key":"raws/doc-' || CAST(doc_id AS STRING) || '.txt"}}}]}' AS body
+FROM documents WHERE doc_id % 3 <> 0""",
+    "manifest_before": f"SELECT 'raws/doc-' || CAST(doc_id AS STRING) || {_EXT.format(id='doc_id')} AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'deleted' WHEN doc_id % 2 = 0 THEN 'ingest failed' ELSE 'indexed' END AS status FROM documents WHERE doc_id % 3 = 0",
+    "manifest_full": "SELECT 'raws/doc-' || CAST(doc_id AS STRING) || '.txt' AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'deleted' WHEN doc_id % 11 = 0 THEN 'ingest failed' WHEN doc_id % 13 = 0 THEN 'delete failed' ELSE 'indexed' END AS status, 'doc-' || CAST(doc_id AS STRING) || '_chunk_0001' AS chunk_id, n_chars FROM documents",
     "chat_requests": "SELECT conv_id, turn, role, text AS message FROM conversations",
     "search_queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
     "vector_records": "SELECT 'raws/doc-' || CAST(label AS STRING) || '.txt' AS doc_id, 'doc-' || CAST(label AS STRING) || '_chunk_' || CAST(vec_id AS STRING) AS key, embedding FROM embeddings",
