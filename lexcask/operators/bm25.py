@@ -1,29 +1,35 @@
-"""Okapi BM25 over chunks (doc_id, chunk_ord, text) by joins on postings.
-
-Terms are words as they stand.  Words meet the queries' terms before they are
-counted, so postings of other terms are never built; how many chunks hold a term is
-counted from each chunk's distinct words, mostly before the exchange.  The corpus's
-totals are one row.  Scores are rounded before they are ranked, and ties go by
-document and chunk, so the order is total.  ``write_index`` keeps postings and
-statistics as tables, so a corpus is cut into words once for each refresh.
+"""Okapi BM25 over chunks (doc_id, chunk_ord, text), by joins on a kept index of blocks.
+
+Terms are words as they stand.  Scores are rounded before they are ranked, and ties go by
+document and chunk, so the order is total.
+
+The best ``k`` chunks of a query are found without scoring every chunk that holds one of
+its words.  Its rarest words alone give ``k`` chunks whose least score is a floor.  Words
+are then taken by what they can add at most: those that together stay below the floor
+cannot lift a chunk over it, so only chunks that hold one of the others come into
+question, and of those only blocks whose own bound, with all other words at their most,
+reaches the floor.  The frequent words are looked up for what is left, in the blocks where
+it lies.  All bounds are over non-negative weights; where a word's weight is negative (the
+mean of all idf is, as in tiny corpora) every word is taken in full.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_tokens
+from ..sources.scratch import shared_folder
+from . import segments
+from .segments import Index
 
 # The usual constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 #: Different terms of all queries that are sent to every task, at most.
 SENT_TERMS = 200_000
-#: Ranges of terms that a kept index is written in.
-TERM_FILES = 64
+#: What rounding may have moved a score by, and sums of bounds.
+MARGIN = 2e-6
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
@@ -36,82 +42,136 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return doc_stats(chunks).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 
-def _words(chunks: DataFrame) -> DataFrame:
-    """term, doc_id, chunk_ord, dl of every word of every chunk."""
-    words = chunks.select("doc_id", "chunk_ord", ws_tokens(F.col("text")).alias("w"))
-    return words.select(F.explode("w").alias("term"), "doc_id", "chunk_ord", F.size("w").cast("long").alias("dl"))
-
-
-def _counted(words: DataFrame) -> DataFrame:
-    return words.groupBy("term", "doc_id", "chunk_ord").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, doc_id, chunk_ord, tf, dl."""
-    return _counted(_words(chunks))
-
-
-def term_stats(chunks: DataFrame) -> DataFrame:
-    """term, df, idf; a negative idf becomes a quarter of the mean over all terms."""
-    df = chunks.select(F.explode(F.array_distinct(ws_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus_stats(chunks))).select("term", "df", (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+def with_idf(df: DataFrame, n_chunks: Column) -> DataFrame:
+    """term, df, idf of terms counted over ``n_chunks``; a negative idf becomes a quarter of the mean over all terms."""
+    raw = df.select("term", "df", (F.log(n_chunks - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
-@dataclass(frozen=True)
-class Index:
-    """postings (term, doc_id, chunk_ord, tf, dl), terms (term, df, idf) and totals (n_chunks, avgdl) of a corpus."""
-
-    postings: DataFrame
-    terms: DataFrame
-    totals: DataFrame
-
-
-def write_index(chunks: DataFrame, path: str) -> Index:
-    """Writes a corpus's index, postings sorted by term so that a term's are read alone, and reads it back."""
-    postings(chunks).repartitionByRange(TERM_FILES, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    term_stats(chunks).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_stats(chunks).write.mode("overwrite").parquet(f"{path}/totals")
-    return read_index(chunks.sparkSession, path)
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")])
-
-
-def scores(chunks: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
-    """query_id, doc_id, chunk_ord, score of the chunks that hold a term of a query (query_id, query); repeats count.
-
-    With a kept ``index`` its postings are read, else only those of the queries' terms are
-    counted.  Either way rows stay dealt by document, so counts and scores need no exchange of
-    words; the queries' terms are sent to every task if they are few, else joined.
-    """
-    chunks = chunks.repartition("doc_id")
-    asked = queries.select("query_id", F.explode(ws_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    to_all = F.broadcast if asked.count() <= SENT_TERMS else lambda df: df
-    terms, totals = (index.terms, index.totals) if index else (term_stats(chunks), corpus_stats(chunks))
-    wanted = to_all(asked.select("term").distinct())
-    found = index.postings.join(wanted, "term", "left_semi").repartition("doc_id") if index else _counted(_words(chunks).join(wanted, "term", "left_semi"))
-    weight = (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hit = found.join(to_all(terms.join(to_all(asked), "term")), "term").crossJoin(F.broadcast(totals))
-    return hit.groupBy("query_id", "doc_id", "chunk_ord").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), DIGITS).alias("score"))
-
-
-def top_k(chunks: DataFrame, queries: DataFrame, k: int = 20, index: Index | None = None) -> DataFrame:
-    """query_id, doc_id, chunk_ord, score, rank (from 0) of each query's best ``k`` chunks.
-
-    Chunks without any term score 0 and fill up what is missing, in their order.
-    With a mean idf above 0 all scores are positive, so the first 2 * k chunks hold
-    enough of them; otherwise (where most terms stand in most chunks, as only in
-    tiny corpora) every chunk is considered.
-    """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_ord")
-    best = scores(chunks, queries, index).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).drop("rank")
-    texts = chunks.select("doc_id", "chunk_ord", "text")
-    least = (index.terms if index else term_stats(chunks)).agg(F.min("idf").alias("least"))
-    every = texts.crossJoin(F.broadcast(least)).filter("least <= 0 OR least IS NULL").select("doc_id", "chunk_ord", "text")
-    some = texts.orderBy("doc_id", "chunk_ord").limit(2 * k).unionByName(every).distinct()
-    pairs = queries.crossJoin(some).filter(~F.coalesce(F.arrays_overlap(ws_tokens(F.col("query")), ws_tokens(F.col("text"))), F.lit(False)))
-    fill = pairs.select("query_id", "doc_id", "chunk_ord", F.lit(0.0).alias("score"))
-    return best.unionByName(fill).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+def term_stats(chunks: DataFrame) -> DataFrame:
+    """term, df, idf of a corpus without an index."""
+    df = chunks.select(F.explode(F.array_distinct(ws_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return with_idf(df.crossJoin(F.broadcast(corpus_stats(chunks))), F.col("n_chunks")).select("term", "df", "idf")
+
+
+def index_term_stats(index: Index) -> DataFrame:
+    """term, df, idf of an index."""
+    return with_idf(index.df(), F.lit(index.state.n_chunks))
+
+
+def _kept(rows: DataFrame, folder: str) -> DataFrame:
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+class Search:
+    """One set of queries (query_id, query) against an index."""
+
+    def __init__(self, index: Index, queries: DataFrame, k: int):
+        self.index, self.queries, self.k = index, queries, k
+        self.folder = shared_folder(index.spark, "search")
+        state = index.state
+        self.avgdl = state.n_words / state.n_chunks if state.n_chunks and state.n_words else 1.0
+        asked = queries.select("query_id", F.explode(ws_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        asked = _kept(asked, f"{self.folder}/asked")
+        terms = asked.select("term").distinct()
+        n_terms, slots = terms.agg(F.count("*"), F.collect_set(segments.slot(F.col("term")))).first()
+        #: A table of the queries' terms goes to every task if it is small, else it is joined.
+        self.sent = F.broadcast if n_terms <= SENT_TERMS else lambda rows: rows
+        self.blocks = index.blocks(slots).join(self.sent(terms), "term", "left_semi")
+        bound = self.blocks.groupBy("term").agg(F.max(self.tf_weight(F.col("max_tf"), F.col("min_dl"))).alias("most"))
+        weighed = asked.join(self.sent(index_term_stats(index).join(self.sent(terms), "term", "left_semi").join(bound, "term")), "term")
+        #: query_id, term, w (weight of the term in the query), df, ub (what it can add to a chunk at most).
+        self.weights = _kept(weighed.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df", (F.col("qtf") * F.col("idf") * F.col("most")).alias("ub")), f"{self.folder}/weights")
+        self.negative = bool(self.weights.filter("w < 0").limit(1).count())
+
+    def tf_weight(self, tf: Column, dl: Column) -> Column:
+        return (K1 + 1) * tf / (tf + K1 * (1 - B + B * dl / F.lit(self.avgdl)))
+
+    def postings(self, blocks: DataFrame, *keep: str) -> DataFrame:
+        """seg, n, part (what the term adds) of every chunk in blocks that have w."""
+        rows = blocks.select(*keep, "seg", "w", F.explode(F.arrays_zip("ns", "tfs", "dls")).alias("p"))
+        return rows.select(*keep, "seg", F.col("p.ns").alias("n"), (F.col("w") * self.tf_weight(F.col("p.tfs"), F.col("p.dls"))).alias("part"))
+
+    def floors(self) -> DataFrame:
+        """query_id, floor: the k-th best score by the rarest words alone; queries whose rarest words stand in fewer chunks have none."""
+        rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+        some = self.weights.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("before") < 4 * self.k)
+        parts = self.index.alive(self.postings(self.blocks.join(self.sent(some.select("query_id", "term", "w")), "term"), "query_id"))
+        scored = parts.groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
+        return scored.select("query_id", "s", place.alias("place")).filter(F.col("place") == self.k).select("query_id", F.col("s").alias("floor"))
+
+    def terms(self) -> DataFrame:
+        """The weights with floor, whether a term is needed to reach it, the bounds of those that are not, and of all."""
+        if self.negative:
+            return self.weights.select("*", F.lit(float("-inf")).alias("floor"), F.lit(True).alias("needed"), F.lit(0.0).alias("rest"), F.lit(float("inf")).alias("all"))
+        w = Window.partitionBy("query_id")
+        rows = self.weights.join(F.broadcast(self.floors()), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        upto = F.sum("ub").over(w.orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.withColumn("needed", upto + MARGIN >= F.col("floor"))
+        return rows.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("ub"))).over(w), F.lit(0.0))).withColumn("all", F.sum("ub").over(w))
+
+    def scores(self) -> DataFrame:
+        """query_id, seg, n, score of every chunk that can be among a query's best; all that hold a word where there is no floor."""
+        terms = _kept(self.terms(), f"{self.folder}/terms")
+        first = self.blocks.join(self.sent(terms.filter("needed")), "term")
+        most = F.col("w") * self.tf_weight(F.col("max_tf"), F.col("min_dl"))
+        first = first.filter(most + F.col("all") - F.col("ub") + MARGIN >= F.col("floor"))
+        found = self.postings(first, "query_id", "floor", "rest").groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+        found = self.index.alive(found.filter(F.col("s") + F.col("rest") + MARGIN >= F.col("floor")).select("query_id", "seg", "n", "s"))
+        others = terms.filter("NOT needed").select("query_id", "term", "w")
+        if not others.limit(1).count():
+            return found.select("query_id", "seg", "n", F.round("s", DIGITS).alias("score"))
+        found = _kept(found, f"{self.folder}/found")
+        pairs = found.select("query_id", "seg", "n").join(self.sent(others), "query_id")
+        places = pairs.select("term", "seg", F.floor(F.col("n") / segments.BLOCK).cast("long").alias("block")).distinct()
+        near = self.blocks.join(places, ["term", "seg", "block"], "left_semi").select("term", "seg", F.explode(F.arrays_zip("ns", "tfs", "dls")).alias("p"))
+        near = near.select("term", "seg", F.col("p.ns").alias("n"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+        more = pairs.join(near, ["term", "seg", "n"]).select("query_id", "seg", "n", (F.col("w") * self.tf_weight(F.col("tf"), F.col("dl"))).alias("s"))
+        both = found.unionByName(more).groupBy("query_id", "seg", "n").agg(F.sum("s").alias("s"))
+        return both.select("query_id", "seg", "n", F.round("s", DIGITS).alias("score"))
+
+    def top(self) -> DataFrame:
+        """query_id, doc_id, chunk_ord, score, rank (from 0) of each query's best chunks.
+
+        Chunks without any of its words score 0 and fill up what is missing, in their order: with
+        scores of 0 and more among the first 2 * k chunks, else among as many more as hold a word.
+        """
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_ord")
+        docs = self.index.docs().select("seg", "n", "doc_id", "chunk_ord")
+        hits = _kept(self.scores().join(docs, ["seg", "n"]).select("query_id", "doc_id", "chunk_ord", "score"), f"{self.folder}/hits")
+        best = hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < self.k).drop("rank")
+        held = hits.groupBy("query_id").agg(F.count("*").alias("held"))
+        # Without negative scores a query with k hits needs nothing else.
+        short = self.queries.select("query_id").join(held, "query_id", "left").select("query_id", F.coalesce("held", F.lit(0)).alias("held"))
+        if not self.negative:
+            short = short.filter(F.col("held") < self.k)
+        some = 2 * self.k if not self.negative else self.k + (held.agg(F.max("held")).first()[0] or 0)
+        first = docs.orderBy("doc_id", "chunk_ord").limit(some).select("doc_id", "chunk_ord")
+        fill = short.select("query_id").crossJoin(first).join(hits.select("query_id", "doc_id", "chunk_ord"), ["query_id", "doc_id", "chunk_ord"], "left_anti").withColumn("score", F.lit(0.0))
+        return best.unionByName(fill.select(*best.columns)).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < self.k)
+
+    def postings_read(self) -> tuple[int, int]:
+        """Postings of the queries' words that a search reads for its scores, and all of them, each query counted for itself."""
+        terms = _kept(self.terms(), f"{self.folder}/counted")
+        size = F.sum(F.size("ns"))
+        most = F.col("w") * self.tf_weight(F.col("max_tf"), F.col("min_dl"))
+        every = self.blocks.join(self.sent(terms), "term")
+        reached = every.filter(F.col("needed") & (most + F.col("all") - F.col("ub") + MARGIN >= F.col("floor")))
+        found = self.postings(reached, "query_id", "floor", "rest").groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+        places = found.filter(F.col("s") + F.col("rest") + MARGIN >= F.col("floor")).select("query_id", "seg", F.floor(F.col("n") / segments.BLOCK).cast("long").alias("block")).distinct()
+        looked = every.filter("NOT needed").join(places, ["query_id", "seg", "block"], "left_semi")
+        count = lambda rows: rows.agg(size).first()[0] or 0
+        return count(reached) + count(looked), count(every)
+
+
+def index_of(chunks: DataFrame) -> Index:
+    """A new index of chunks in a folder of this run."""
+    return segments.build(chunks, shared_folder(chunks.sparkSession, "index"))
+
+
+def top_k(chunks: DataFrame | None, queries: DataFrame, k: int = 20, index: Index | None = None) -> DataFrame:
+    """query_id, doc_id, chunk_ord, score, rank (from 0) of each query's best ``k`` chunks, by a kept index or one made of the chunks."""
+    return Search(index or index_of(chunks), queries, k).top()

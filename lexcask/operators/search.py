@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NOT_FOUND, overlap_tokens, snippet, strip
 from . import bm25
+from .segments import Index
 
 ANSWERS = 5
 ROLES = ("user", "assistant")
@@ -16,26 +17,34 @@ def candidates_for(top_k: int) -> int:
     return max(4 * top_k, 20)
 
 
+def _with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with their chunks' texts: texts stay where they are while the hits' names are few, and only those of hits go on."""
+    names = hits.select("doc_id", "chunk_ord").distinct()
+    texts = chunks.select("doc_id", "chunk_ord", "text").join(names, ["doc_id", "chunk_ord"], "left_semi")
+    return hits.join(texts, ["doc_id", "chunk_ord"])
+
+
 def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS) -> DataFrame:
     """query_id, doc_id, chunk_ord, overlap, rank (from 1).
 
     Candidates without a shared word are dropped; more shared words come first, then
     the earlier candidate.  A query without words keeps the first candidates as they are.
     """
-    rows = candidates.join(chunks.select("doc_id", "chunk_ord", "text"), ["doc_id", "chunk_ord"]).join(queries, "query_id")
+    rows = _with_text(candidates, chunks).join(queries, "query_id")
     rows = rows.withColumn("asked", overlap_tokens(F.col("query"))).withColumn("overlap", F.size(F.array_intersect("asked", overlap_tokens(F.col("text")))))
     rows = rows.filter((F.col("overlap") > 0) | (F.size("asked") == 0))
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.col("rank"))
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).select("query_id", "doc_id", "chunk_ord", "overlap", F.col("place").alias("rank"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS) -> DataFrame:
-    return rerank(bm25.top_k(chunks, queries, candidates_for(top_k)), chunks, queries, top_k)
+def search(chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS, index: Index | None = None) -> DataFrame:
+    """rerank of the candidates that a kept index of the chunks (or one made of them) gives."""
+    return rerank(bm25.top_k(chunks, queries, candidates_for(top_k), index), chunks, queries, top_k)
 
 
-def answers(chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS) -> DataFrame:
+def answers(chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS, index: Index | None = None) -> DataFrame:
     """query_id, answer: ranked snippets, a line each, or a fixed sentence."""
-    hits = search(chunks, queries, top_k).join(chunks.select("doc_id", "chunk_ord", "text"), ["doc_id", "chunk_ord"]).join(queries, "query_id")
+    hits = _with_text(search(chunks, queries, top_k, index), chunks).join(queries, "query_id")
     lines = hits.select("query_id", "rank", F.concat(F.col("rank").cast("string"), F.lit(") "), snippet(F.col("text"), F.col("query"))).alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n")
     found = lines.groupBy("query_id").agg(text.alias("answer"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
-from ..operators import bm25, changelog, chunking, corpus, embedding, events, manifest, search, snapshot, vectors
-from ..sources import lake, store
+from ..operators import bm25, changelog, chunking, corpus, embedding, events, manifest, search, segments, snapshot, vectors
+from ..sources import commits, lake, store
 from ..sources.fixtures import dealt, frame
 from ..sources.scratch import shared_folder
 from ..streaming import workers
@@ -25,6 +25,26 @@ def _odd_queries(spark, d):
     return _queries(spark, d).withColumn("query", F.regexp_replace("query", "[A-Za-z0-9]+", "?")).withColumn("query", F.regexp_replace("query", "[^?]+", " "))
 
 
+#: The indexes of this process by session, table and its state: as a reader between two refreshes, queries share one.
+_INDEXES: dict[tuple, tuple] = {}
+
+
+def _corpus(spark, d, semantic=False):
+    """The chunks of documents, or their semantic chunks from files, and the kept index of them."""
+    fs, path = commits.filesystem(spark, f"{d}/documents.parquet")
+    seen = fs.getFileStatus(path)
+    key = (spark.sparkContext.applicationId, path.toString(), seen.getModificationTime(), seen.getLen(), semantic)
+    if key not in _INDEXES:
+        root = shared_folder(spark, "index")
+        chunks = frame(spark, d, "chunks").select("doc_id", "chunk_ord", "text")
+        if semantic:
+            chunking.semantic_chunks(dealt(_docs(spark, d))).select("doc_id", "chunk_ord", "text").write.parquet(f"{root}/chunks")
+            chunks = spark.read.parquet(f"{root}/chunks")
+        _INDEXES[key] = (f"{root}/chunks" if semantic else None, segments.build(dealt(chunks), f"{root}/segments"))
+    written, index = _INDEXES[key]
+    return (spark.read.parquet(written) if written else frame(spark, d, "chunks")), index
+
+
 def _valid(spark, d):
     return events.normalize_index_events(frame(spark, d, "index_events")).filter("valid")
 
@@ -283,28 +303,31 @@ def chunk_key(spark, d):
 
 
 def bm25_doc_stats(spark, d):
-    return bm25.doc_stats(frame(spark, d, "chunks"))
+    return _corpus(spark, d)[1].docs().select("doc_id", "chunk_ord", "dl")
 
 
 def bm25_term_stats(spark, d):
-    return bm25.term_stats(frame(spark, d, "chunks")).withColumn("idf", F.round("idf", 6))
+    return bm25.index_term_stats(_corpus(spark, d)[1]).withColumn("idf", F.round("idf", 6))
 
 
 def bm25_topk(spark, d):
-    return bm25.top_k(frame(spark, d, "chunks"), _queries(spark, d), search.candidates_for(search.ANSWERS))
+    chunks, index = _corpus(spark, d)
+    return bm25.top_k(chunks, _queries(spark, d), search.candidates_for(search.ANSWERS), index)
 
 
 def rerank_overlap(spark, d):
-    return search.search(frame(spark, d, "chunks"), _queries(spark, d))
+    chunks, index = _corpus(spark, d)
+    return search.search(chunks, _queries(spark, d), index=index)
 
 
 def rerank_empty_tokens(spark, d):
-    chunks, asked = frame(spark, d, "chunks"), _odd_queries(spark, d)
-    return search.rerank(bm25.top_k(chunks, _queries(spark, d), 20), chunks, asked)
+    chunks, index = _corpus(spark, d)
+    return search.rerank(bm25.top_k(chunks, _queries(spark, d), 20, index), chunks, _odd_queries(spark, d))
 
 
 def chat_answer(spark, d):
-    return search.answers(frame(spark, d, "chunks"), _queries(spark, d))
+    chunks, index = _corpus(spark, d)
+    return search.answers(chunks, _queries(spark, d), index=index)
 
 
 def sentence_distances(spark, d):
@@ -320,7 +343,8 @@ def semantic_chunks(spark, d):
 
 
 def semantic_search(spark, d):
-    return search.search(chunking.semantic_chunks(dealt(_docs(spark, d))).select("doc_id", "chunk_ord", "text"), _queries(spark, d))
+    chunks, index = _corpus(spark, d, semantic=True)
+    return search.search(chunks, _queries(spark, d), index=index)
 
 
 def _worker(spark, d):

@@ -12,9 +12,6 @@ after the other's, else its batch is done anew; after three attempts that is an
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -22,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changelog
+from . import commits
 
 #: Fixed value: attempts to allocate change ids.
 ATTEMPTS = 3
@@ -58,79 +56,27 @@ class Written:
     n_changes: int = 0
 
 
-def _create(spark: SparkSession, path: str, text: str) -> bool:
-    """Creates a file with its whole text, or says that there is one: by a link on a local disk, else by a rename that does not replace."""
-    fs, here = filesystem(spark, path)
-    jvm = spark._jvm
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(temporary), True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.getScheme() == "file":
-        own = here.toUri().getPath()
-        try:
-            os.link(f"{own}.{temporary.rsplit('.', 1)[1]}", own)
-            return True
-        except FileExistsError:
-            return False
-        finally:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(temporary), False)
-    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-    try:
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(here.toUri(), spark._jsc.hadoopConfiguration()).rename(jvm.org.apache.hadoop.fs.Path(temporary), here, none)
-        return True
-    except Exception as e:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(temporary), False)
-        if "FileAlreadyExists" not in str(e):
-            raise
-        return False
-
-
-def filesystem(spark: SparkSession, path: str) -> tuple:
-    """The file system of a path and the path as it knows it."""
-    here = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs, here.makeQualified(fs.getUri(), fs.getWorkingDirectory())
-
-
-def names_in(spark: SparkSession, path: str) -> list[str]:
-    """The names in a folder; none if there is no such folder."""
-    fs, here = filesystem(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(here)) if fs.exists(here) else []
-
-
 class Store:
     """One corpus below ``root``, a folder that all machines share."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._log = f"{self.root}/commits"
 
     def bucket(self, doc_id: Column) -> Column:
         return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
 
     def state(self, number: int | None = None) -> State:
         """The newest commit, or an earlier one."""
-        numbers = [number] if number is not None else [int(n[:20]) for n in names_in(self.spark, f"{self.root}/commits") if n.endswith(".json")]
-        if not numbers:
-            return State(buckets=self.buckets)
-        fs, here = filesystem(self.spark, self._commit_path(max(numbers)))
-        stream = fs.open(here)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        out = State(**json.loads(text))
+        entry = commits.newest(self.spark, self._log) if number is None else commits.read(self.spark, self._log, number)
+        out = State(**entry) if entry else State(buckets=self.buckets)
         if out.buckets != self.buckets:
             raise ValueError(f"the store has {out.buckets} buckets, not {self.buckets}")
         return out
 
-    def _commit_path(self, number: int) -> str:
-        return f"{self.root}/commits/{number:020d}.json"
-
     def folder(self, what: str) -> str:
         """A new folder; nothing reads it before a commit names it."""
-        return f"{self.root}/{what}/{uuid.uuid4().hex}"
+        return f"{self.root}/{what}/{commits.unique()}"
 
     def read(self, table: str, state: State | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
         """A table's rows as of a commit (the newest), of all buckets or some: only their folders are listed."""
@@ -167,7 +113,7 @@ class Store:
         # The exchange splits a large bucket into several files and joins small ones.
         dealt = rows.select([c.split(" ")[0] for c in columns.split(", ")]).withColumn("bucket", self.bucket(F.col("doc_id"))).hint("rebalance", "bucket")
         dealt.write.partitionBy("bucket").format(kind).save(folder)
-        there = set(names_in(self.spark, folder))
+        there = set(commits.names_in(self.spark, folder))
         return {str(b): folder if f"bucket={b}" in there else None for b in touched}
 
     def write_changes(self, changes: DataFrame, order: str = "doc_id") -> tuple[str, int]:
@@ -205,7 +151,7 @@ class Store:
                 next_id=now.next_id + written.n_changes,
                 changes={"folder": written.changes, "first": now.next_id, "n": written.n_changes} if written.n_changes else None,
             )
-            if _create(self.spark, self._commit_path(new.number), json.dumps(asdict(new))):
+            if commits.create(self.spark, self._log, new.number, asdict(new)):
                 return new
         raise RuntimeError(f"no change ids allocated in {attempts} attempts")
 
@@ -216,9 +162,9 @@ class Store:
     def changes(self, cursor: int = 0, state: State | None = None) -> DataFrame:
         """change_id, doc_id, op after a cursor: only files of commits that reach beyond it are read."""
         schema = "number bigint, changes struct<folder: string, first: bigint, n: bigint>"
-        if not names_in(self.spark, f"{self.root}/commits"):
+        if not commits.names_in(self.spark, self._log):
             return self.spark.createDataFrame([], "change_id bigint, doc_id string, op string")
-        entries = self.spark.read.schema(schema).option("pathGlobFilter", "*.json").json(f"{self.root}/commits").select("number", "changes.*").filter(F.col("first") + F.col("n") - 1 > cursor)
+        entries = self.spark.read.schema(schema).option("pathGlobFilter", "*.json").json(self._log).select("number", "changes.*").filter(F.col("first") + F.col("n") - 1 > cursor)
         if state is not None:
             entries = entries.filter(F.col("number") <= state.number)
         # One name for each commit after the cursor.
@@ -231,12 +177,12 @@ class Store:
 
     def sweep(self) -> int:
         """Removes folders that the newest commit does not name and that no commit's changes lie in; for times without writers."""
-        fs, _ = filesystem(self.spark, self.root)
+        fs, _ = commits.filesystem(self.spark, self.root)
         now = self.state()
         named = {f.rsplit("/", 1)[1] for at in now.tables.values() for f in at.values()}
         gone = 0
         for what in TABLES:
-            for name in names_in(self.spark, f"{self.root}/{what}"):
+            for name in commits.names_in(self.spark, f"{self.root}/{what}"):
                 if name not in named:
                     fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{what}/{name}"), True)
                     gone += 1
