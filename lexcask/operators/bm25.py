@@ -3,14 +3,15 @@
 Terms are words as they stand.  Scores are rounded before they are ranked, and ties go by
 document and chunk, so the order is total.
 
-The best ``k`` chunks of a query are found without scoring every chunk that holds one of
-its words.  Its rarest words alone give ``k`` chunks whose least score is a floor.  Words
-are then taken by what they can add at most: those that together stay below the floor
-cannot lift a chunk over it, so only chunks that hold one of the others come into
-question, and of those only blocks whose own bound, with all other words at their most,
-reaches the floor.  The frequent words are looked up for what is left, in the blocks where
-it lies.  All bounds are over non-negative weights; where a word's weight is negative (the
-mean of all idf is, as in tiny corpora) every word is taken in full.
+Where the queries' words stand in many chunks, the best ``k`` are found without scoring
+all of them.  A query's rarest words give ``k`` chunks whose least whole score is a floor.
+Words are then taken by what they can add at most: those that together stay below a share
+of the floor cannot lift a chunk over it, so only chunks that hold one of the others come
+into question, of those only blocks whose own bound, with all other words at their most,
+reaches the floor, and of those only chunks that have the rest of the floor by the others.
+The frequent words are looked up for what is left, in the blocks where it lies.  All bounds
+are over non-negative weights; where a word's weight is negative (the mean of all idf is,
+as in tiny corpora) every word is taken in full.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 6
 #: Different terms of all queries that are sent to every task, at most.
 SENT_TERMS = 200_000
+#: Postings of all queries' words from which bounds are worth their passes; fewer are scored at once, with the same result.
+PRUNE_FROM = 50_000_000
+#: The share of a query's postings, of its rarest words, that its floor is taken from.
+RARE = 0.05
+#: The share of the floor that words may add together which are only looked up.
+SPARED = 0.6
 #: What rounding may have moved a score by, and sums of bounds.
 MARGIN = 2e-6
 
@@ -42,22 +49,23 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return doc_stats(chunks).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 
-def with_idf(df: DataFrame, n_chunks: Column) -> DataFrame:
+def with_idf(df: DataFrame, n_chunks: Column | int, mean: Column) -> DataFrame:
     """term, df, idf of terms counted over ``n_chunks``; a negative idf becomes a quarter of the mean over all terms."""
-    raw = df.select("term", "df", (F.log(n_chunks - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    idf = segments.raw_idf(F.col("df"), n_chunks)
+    return df.select("term", "df", F.when(idf < 0, EPSILON * mean).otherwise(idf).alias("idf"))
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
     """term, df, idf of a corpus without an index."""
     df = chunks.select(F.explode(F.array_distinct(ws_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return with_idf(df.crossJoin(F.broadcast(corpus_stats(chunks))), F.col("n_chunks")).select("term", "df", "idf")
+    counted = df.crossJoin(F.broadcast(corpus_stats(chunks)))
+    mean = counted.agg(F.avg(segments.raw_idf(F.col("df"), F.col("n_chunks"))).alias("mean"))
+    return with_idf(counted.crossJoin(F.broadcast(mean)), F.col("n_chunks"), F.col("mean"))
 
 
-def index_term_stats(index: Index) -> DataFrame:
-    """term, df, idf of an index."""
-    return with_idf(index.df(), F.lit(index.state.n_chunks))
+def index_term_stats(index: Index, terms: DataFrame | None = None) -> DataFrame:
+    """term, df, idf of an index, of all terms or those given."""
+    return with_idf(index.df(terms), index.state.n_chunks, F.lit(index.state.mean_idf).cast("double"))
 
 
 def _kept(rows: DataFrame, folder: str) -> DataFrame:
@@ -68,7 +76,7 @@ def _kept(rows: DataFrame, folder: str) -> DataFrame:
 class Search:
     """One set of queries (query_id, query) against an index."""
 
-    def __init__(self, index: Index, queries: DataFrame, k: int):
+    def __init__(self, index: Index, queries: DataFrame, k: int, prune_from: int = PRUNE_FROM):
         self.index, self.queries, self.k = index, queries, k
         self.folder = shared_folder(index.spark, "search")
         state = index.state
@@ -81,10 +89,12 @@ class Search:
         self.sent = F.broadcast if n_terms <= SENT_TERMS else lambda rows: rows
         self.blocks = index.blocks(slots).join(self.sent(terms), "term", "left_semi")
         bound = self.blocks.groupBy("term").agg(F.max(self.tf_weight(F.col("max_tf"), F.col("min_dl"))).alias("most"))
-        weighed = asked.join(self.sent(index_term_stats(index).join(self.sent(terms), "term", "left_semi").join(bound, "term")), "term")
+        weighed = asked.join(self.sent(index_term_stats(index, self.sent(terms)).join(bound, "term")), "term")
         #: query_id, term, w (weight of the term in the query), df, ub (what it can add to a chunk at most).
         self.weights = _kept(weighed.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df", (F.col("qtf") * F.col("idf") * F.col("most")).alias("ub")), f"{self.folder}/weights")
-        self.negative = bool(self.weights.filter("w < 0").limit(1).count())
+        least, postings = self.weights.agg(F.min("w"), F.sum("df")).first()
+        self.negative = least is not None and least < 0
+        self.prune = not self.negative and (postings or 0) >= prune_from
 
     def tf_weight(self, tf: Column, dl: Column) -> Column:
         return (K1 + 1) * tf / (tf + K1 * (1 - B + B * dl / F.lit(self.avgdl)))
@@ -94,44 +104,59 @@ class Search:
         rows = blocks.select(*keep, "seg", "w", F.explode(F.arrays_zip("ns", "tfs", "dls")).alias("p"))
         return rows.select(*keep, "seg", F.col("p.ns").alias("n"), (F.col("w") * self.tf_weight(F.col("p.tfs"), F.col("p.dls"))).alias("part"))
 
+    def looked_up(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """query_id, seg, n, s: what ``terms`` (query_id, term, w) add to the chunks of ``pairs`` (query_id, seg, n); only blocks where these lie are opened."""
+        asked = pairs.select("query_id", "seg", "n").join(self.sent(terms.select("query_id", "term", "w")), "query_id")
+        places = asked.select("term", "seg", F.floor(F.col("n") / segments.BLOCK).cast("long").alias("block")).distinct()
+        near = self.blocks.join(places, ["term", "seg", "block"], "left_semi").select("term", "seg", F.explode(F.arrays_zip("ns", "tfs", "dls")).alias("p"))
+        near = near.select("term", "seg", F.col("p.ns").alias("n"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+        return asked.join(near, ["term", "seg", "n"]).groupBy("query_id", "seg", "n").agg(F.sum(F.col("w") * self.tf_weight(F.col("tf"), F.col("dl"))).alias("s"))
+
     def floors(self) -> DataFrame:
-        """query_id, floor: the k-th best score by the rarest words alone; queries whose rarest words stand in fewer chunks have none."""
-        rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-        some = self.weights.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("before") < 4 * self.k)
+        """query_id, floor: the least whole score of the k best chunks by the rarest words alone; queries whose rarest words stand in fewer chunks have none."""
+        w = Window.partitionBy("query_id")
+        before = F.coalesce(F.sum("df").over(w.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        some = self.weights.withColumn("before", before).withColumn("sum", F.sum("df").over(w)).filter(F.col("before") < F.greatest(F.lit(4 * self.k), RARE * F.col("sum")))
         parts = self.index.alive(self.postings(self.blocks.join(self.sent(some.select("query_id", "term", "w")), "term"), "query_id"))
         scored = parts.groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
-        return scored.select("query_id", "s", place.alias("place")).filter(F.col("place") == self.k).select("query_id", F.col("s").alias("floor"))
+        best = scored.withColumn("place", F.row_number().over(w.orderBy(F.desc("s")))).filter(F.col("place") <= self.k)
+        best = _kept(best.select("query_id", "seg", "n"), f"{self.folder}/best")
+        return self.looked_up(best, self.weights).groupBy("query_id").agg(F.min("s").alias("floor"), F.count("*").alias("n")).filter(F.col("n") == self.k).select("query_id", "floor")
 
     def terms(self) -> DataFrame:
-        """The weights with floor, whether a term is needed to reach it, the bounds of those that are not, and of all."""
-        if self.negative:
+        """The weights with floor, whether a term is needed to reach it, the bounds of those that are not, and of all.
+
+        Those that are not needed stay below a share of the floor together, so that a chunk must have the rest of it by the others.
+        """
+        if not self.prune:
             return self.weights.select("*", F.lit(float("-inf")).alias("floor"), F.lit(True).alias("needed"), F.lit(0.0).alias("rest"), F.lit(float("inf")).alias("all"))
         w = Window.partitionBy("query_id")
         rows = self.weights.join(F.broadcast(self.floors()), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
         upto = F.sum("ub").over(w.orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        rows = rows.withColumn("needed", upto + MARGIN >= F.col("floor"))
+        rows = rows.withColumn("needed", (upto >= SPARED * F.col("floor")) | (F.col("floor") < 0))
         return rows.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("ub"))).over(w), F.lit(0.0))).withColumn("all", F.sum("ub").over(w))
 
+    def reached(self, blocks: DataFrame) -> DataFrame:
+        """Blocks of needed terms of which some chunk may reach the floor, with its other words at their most."""
+        most = F.col("w") * self.tf_weight(F.col("max_tf"), F.col("min_dl"))
+        return blocks.filter(F.col("needed") & (most + F.col("all") - F.col("ub") + MARGIN >= F.col("floor")))
+
+    def partial(self, terms: DataFrame) -> DataFrame:
+        """query_id, seg, n, s by the needed words of chunks that may reach the floor."""
+        rows = self.reached(self.blocks.join(self.sent(terms.filter("needed")), "term"))
+        found = self.postings(rows, "query_id", "floor", "rest").groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+        return self.index.alive(found.filter(F.col("s") + F.col("rest") + MARGIN >= F.col("floor")).select("query_id", "seg", "n", "s"))
+
     def scores(self) -> DataFrame:
         """query_id, seg, n, score of every chunk that can be among a query's best; all that hold a word where there is no floor."""
+        if not self.prune:
+            found = self.postings(self.blocks.join(self.sent(self.weights), "term"), "query_id").groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"))
+            return self.index.alive(found).select("query_id", "seg", "n", F.round("s", DIGITS).alias("score"))
         terms = _kept(self.terms(), f"{self.folder}/terms")
-        first = self.blocks.join(self.sent(terms.filter("needed")), "term")
-        most = F.col("w") * self.tf_weight(F.col("max_tf"), F.col("min_dl"))
-        first = first.filter(most + F.col("all") - F.col("ub") + MARGIN >= F.col("floor"))
-        found = self.postings(first, "query_id", "floor", "rest").groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
-        found = self.index.alive(found.filter(F.col("s") + F.col("rest") + MARGIN >= F.col("floor")).select("query_id", "seg", "n", "s"))
-        others = terms.filter("NOT needed").select("query_id", "term", "w")
-        if not others.limit(1).count():
-            return found.select("query_id", "seg", "n", F.round("s", DIGITS).alias("score"))
-        found = _kept(found, f"{self.folder}/found")
-        pairs = found.select("query_id", "seg", "n").join(self.sent(others), "query_id")
-        places = pairs.select("term", "seg", F.floor(F.col("n") / segments.BLOCK).cast("long").alias("block")).distinct()
-        near = self.blocks.join(places, ["term", "seg", "block"], "left_semi").select("term", "seg", F.explode(F.arrays_zip("ns", "tfs", "dls")).alias("p"))
-        near = near.select("term", "seg", F.col("p.ns").alias("n"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
-        more = pairs.join(near, ["term", "seg", "n"]).select("query_id", "seg", "n", (F.col("w") * self.tf_weight(F.col("tf"), F.col("dl"))).alias("s"))
-        both = found.unionByName(more).groupBy("query_id", "seg", "n").agg(F.sum("s").alias("s"))
-        return both.select("query_id", "seg", "n", F.round("s", DIGITS).alias("score"))
+        found = _kept(self.partial(terms), f"{self.folder}/found")
+        more = self.looked_up(found, terms.filter("NOT needed"))
+        found = found.unionByName(more).groupBy("query_id", "seg", "n").agg(F.sum("s").alias("s"))
+        return found.select("query_id", "seg", "n", F.round("s", DIGITS).alias("score"))
 
     def top(self) -> DataFrame:
         """query_id, doc_id, chunk_ord, score, rank (from 0) of each query's best chunks.
@@ -141,12 +166,15 @@ class Search:
         """
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_ord")
         docs = self.index.docs().select("seg", "n", "doc_id", "chunk_ord")
-        hits = _kept(self.scores().join(docs, ["seg", "n"]).select("query_id", "doc_id", "chunk_ord", "score"), f"{self.folder}/hits")
+        hits = self.scores()
+        if not self.negative:  # a score of 0 is that of chunks without a word; equal scores stay together until documents are known
+            hits = hits.filter("score > 0")
+            hits = hits.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("place") <= self.k)
+        hits = _kept(hits.join(docs, ["seg", "n"]).select("query_id", "doc_id", "chunk_ord", "score"), f"{self.folder}/hits")
         best = hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < self.k).drop("rank")
         held = hits.groupBy("query_id").agg(F.count("*").alias("held"))
-        # Without negative scores a query with k hits needs nothing else.
         short = self.queries.select("query_id").join(held, "query_id", "left").select("query_id", F.coalesce("held", F.lit(0)).alias("held"))
-        if not self.negative:
+        if not self.negative:  # a query with k hits needs nothing else
             short = short.filter(F.col("held") < self.k)
         some = 2 * self.k if not self.negative else self.k + (held.agg(F.max("held")).first()[0] or 0)
         first = docs.orderBy("doc_id", "chunk_ord").limit(some).select("doc_id", "chunk_ord")
@@ -154,17 +182,13 @@ class Search:
         return best.unionByName(fill.select(*best.columns)).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < self.k)
 
     def postings_read(self) -> tuple[int, int]:
-        """Postings of the queries' words that a search reads for its scores, and all of them, each query counted for itself."""
+        """Postings of the queries' words that are read once there is a floor, and all of them, each query counted for itself."""
         terms = _kept(self.terms(), f"{self.folder}/counted")
-        size = F.sum(F.size("ns"))
-        most = F.col("w") * self.tf_weight(F.col("max_tf"), F.col("min_dl"))
         every = self.blocks.join(self.sent(terms), "term")
-        reached = every.filter(F.col("needed") & (most + F.col("all") - F.col("ub") + MARGIN >= F.col("floor")))
-        found = self.postings(reached, "query_id", "floor", "rest").groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
-        places = found.filter(F.col("s") + F.col("rest") + MARGIN >= F.col("floor")).select("query_id", "seg", F.floor(F.col("n") / segments.BLOCK).cast("long").alias("block")).distinct()
+        places = self.partial(terms).select("query_id", "seg", F.floor(F.col("n") / segments.BLOCK).cast("long").alias("block")).distinct()
         looked = every.filter("NOT needed").join(places, ["query_id", "seg", "block"], "left_semi")
-        count = lambda rows: rows.agg(size).first()[0] or 0
-        return count(reached) + count(looked), count(every)
+        count = lambda rows: rows.agg(F.sum(F.size("ns"))).first()[0] or 0
+        return count(self.reached(every)) + count(looked), count(every)
 
 
 def index_of(chunks: DataFrame) -> Index:
@@ -172,6 +196,6 @@ def index_of(chunks: DataFrame) -> Index:
     return segments.build(chunks, shared_folder(chunks.sparkSession, "index"))
 
 
-def top_k(chunks: DataFrame | None, queries: DataFrame, k: int = 20, index: Index | None = None) -> DataFrame:
+def top_k(chunks: DataFrame, queries: DataFrame, k: int = 20, index: Index | None = None) -> DataFrame:
     """query_id, doc_id, chunk_ord, score, rank (from 0) of each query's best ``k`` chunks, by a kept index or one made of the chunks."""
     return Search(index or index_of(chunks), queries, k).top()

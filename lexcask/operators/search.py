@@ -11,17 +11,25 @@ from .segments import Index
 
 ANSWERS = 5
 ROLES = ("user", "assistant")
+#: Queries whose candidates are sent to every task, at most.
+SENT_QUERIES = 10_000
 
 
 def candidates_for(top_k: int) -> int:
     return max(4 * top_k, 20)
 
 
-def _with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunks' texts: texts stay where they are while the hits' names are few, and only those of hits go on."""
-    names = hits.select("doc_id", "chunk_ord").distinct()
-    texts = chunks.select("doc_id", "chunk_ord", "text").join(names, ["doc_id", "chunk_ord"], "left_semi")
-    return hits.join(texts, ["doc_id", "chunk_ord"])
+def _ranked(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """query_id, doc_id, chunk_ord, overlap, rank, query, text of each query's best candidates.
+
+    Candidates, a few for each query, go to the texts where they stand if the queries are few; texts are read once.
+    """
+    sent = F.broadcast if queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES else lambda rows: rows
+    rows = chunks.select("doc_id", "chunk_ord", "text").join(sent(candidates.join(queries, "query_id")), ["doc_id", "chunk_ord"])
+    rows = rows.withColumn("asked", overlap_tokens(F.col("query"))).withColumn("overlap", F.size(F.array_intersect("asked", overlap_tokens(F.col("text")))))
+    rows = rows.filter((F.col("overlap") > 0) | (F.size("asked") == 0))
+    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.col("rank"))
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).select("query_id", "doc_id", "chunk_ord", "overlap", F.col("place").alias("rank"), "query", "text")
 
 
 def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS) -> DataFrame:
@@ -30,11 +38,7 @@ def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, top_k:
     Candidates without a shared word are dropped; more shared words come first, then
     the earlier candidate.  A query without words keeps the first candidates as they are.
     """
-    rows = _with_text(candidates, chunks).join(queries, "query_id")
-    rows = rows.withColumn("asked", overlap_tokens(F.col("query"))).withColumn("overlap", F.size(F.array_intersect("asked", overlap_tokens(F.col("text")))))
-    rows = rows.filter((F.col("overlap") > 0) | (F.size("asked") == 0))
-    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.col("rank"))
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k).select("query_id", "doc_id", "chunk_ord", "overlap", F.col("place").alias("rank"))
+    return _ranked(candidates, chunks, queries, top_k).drop("query", "text")
 
 
 def search(chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS, index: Index | None = None) -> DataFrame:
@@ -44,7 +48,7 @@ def search(chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS, index: I
 
 def answers(chunks: DataFrame, queries: DataFrame, top_k: int = ANSWERS, index: Index | None = None) -> DataFrame:
     """query_id, answer: ranked snippets, a line each, or a fixed sentence."""
-    hits = _with_text(search(chunks, queries, top_k, index), chunks).join(queries, "query_id")
+    hits = _ranked(bm25.top_k(chunks, queries, candidates_for(top_k), index), chunks, queries, top_k)
     lines = hits.select("query_id", "rank", F.concat(F.col("rank").cast("string"), F.lit(") "), snippet(F.col("text"), F.col("query"))).alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n")
     found = lines.groupBy("query_id").agg(text.alias("answer"))

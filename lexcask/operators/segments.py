@@ -18,7 +18,7 @@ names the segments; it is created only if absent and readers follow the newest o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -66,13 +66,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class State:
-    """The segments (number: folder), the lists of chunks that are gone, the number of chunks alive and their words."""
+    """The segments (number: folder), the lists of chunks that are gone, the number of chunks alive and their words, the mean idf of all terms."""
 
     number: int = 0
     segments: dict[str, str] = field(default_factory=dict)
     gone: list[str] = field(default_factory=list)
     n_chunks: int = 0
     n_words: int = 0
+    mean_idf: float | None = None
+
+
+def raw_idf(df: Column, n_chunks: Column | int) -> Column:
+    n = n_chunks if isinstance(n_chunks, Column) else F.lit(n_chunks)
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
 class Index:
@@ -80,7 +86,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, root: str, state: State | None = None):
         self.spark, self.root = spark, root
-        self.state = state or State(**(commits.newest(spark, f"{root}/commits") or {}))
+        self.state = state if state is not None else State(**(commits.newest(spark, f"{root}/commits") or {}))
 
     def _all(self, what: str, schema: str) -> DataFrame:
         frames = [self.spark.read.schema(schema).parquet(f"{f}/{what}").withColumn("seg", F.lit(int(s))) for s, f in self.state.segments.items()]
@@ -106,11 +112,13 @@ class Index:
         rows = self._all("blocks", f"{BLOCKS}, slot int")
         return (rows if slots is None else rows.filter(F.col("slot").isin(slots))).drop("slot")
 
-    def df(self) -> DataFrame:
-        """term, df over all segments, less the chunks that are gone."""
+    def df(self, terms: DataFrame | None = None) -> DataFrame:
+        """term, df over all segments, less the chunks that are gone; of all terms or those given (broadcast by the caller if few)."""
         counts = self._all("terms", "term string, df bigint").select("term", "df")
         if self.state.gone:
             counts = counts.unionByName(self.gone().select(F.explode(F.array_distinct("words")).alias("term"), F.lit(-1).cast("long").alias("df")))
+        if terms is not None:
+            counts = counts.join(terms, "term", "left_semi")
         return counts.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
 
     def _write(self, chunks: DataFrame, segment: int) -> tuple[str, int, int]:
@@ -128,6 +136,7 @@ class Index:
 
     def _commit(self, **changes) -> Index:
         state = State(**{**asdict(self.state), **changes, "number": self.state.number + 1})
+        state = replace(state, mean_idf=Index(self.spark, self.root, state).df().agg(F.avg(raw_idf(F.col("df"), state.n_chunks))).first()[0])
         if not commits.create(self.spark, f"{self.root}/commits", state.number, asdict(state)):
             raise RuntimeError("another writer has changed the index")
         return Index(self.spark, self.root, state)

@@ -42,7 +42,7 @@ def _corpus(spark, d, semantic=False):
             chunks = spark.read.parquet(f"{root}/chunks")
         _INDEXES[key] = (f"{root}/chunks" if semantic else None, segments.build(dealt(chunks), f"{root}/segments"))
     written, index = _INDEXES[key]
-    return (spark.read.parquet(written) if written else frame(spark, d, "chunks")), index
+    return (spark.read.parquet(written) if written else dealt(frame(spark, d, "chunks"))), index
 
 
 def _valid(spark, d):

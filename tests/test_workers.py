@@ -23,7 +23,7 @@ def queue(spark, rows):
     return spark.createDataFrame(rows, drivers.MESSAGES)
 
 
-def worker(spark, root, objects=None, step=lambda name: None, buckets=8):
+def worker(spark, root, objects=None, step=lambda name: None, buckets=2):
     q = workers.Queues(f"{root}/q/retry", f"{root}/dead", f"{root}/refused", f"{root}/index/new")
     docs = objects if objects is not None else {"raws/a.txt": b"One. Two. Three.", "raws/b.md": b"Other words stand here.", "raws/c.pdf": b"x", "raws/e.txt": b"  \n"}
     rows = spark.createDataFrame(list(docs.items()), OBJECTS)
@@ -126,7 +126,7 @@ def test_as_a_stream_with_retries_read_again(spark, tmp_path):
     (tmp_path / "q/new").mkdir(parents=True)
     (tmp_path / "q/new/1.json").write_text("\n".join(json.dumps(dict(zip(("message_id", "arrival_seq", "body", "attempts"), m))) for m in CREATED))
     w = worker(spark, tmp_path)
-    for _ in range(6):
+    for _ in range(5):
         drivers.run(drivers.messages(spark, f"{tmp_path}/q"), w.ingestion(), f"{tmp_path}/cp").awaitTermination()
     got = everything(w)
     # The failing message came back until its fifth delivery; the indexed documents changed once.
