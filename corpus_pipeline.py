@@ -30,18 +30,32 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; of rows of one id and text, one.
+    """One row of each group of near duplicates, that of the smallest id.
 
-    A row without an id takes part under a number after every id, made of its text.
+    Every row is judged for itself, by a number of its own: its id.  Of an id's several texts the
+    one of the least hash has that number; the others, and rows without an id, have numbers after
+    every id, made of id and text.  Of rows of one id and one text the one stays whose
+    columns come first as JSON.
     """
-    after = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), after).alias("__id"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("__text"))
-    same = rows.groupBy("__id", F.xxhash64("__text").alias("h")).count().filter(F.col("count") > 1)
+    h = F.xxhash64("__text")
+    after = F.lit(1 << 62) + F.xxhash64(docs["doc_id"], docs["text"]).bitwiseAND(F.lit((1 << 62) - 1))
+    rows = docs.select(docs["doc_id"].cast("long").alias("__id"), after.alias("__after"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["text"].alias("__text"))
+    again = rows.groupBy("__id").agg(F.count("*").alias("n"), F.min(h).alias("__first")).filter("n > 1 AND __id IS NOT NULL").select("__id", "__first")
+    number = F.coalesce("__id", "__after")
+    if again.limit(1).count():
+        again = core.checkpoint(again)
+        rows = rows.join(again, "__id", "left")
+        number = F.when(F.col("__first").isNull() | h.eqNullSafe(F.col("__first")), F.col("__id")).otherwise(F.col("__after"))
+        number = F.coalesce(number, F.col("__after"))
+    rows = rows.select(number.alias("__num"), "__row", "__text")
+    same = rows.groupBy("__num").count().filter("count > 1").select("__num")
     if same.limit(1).count():
-        rows = core.checkpoint(rows.dropDuplicates(["__id", "__text"]))
-    judged = near_dedup.near_duplicates(rows, "__id", "__text")
-    kept = judged.filter("kept").select(F.col("__id").alias("__kept")).distinct()
-    return rows.join(kept, rows["__id"] == kept["__kept"], "left_semi").select("__row.*")
+        same = core.checkpoint(same)
+        one = rows.join(same, "__num", "left_semi").groupBy("__num").agg(F.min_by(F.struct("__row", "__text"), F.to_json("__row")).alias("r")).select("__num", "r.__row", "r.__text")
+        rows = core.checkpoint(rows.join(same, "__num", "left_anti").unionByName(one))
+    judged = near_dedup.near_duplicates(rows, "__num", "__text")
+    kept = judged.filter("kept").select(F.col("__num").alias("__kept"))
+    return rows.join(kept, rows["__num"] == kept["__kept"], "left_semi").select("__row.*")
 
 
 def suffix_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
