@@ -53,6 +53,28 @@ def test_copies_without_an_id(spark):
     assert sorted((i for i, _ in got), key=str) == [1, 4, None, None] and {t for _, t in got if t} >= {texts[0], texts[2]} and len(got) == 4
 
 
+def test_rows_are_judged_by_themselves(spark):
+    a, b, c = (" ".join(f"{x}{i} the" for i in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    cases = [
+        # An exact copy goes whatever other text its id has.
+        ([(0, b), (1, a), (1, b), (2, b), (3, c)], {b: 1, a: 1, c: 1}),
+        # Two near texts of one id are one group, an unrelated third is not.
+        ([(1, a), (1, near(a)), (1, c), (2, near(c))], {"a": 1, "c": 1}),
+        # A text is not dropped for what its id's other text resembles.
+        ([(0, near(a)), (1, a), (1, c)], {"a": 1, "c": 1}),
+    ]
+    for rows, want in cases:
+        got = [r.text for r in corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+        counted = {k: sum(t == k if len(k) > 1 else t.startswith(k) for t in got) for k in want}
+        assert counted == want and len(got) == sum(want.values()), (rows, got)
+    # Equal ids and texts with other columns: the first as JSON, whatever the order of rows.
+    rows = [(5, a, s) for s in "zyxw"]
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(order, "doc_id long, text string, source string"), "").collect()
+        assert [(r.doc_id, r.source) for r in got] == [(5, "w")]
+
+
 def test_clashing_names(spark):
     rows = [(1, " ".join(f"w{i}a the w{i}b" for i in range(60)), "k", "n", "s", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words string, spans string, candidates string")
