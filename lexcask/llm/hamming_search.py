@@ -1,25 +1,29 @@
 """Nearest neighbours by multi-index hashing of learned binary codes.
 
-A bounded sample gives the mean, the principal axes and rotations that bring the
-axes' signs close to the values (iterative quantization).  Every vector gets one
-bit for each rotated axis, and the code falls into substrings, each indexed: a row
-(substring and value, vector) for every substring of every vector.  A query probes
-in each substring the ``PROBES`` values of least weighted distance, a bit that
-differs weighing the square of the query's own coordinate.  By the pigeonhole
-principle every code whose whole weighted distance is within the sum of the
-substrings' probed radii agrees with some probed value, so the join finds all of
-them.  What is found is ranked by the cosine of the original vectors, in double
-precision.
-
-A substring has 16 bits, or one more than the logarithm of the table's rows if that is
-more, so a value's rows stay few as the table grows.  How many substrings there are is
-learned from the sample, so that its true neighbours are within the radius: of a sample
-of a fifth of all rows, say, the nearest one stands for the five nearest of the table.
-
-Equal vectors are one class, which holds its ``k + 1`` smallest ids: more of them
-can never be among the nearest, as ties go to the smaller id.  So a vector that a
-third of all rows hold is one entry of the index.  Values that many rows share are
-split by adaptive execution, as the probe is a plain join.
+A bounded sample gives the mean, the principal axes and rotations that bring the axes'
+signs close to the values (iterative quantization).  Every vector gets one code of
+``BITS`` bits, a sign for each rotated axis; a code falls into substrings of 16 bits, and
+each substring is indexed: rows are dealt into shards, and a shard keeps for each
+substring its rows sorted by value, with the whole codes and the vectors beside them.
+
+A query asks for every code within a Hamming radius r.  With m substrings and
+r = m * a + b, a code within r differs by at most a bits in one of the first b + 1
+substrings or by fewer than a in one of the others (pigeonhole), so these values are
+probed: by their masks where these are few, else by holding the substring against the
+shard's values, which gives the same rows.  Of what is found the whole codes are compared,
+and only rows within the radius are ranked, by the cosine of the original vectors in
+double precision.
+
+The radius is learned from the sample, so that the share ``REACH`` of its true
+neighbours lies within: of a sample of a fifth of all rows, say, the nearest one stands
+for the five nearest of the table.  A query that finds fewer than ``k`` rows asks again
+with the whole code's length, which is every row; ``exact=True`` does so for all.
+
+Queries are a stated set, held against all rows in shards: a task takes a shard and a group
+of queries, both of bounded size, and gives at most ``k`` rows for each query.  Equal
+vectors are one class, which holds its ``k + 1`` smallest ids: more of them can never be
+among the nearest, as ties go to the smaller id.  So a vector that a third of all rows
+hold is one entry of the index.
 """
 
 from __future__ import annotations
@@ -35,171 +39,172 @@ from pyspark.sql import functions as F
 from . import core
 
 #: Rows the model is fitted on, at most, and how many of them ask for their neighbours.
-SAMPLE = 10_000
-ASKED = 200
-#: Share of true neighbours in the sample that the substrings must reach.
-REACH = 0.94
-#: Bits of a substring at least, and at most.
-BITS, MOST_BITS = 16, 30
-#: Values probed in each substring; doubled if so many substrings do not reach.
-PROBES = 160
-SUBSTRINGS = (4, 8, 12, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128)
-#: Rows of a block that are ranked at a time, and queries whose candidates are packed at a time.
-ROW_BLOCK = 65_536
-QUERY_BLOCK = 4096
-
-
-@lru_cache(4)
-def flips(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every set of a few bits that may differ, as a number and as a row of flags; the empty one first."""
-    most = 4 if bits <= 16 else 3
-    sets = [c for k in range(min(most, bits) + 1) for c in combinations(range(bits), k)]
-    grid = np.zeros((len(sets), bits), np.float64)
-    for row, c in enumerate(sets):
-        grid[row, list(c)] = 1
-    return (grid @ (1 << np.arange(bits))).astype(np.int64), grid
+SAMPLE, ASKED = 10_000, 600
+#: Share of true neighbours in the sample that the radius must reach.
+REACH = 0.95
+#: Bits of a code, and of a substring (one 16-bit number).
+BITS, PART = 256, 16
+#: Rows of a shard and queries of a group, at most about; below SMALL rows a shard is not worth a task.
+SHARD, GROUP, SMALL = 32_768, 8192, 1024
+#: Queries and pairs that are held at a time.
+TILE, PAIRS = 64, 65_536
+#: Flips whose masks are listed; with more, values are held against each other.
+LISTED = 2
+
+
+@lru_cache(8)
+def masks(flips: int) -> np.ndarray:
+    """Every 16-bit mask with at most so many bits."""
+    return np.array([sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(range(PART), k)], np.uint16)
 
 
 class Model:
-    """Mean, rotations, substrings and probes, fitted on a sample of vectors."""
+    """Mean, rotations and radius, fitted on a sample of vectors of ``rows`` in all."""
 
-    def __init__(self, x: np.ndarray, k: int, rows: int, reach: float = REACH, rounds: int = 8):
+    def __init__(self, x: np.ndarray, k: int, rows: int, reach: float = REACH, rounds: int = 8, bits: int = BITS):
         unit = x / np.linalg.norm(x, axis=1)[:, None]
-        self.dim = x.shape[1]
+        self.dim, self.bits = x.shape[1], bits
         self.mean = unit.mean(0)
-        self.bits = int(min(MOST_BITS, max(BITS, np.ceil(np.log2(max(rows, 2))) + 1)))
         z = unit - self.mean
         _, axes = np.linalg.eigh(z.T @ z)
-        z = (z @ axes)[:4096]
+        z = (z @ axes[:, ::-1])[:4096]
         rng = np.random.default_rng(7)
-        turns = []
-        for _ in range(-(-SUBSTRINGS[-1] * self.bits // self.dim)):
+        turns, n = [], 0
+        while n < bits:
             turn = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
             for _ in range(rounds):
                 u, _, vt = np.linalg.svd(np.where(z @ turn > 0, 1.0, -1.0).T @ z)
                 turn = (u @ vt).T
-            turns.append(axes @ turn)
-        self.turns = np.concatenate(turns, axis=1)
-        self.probes = min(PROBES, len(flips(self.bits)[0]))
-        self.substrings = SUBSTRINGS[-1]
-        self._fit(unit, max(1, round(k * len(x) / max(rows, 1))), k, reach)
-        self.turns = self.turns[:, : self.substrings * self.bits].copy()
-
-    def coordinates(self, x: np.ndarray) -> np.ndarray:
-        """(row, substring, bit): places along the rotated axes."""
+            turns.append(axes[:, ::-1] @ turn)
+            n += self.dim
+        self.turns = np.concatenate(turns, axis=1)[:, :bits].copy()
+        self.radius = self._fit(unit, max(1, round(k * len(x) / max(rows, 1))), reach)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """(row, substring): the code as 16-bit numbers."""
         unit = x / np.linalg.norm(x, axis=1)[:, None]
-        n = self.substrings
-        return ((unit - self.mean) @ self.turns[:, : n * self.bits]).reshape(len(x), n, self.bits)
-
-    def values(self, z: np.ndarray) -> np.ndarray:
-        """(row, substring): each substring as a number."""
-        return (z > 0) @ (1 << np.arange(self.bits))
-
-    def probed(self, z: np.ndarray) -> np.ndarray:
-        """(substring, probe): what differs, for one query's coordinates, nearest values first in no order."""
-        masks, grid = flips(self.bits)
-        cost = (z * z) @ grid.T
-        if self.probes >= len(masks):
-            return np.tile(masks, (len(z), 1))
-        return masks[np.argpartition(cost, self.probes - 1, axis=1)[:, : self.probes]]
-
-    def _fit(self, unit: np.ndarray, k: int, most: int, reach: float) -> None:
-        """The fewest substrings, and then probes, that find this share of the sample's own ``k`` nearest.
-
-        Where these are fewer than ``most``, up to three times as many rows ask, for as steady a share.
-        """
-        own = np.unique(np.linspace(0, len(unit) - 1, min(ASKED * min(3, most // k), len(unit))).astype(int))
+        return np.packbits((unit - self.mean) @ self.turns > 0, axis=1).view(np.uint16)
+
+    def _fit(self, unit: np.ndarray, k: int, reach: float) -> int:
+        """The radius within which this share of the sample's own ``k`` nearest lies."""
+        own = np.unique(np.linspace(0, len(unit) - 1, min(ASKED, len(unit))).astype(int))
         sim = unit[own] @ unit.T
         sim[np.arange(len(own)), own] = -2
         near = np.argsort(-sim, axis=1)[:, : min(k, len(unit) - 1)]
         if not near.size:
-            self.substrings = SUBSTRINGS[0]
-            return
-        z = self.coordinates(unit[own])
-        apart = self.values(z)[:, None, :] ^ self.values(self.coordinates(unit[near.ravel()])).reshape(*near.shape, -1)
-        bits = (apart[..., None] >> np.arange(self.bits)) & 1
-        cost = (bits * (z * z)[:, None]).sum(3)
-        masks, grid = flips(self.bits)
-        few = bits.sum(3) <= grid.sum(1).max()
-        while True:
-            last = self.probes - 1
-            radius = np.stack([np.partition((q * q) @ grid.T, last, axis=1)[:, last] for q in z])
-            found = few & (cost <= radius[:, None] * (1 + 1e-9))
-            for n in SUBSTRINGS:
-                if found[:, :, :n].any(2).mean() >= reach:
-                    self.substrings = n
-                    return
-            if self.probes >= len(masks):
-                return
-            self.probes = min(2 * self.probes, len(masks))
-
-
-def _grid(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+            return self.bits
+        apart = distances(np.repeat(self.codes(unit[own]), near.shape[1], 0), self.codes(unit[near.ravel()]))
+        return int(np.quantile(apart, reach, method="higher"))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of codes, row by row."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+class Shard:
+    """Codes of a shard's rows with each substring's rows in the order of their values."""
+
+    def __init__(self, codes: np.ndarray, order: np.ndarray):
+        self.codes, self.order = codes, order
+        self.tables = []
+        for s, rows in enumerate(order):
+            value = codes[rows, s]
+            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            self.tables.append((value[first], first, np.append(first[1:], len(value))))
+
+    def probed(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """(query, row): rows that the pigeonhole probes of a radius reach."""
+        n, m = len(self.codes), self.codes.shape[1]
+        whole, rest = divmod(radius, m)
+        hit = np.zeros((len(queries), n), bool)
+        for s, (values, first, end) in enumerate(self.tables):
+            flips = whole if s <= rest else whole - 1
+            if flips < 0:
+                continue
+            if flips <= LISTED and len(masks(flips)) * 8 < len(values):
+                for i, v in enumerate(queries[:, s]):
+                    asked = v ^ masks(flips)
+                    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+                    for place in at[values[at] == asked]:
+                        hit[i, self.order[s][first[place] : end[place]]] = True
+            else:
+                near = np.bitwise_count(queries[:, s][:, None] ^ values) <= flips
+                hit[:, self.order[s]] |= np.repeat(near, end - first, axis=1)
+        return hit
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of every code within a radius."""
+        i, j = np.nonzero(self.probed(queries, radius))
+        near = np.concatenate([distances(queries[i[at : at + PAIRS]], self.codes[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)] or [np.zeros(0, np.int64)]) <= radius
+        return i[near], j[near]
+
+
+def _grid(column: pa.Array, dim: int) -> np.ndarray:
     col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _entries(model: Model, probe: bool):
-    """(key, id) of every substring; for queries, of every probed value."""
+INDEX = "shard int, ids array<bigint>, members array<array<bigint>>, vectors binary, codes binary, ranks binary"
 
-    def run(batches):
-        lead = np.arange(model.substrings, dtype=np.int64) << 32
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64 if probe else 4096):
-                part = batch.slice(lo, 64 if probe else 4096)
-                ids = part.column("id").to_numpy()
-                z = model.coordinates(_grid(part.column("embedding"), model.dim))
-                keys = model.values(z) + lead
-                if probe:
-                    keys = np.stack([k[:, None] ^ model.probed(q) for k, q in zip(keys, z)]) if len(z) else keys
-                n = keys[0].size if len(keys) else 0
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(ids, n), pa.int64())], ["key", "asks" if probe else "id"])
 
-    return run
+def _indexed(model: Model):
+    """One row for each shard: its rows, their vectors and codes, and each substring's rows in the order of values."""
 
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        x = _grid(t["embedding"], model.dim)
+        codes = model.codes(x)
+        order = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
+        blob = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
+        one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), c.combine_chunks())
+        return pa.table({"shard": t["shard"].slice(0, 1).cast(pa.int32()), "ids": one(t["id"]), "members": one(t["members"].cast(pa.list_(pa.int64()))), "vectors": blob(x), "codes": blob(codes), "ranks": blob(order)})
 
-def _pack(t: pa.Table) -> pa.Table:
-    """A row for each query: its distinct candidates in this block."""
-    home = t["home"][0].as_py()
-    q, v = t["asks"].to_numpy(), t["id"].to_numpy()
-    order = np.lexsort((v, q))
-    q, v = q[order], v[order]
-    new = np.concatenate([[True], (q[1:] != q[:-1]) | (v[1:] != v[:-1])])
-    q, v = q[new], v[new]
-    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-    cut = np.append(first, len(q)).astype(np.int32)
-    return pa.table({"home": pa.array([home] * len(first), pa.int32()), "asks": pa.array(q[first], pa.int64()), "found": pa.ListArray.from_arrays(pa.array(cut), pa.array(v, pa.int64()))})
+    return run
 
 
-def _places(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Where these ids stand in sorted ids; each may stand there more than once."""
-    lo, hi = np.searchsorted(ids, some, "left"), np.searchsorted(ids, some, "right")
-    n = hi - lo
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+def _best(group: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` of each group: greater scores first, then smaller ids."""
+    order = np.lexsort((ids, -score, group))
+    g = group[order]
+    return order[np.arange(len(g)) - np.searchsorted(g, g, side="left") < k]
 
 
-def _rank(dim: int, k: int):
-    """The k best of each query's candidates in one block of rows; a null list of candidates means every row."""
+def _search(model: Model, k: int):
+    """The k best of each query within its radius, of one shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        if len(left) and len(right):
-            left = left.sort_by("id")
-            ids, x, members = left["id"].to_numpy(), _grid(left["embedding"], dim), left["members"].to_pylist()
-            q, found = _grid(right["embedding"], dim), right["found"]
+        asks, radius = left["asks"].to_numpy(), left["radius"].to_numpy()
+        y = _grid(left["query"], model.dim)
+        codes = model.codes(y) if len(y) else np.zeros((0, model.bits // PART), np.uint16)
+        size = np.sqrt((y * y).sum(1))
+        for r in range(len(right)):
+            get = lambda name, kind: np.frombuffer(right[name][r].as_buffer(), kind)  # noqa: B023, E731
+            ids, members = right["ids"][r].values.to_numpy(), right["members"][r].values
+            x = get("vectors", np.float64).reshape(-1, model.dim)
             norm = np.sqrt((x * x).sum(1))
-            for i, (qid, y) in enumerate(zip(right["asks"].to_pylist(), q)):
-                some = found[i].values
-                at = np.arange(len(ids)) if some is None else _places(ids, some.to_numpy())
-                score = (x[at] * y).sum(1) / (norm[at] * np.sqrt((y * y).sum()))
-                # One class may hold nothing but the query itself.
-                best = np.lexsort((ids[at], -score))[: k + 1]
-                rows = sorted((-score[b], m) for b in best.tolist() for m in members[at[b]] if m != qid)[:k]
-                out[0] += [qid] * len(rows)
-                out[1] += [m for _, m in rows]
-                out[2] += [-s for s, _ in rows]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+            shard = Shard(get("codes", np.uint16).reshape(len(ids), -1), get("ranks", np.int32).reshape(-1, len(ids)))
+            for reach in np.unique(radius):
+                some = np.flatnonzero(radius == reach)
+                for at in range(0, len(some), TILE):
+                    q = some[at : at + TILE]
+                    i, j = shard.within(codes[q], int(reach))
+                    i = q[i]
+                    score = np.empty(len(i))
+                    for lo in range(0, len(i), PAIRS):
+                        a, b = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+                        score[lo : lo + PAIRS] = (x[b] * y[a]).sum(1) / (norm[b] * size[a])
+                    # One class may hold nothing but the query itself.
+                    keep = _best(i, ids[j], score, k + 1)
+                    rows = [(a, -s, m) for a, b, s in zip(i[keep].tolist(), j[keep].tolist(), score[keep].tolist()) for m in members[b].as_py() if m != asks[a]]
+                    for a, s, m in sorted(rows):
+                        out[0].append(int(asks[a]))
+                        out[1].append(m)
+                        out[2].append(-s)
+        q = np.array(out[0], np.int64)
+        keep = _best(q, np.array(out[1], np.int64), np.array(out[2]), k) if len(q) else np.zeros(0, np.int64)
+        return pa.table({"query_id": pa.array(q[keep]), "vec_id": pa.array(np.array(out[1], np.int64)[keep]), "score": pa.array(np.array(out[2], np.float64)[keep])})
 
     return run
 
@@ -213,33 +218,24 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def classes_of(rows: DataFrame, k: int) -> DataFrame:
-    """id, members, embedding: a row for each different vector, named by its hash, with its k + 1 smallest ids."""
-    order = Window.partitionBy("embedding").orderBy("vec_id")
-    few = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
-    return few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).select(F.xxhash64("embedding").alias("id"), "members", "embedding")
-
-
-def candidates(classes: DataFrame, asked: DataFrame, model: Model, n_homes: int, n_parts: int = 1) -> DataFrame:
-    """home, asks, found: the distinct classes that each query's probes reach, packed by block of rows and part of the queries."""
-    index = classes.select("id", "embedding").mapInArrow(_entries(model, False), "key long, id long")
-    probes = asked.select(F.col("vec_id").alias("id"), "embedding").mapInArrow(_entries(model, True), "key long, asks long")
-    home = F.pmod(F.xxhash64("id"), F.lit(n_homes)).cast("int")
-    part = F.pmod(F.xxhash64("asks"), F.lit(n_parts)).cast("int")
-    pairs = index.join(probes, "key").select("asks", "id", home.alias("home"), part.alias("part"))
-    return pairs.groupBy("home", "part").applyInArrow(_pack, "home int, asks long, found array<long>")
+    """id, members, embedding: a row for each different vector, told by two 64-bit hashes, with its k + 1 smallest ids, of which id is the least."""
+    hashed = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(1), "embedding").alias("g"))
+    few = hashed.withColumn("place", F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    made = few.groupBy("h", "g").agg(F.sort_array(F.collect_list("vec_id")).alias("members"), F.first("embedding").alias("embedding"))
+    return made.select(F.element_at("members", 1).alias("id"), "members", "embedding")
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, exact: bool = False) -> DataFrame:
     """The ``k`` nearest found for each row whose id ``every`` divides: query_id, rank, vec_id, score.
 
     Candidates are all rows of other ids; all of them are returned if they are
-    fewer than ``k``.  Ties go to the smaller id.  A query whose probes reach fewer
-    than ``k`` rows is held against every row, in blocks.
+    fewer than ``k``.  Ties go to the smaller id.  ``exact`` holds every query against
+    every row, in the same shards.
 
     A null id or vector, a zero vector and one with a null or non-finite component
     take no part.  A vector shorter than the longest one counts as zero beyond its
     end.  Of a repeated query id the least vector asks; repeated candidates are all
-    ranked.  Extra columns are not read.
+    ranked.  An empty table gives none.  Other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -249,29 +245,33 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     short = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("embedding")))
     rows = rows.withColumn("embedding", F.when(F.size("embedding") < dim, short).otherwise(F.col("embedding")))
-    picked = [r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()]
-    model = Model(np.array(picked), k, n)
-    classes = core.checkpoint(classes_of(rows, k))
-    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n_homes = max(-(-n // ROW_BLOCK), min(core.partitions(spark), -(-n // 2048)), 1)
-    homes = classes.withColumn("home", F.pmod(F.xxhash64("id"), F.lit(n_homes)).cast("int"))
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    model = Model(_grid(picked["embedding"], dim), k, n)
+    shards = max(-(-n // SHARD), min(2 * core.partitions(spark), -(-n // SMALL)))
+    dealt = classes_of(rows, k).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    index = core.checkpoint(dealt.groupBy("shard").applyInArrow(_indexed(model), INDEX))
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("asks")).agg(F.min("embedding").alias("query"))
+    asked = core.checkpoint(asked)
+    groups = -(-asked.count() // GROUP)
 
     def best(wanted: DataFrame) -> DataFrame:
-        found = homes.groupBy("home").cogroup(wanted.groupBy("home")).applyInArrow(_rank(dim, k), schema)
+        """Every group of queries with every shard."""
+        q = wanted.select("asks", "query", "radius", F.pmod(F.xxhash64("asks"), F.lit(max(groups, 1))).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
+        r = index.select(F.col("shard").alias("rs"), F.explode(F.sequence(F.lit(0), F.lit(max(groups, 1) - 1))).alias("rg"), "ids", "members", "vectors", "codes", "ranks")
+        found = q.groupBy("s", "g").cogroup(r.groupBy("rs", "rg")).applyInArrow(_search(model, k), schema)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    # A query's vector goes to a block of rows only if it has a candidate there.
-    packed = candidates(classes, asked, model, n_homes, max(1, n // (every * QUERY_BLOCK)))
-    out = core.checkpoint(best(packed.join(asked, packed["asks"] == asked["vec_id"]).select("home", "asks", "found", "embedding")))
-    full = out.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-    few = asked.join(full, "vec_id", "left_anti")
-    if not few.limit(1).count():
+    radius = model.bits if exact else model.radius
+    out = core.checkpoint(best(asked.withColumn("radius", F.lit(radius))))
+    full = out.filter(F.col("rank") == k).select(F.col("query_id").alias("asks"))
+    few = asked.join(full, "asks", "left_anti")
+    if radius == model.bits or not few.limit(1).count():
         return out
-    every_home = F.explode(F.sequence(F.lit(0), F.lit(n_homes - 1))).alias("home")
-    again = best(few.select(every_home, F.col("vec_id").alias("asks"), F.lit(None).cast("array<long>").alias("found"), "embedding"))
-    return out.join(full, out["query_id"] == full["vec_id"], "left_semi").unionByName(again)
+    again = best(few.withColumn("radius", F.lit(model.bits)))
+    return out.join(full, out["query_id"] == full["asks"], "left_semi").select(*out.columns).unionByName(again)
 
 
 def op7(spark, sf_dir):
+    """query_id, rank, vec_id, score: the 5 nearest of every 50th row of ``embeddings``."""
     return nearest(core.table(spark, sf_dir, "embeddings"))

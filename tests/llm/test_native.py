@@ -268,25 +268,22 @@ def test_every_secret_of_the_corpus_is_masked(spark):
     assert secret_scan.scan(df).filter(F.col("masked").rlike(kinds)).count() == 0
 
 
-def test_probing_finds_every_code_within_the_radius():
+@pytest.mark.parametrize("spread", [0.1, 3.0])
+def test_probing_finds_every_code_within_the_radius(spread):
+    """Over all values, near ones by their masks and far ones by comparison."""
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((600, 24))
+    x = rng.standard_normal((40, 24))[rng.integers(0, 40, 6000)] + spread * rng.standard_normal((6000, 24))
     model = hamming_search.Model(x, 5, len(x))
-    z = model.coordinates(x)
-    codes, masks, grid = model.values(z), *hamming_search.flips(model.bits)
-    inside = 0
-    for q in range(0, 600, 40):
-        probed = model.probed(z[q])
-        # Each substring's probes are the values of least weighted distance.
-        cost = (z[q] * z[q]) @ grid.T
-        radius = np.sort(cost, axis=1)[:, model.probes - 1]
-        differ = ((codes ^ codes[q])[..., None] >> np.arange(model.bits)) & 1
-        whole = (differ * (z[q] * z[q])).sum((1, 2))
-        found = np.array([any(d in set(p.tolist()) for d, p in zip(row, probed)) for row in (codes ^ codes[q]).tolist()])
-        assert found[whole <= radius.sum() * (1 - 1e-9)].all()
-        inside += (whole <= radius.sum()).sum()
-    assert inside >= 15
-    assert len(masks) == len(set(masks.tolist()))
+    codes = model.codes(x)
+    shard = hamming_search.Shard(codes, np.argsort(codes, axis=0, kind="stable").T.astype(np.int32))
+    asked = codes[::300]
+    true = np.bitwise_count(asked[:, None] ^ codes).sum(2, dtype=int)
+    for radius in (0, 3, 17, 40, model.radius, 200, 256):
+        i, j = shard.within(asked, radius)
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*[a.tolist() for a in np.nonzero(true <= radius)]))
+    # On near vectors few rows are probed, and few of these are outside.
+    if spread < 1:
+        assert shard.probed(asked, model.radius).mean() < 0.2
 
 
 def test_index_reaches_few_rows(spark):
@@ -296,12 +293,14 @@ def test_index_reaches_few_rows(spark):
     x = centres[np.arange(3000) % 100] + 0.3 * rng.standard_normal((3000, 32))
     rows = list(zip(range(3000), x.tolist()))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    classes, asked = hamming_search.classes_of(df, 5), df.filter("vec_id % 50 = 0")
-    got = hamming_search.candidates(classes, asked, hamming_search.Model(x, 5, 3000), 4)
-    assert got.agg(F.sum(F.size("found"))).first()[0] < 0.1 * 3000 * 60
+    model = hamming_search.Model(x, 5, 3000)
+    codes = model.codes(x)
+    assert (np.bitwise_count(codes[::50][:, None] ^ codes).sum(2, dtype=int) <= model.radius).mean() < 0.1
     want = exact(rows, 50, 5)
     found = {(r.query_id, r.vec_id) for r in hamming_search.nearest(df).collect()}
     assert sum((q, j) in found for q, near in want.items() for j, _ in near) >= 0.95 * 300
+    whole = {(r.query_id, r.vec_id) for r in hamming_search.nearest(df, exact=True).collect()}
+    assert whole == {(q, j) for q, near in want.items() for j, _ in near}
 
 
 def test_a_vector_that_a_third_of_all_rows_hold(spark):
