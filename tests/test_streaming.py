@@ -73,3 +73,53 @@ def test_refresh(spark):
     out, cursor = drivers.refresh(base, log, art, 0)
     assert cursor == 2 and [r.doc_id for r in out.collect()] == ["d2"]
     assert drivers.refresh(out, log, art, 2) == (out, 2)
+
+
+def test_hot_document_is_folded_in_order_over_restarts(spark, tmp_path):
+    n = 4000
+    ops = ["claim_ingest", "fail_ingest", "claim_ingest", "finalize_ingest", "claim_delete", "finalize_delete", "fail_delete", "noop"]
+    rows = [("hot" if i % 3 else f"d{i % 5}", i, ops[(i * 7 + i // 11) % 8], f"r{i % 2}") for i in range(n)]
+    actions = spark.createDataFrame(rows, "doc_id string, seq long, action string, req_id string")
+    (tmp_path / "src").mkdir()
+    stream = spark.readStream.schema(actions.schema).parquet(f"{tmp_path}/src")
+    for lo, hi in ((0, 1500), (1500, 1501), (1501, n)):
+        # Many files in no order; each start takes up the state where the last one left it.
+        actions.filter(f"seq >= {lo} AND seq < {hi}").repartition(7).write.mode("append").parquet(f"{tmp_path}/src")
+        fold_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "seq", "action", "outcome")
+    want = manifest.outcomes(actions)
+    assert got.count() == n and got.exceptAll(want).count() == 0
+
+
+def test_messages_come_back_until_they_are_dead(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from lexcask.streaming import redelivery
+
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    schema = "message_id string, kind string, at timestamp, body string"
+    (tmp_path / "src").mkdir()
+    stream = spark.readStream.schema(schema).json(f"{tmp_path}/src")
+    events = []
+
+    def push(*rows):
+        # (message, kind, seconds); "tick" moves the clock.
+        lines = [{"message_id": m, "kind": k, "at": (start + timedelta(seconds=s)).isoformat(), "body": f"b-{m}"} for m, k, s in rows]
+        write_lines(tmp_path / "src", f"{len(events)}.json", lines)
+        out = redelivery.deliveries(stream, "0 seconds", retention=4000, dead_retention=6000)
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        events.append(1)
+
+    push(("stuck", "sent", 0), ("fine", "sent", 0), ("slow", "sent", 1), ("never", "done", 2))
+    push(("fine", "done", 100), ("tick1", "sent", 361))
+    for k in range(2, 7):
+        push((f"tick{k}", "sent", 361 * k + 5), *([("slow", "done", 361 * k)] if k == 3 else []))
+    push(("stuck", "sent", 20), ("fine", "sent", 400))  # behind the watermark: dropped
+    push(("end", "sent", 20_000))
+    seen = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").orderBy("at").collect():
+        seen.setdefault(r.message_id, []).append((r.event, r.receives))
+        assert r.body == f"b-{r.message_id}"
+    assert seen["stuck"] == [("delivered", i) for i in range(1, 6)] + [("dead", 5), ("dead letter dropped", 5)]
+    assert seen["fine"] == [("delivered", 1), ("settled", 1)] and "never" not in seen
+    assert seen["slow"][0] == ("delivered", 1) and seen["slow"][-1][0] == "settled" and 2 <= len(seen["slow"]) <= 5
