@@ -1,11 +1,15 @@
 """The manifest: each document's life as a state machine, folded over its actions.
 
-Actions of one document are ordered and folded in its own row, so the state
-machine needs one shuffle by document and no user function.
+One shuffle brings a document's actions together in order; a task then passes over its
+rows once and holds nothing but the state it is in, so a document may have any number
+of actions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,22 +42,67 @@ def step(status: Column, req: Column, action: Column, own: Column) -> tuple[Colu
     return new_status, new_req, outcome
 
 
-def _folded(actions: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "action", "req_id")))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("req_id"), F.array().cast("array<struct<seq: bigint, action: string, outcome: string>>").alias("log"))
+def transition(status: str | None, held: str | None, action: str, req: str | None) -> tuple[str | None, str | None, str]:
+    """``step`` on plain values."""
+    owner = status is not None and held == req
+    if action == "claim_ingest":
+        if status is None:
+            return INGESTING, req, "claimed"
+        return (INGESTING, req, "reclaimed") if status == INGEST_FAILED else (status, held, "skipped ingestion")
+    if action == "finalize_ingest" and status == INGESTING and owner:
+        return INDEXED, held, "indexed"
+    if action == "fail_ingest" and status is not None:
+        return INGEST_FAILED, held, "ingest failed"
+    if action == "fail_delete" and status is not None:
+        return DELETE_FAILED, held, "delete failed"
+    if action == "claim_delete":
+        return (DELETING, req, "deleting") if status in (INDEXED, DELETE_FAILED) else (status, held, "skipped deletion")
+    if action == "finalize_delete" and status == DELETING and owner:
+        return DELETED, held, "deleted"
+    return status, held, "guard failed"
+
+
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outcomes of rows sorted by document and place."""
+    doc, status, held = object(), None, None
+    for b in batches:
+        out: list[list] = [[], [], []]
+        for d, action, req in zip(*[b.column(c).to_pylist() for c in ("doc_id", "action", "req_id")]):
+            if d != doc:
+                doc, status, held = d, None, None
+            status, held, outcome = transition(status, held, action, req)
+            for column, value in zip(out, (outcome, status, held)):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("seq"), b.column("action"), *[pa.array(c, pa.string()) for c in out]], names=["doc_id", "seq", "action", "outcome", "status", "req_id"])
+
+
+def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's last row of sorted rows."""
+    held = None
+    for b in _passing(batches):
+        if not b.num_rows:
+            continue
+        ids = b.column("doc_id").to_pylist()
+        if held is not None and held.column("doc_id")[0].as_py() != ids[0]:
+            yield held
+        ends = [i for i in range(len(ids) - 1) if ids[i] != ids[i + 1]]
+        if ends:
+            yield b.take(pa.array(ends))
+        held = b.slice(len(ids) - 1, 1)
+    if held is not None:
+        yield held
 
-    def move(s: Column, a: Column) -> Column:
-        status, req, outcome = step(s["status"], s["req_id"], a["action"], a["req_id"])
-        return F.struct(status.alias("status"), req.alias("req_id"), F.concat(s["log"], F.array(F.struct(a["seq"].cast("long").alias("seq"), a["action"].alias("action"), outcome.alias("outcome")))).alias("log"))
 
-    return actions.groupBy("doc_id").agg(ordered.alias("actions")).select("doc_id", F.aggregate("actions", start, move).alias("s"))
+def _folded(actions: DataFrame, over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    rows = actions.select("doc_id", F.col("seq").cast("long").alias("seq"), "action", "req_id").repartition("doc_id").sortWithinPartitions("doc_id", "seq", "action", "req_id")
+    return rows.mapInArrow(over, "doc_id string, seq long, action string, outcome string, status string, req_id string")
 
 
 def fold(actions: DataFrame) -> DataFrame:
     """doc_id, status, req_id after all actions (doc_id, seq, action, req_id); documents without a row are left out."""
-    return _folded(actions).select("doc_id", "s.status", "s.req_id").filter("status IS NOT NULL")
+    return _folded(actions, _last).select("doc_id", "status", "req_id").filter("status IS NOT NULL")
 
 
 def outcomes(actions: DataFrame) -> DataFrame:
     """doc_id, seq, action, outcome of every action."""
-    return _folded(actions).select("doc_id", F.inline("s.log"))
+    return _folded(actions, _passing).select("doc_id", "seq", "action", "outcome")

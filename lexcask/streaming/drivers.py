@@ -49,10 +49,12 @@ def redrive(failed: DataFrame, retry: str, dead: str, batch_id: int | str, error
 
 
 def object_event_batch(kind: str, out: str, bucket: str | None = None) -> Callable[[DataFrame, int], None]:
-    """Accepted object events of each batch, once for each document and batch, to a folder of the batch's own."""
+    """Object events of each batch to folders of the batch's own: accepted ones once for each document, refused ones with the reason below ``_refused``."""
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        rows = events.validate_object_events(batch, kind, bucket).filter("reject_reason IS NULL")
+        seen = events.validate_object_events(batch, kind, bucket)
+        seen.filter("reject_reason IS NOT NULL").write.mode("overwrite").parquet(f"{out}/_refused/batch={batch_id}")
+        rows = seen.filter("reject_reason IS NULL")
         # A folder for each batch, overwritten if it is run again: at-least-once becomes exactly-once.
         rows.dropDuplicates(["message_id", "doc_id"]).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

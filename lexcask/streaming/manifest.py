@@ -9,32 +9,12 @@ from typing import Any
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.manifest import DELETE_FAILED, DELETED, DELETING, INDEXED, INGEST_FAILED, INGESTING
+from ..operators.manifest import transition
 
 OUTPUT = "doc_id string, seq long, action string, outcome string, status string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def transition(status: str | None, held: str | None, action: str, req: str | None) -> tuple[str | None, str | None, str]:
-    """The batch fold's step on plain values."""
-    owner = status is not None and held == req
-    if action == "claim_ingest":
-        if status is None:
-            return INGESTING, req, "claimed"
-        return (INGESTING, req, "reclaimed") if status == INGEST_FAILED else (status, held, "skipped ingestion")
-    if action == "finalize_ingest" and status == INGESTING and owner:
-        return INDEXED, held, "indexed"
-    if action == "fail_ingest" and status is not None:
-        return INGEST_FAILED, held, "ingest failed"
-    if action == "fail_delete" and status is not None:
-        return DELETE_FAILED, held, "delete failed"
-    if action == "claim_delete":
-        return (DELETING, req, "deleting") if status in (INDEXED, DELETE_FAILED) else (status, held, "skipped deletion")
-    if action == "finalize_delete" and status == DELETING and owner:
-        return DELETED, held, "deleted"
-    return status, held, "guard failed"
-
-
 class InOrder:
     """Rows of one key and batch in the order of seq, held in a few bytes each: numbers, and each different text once."""
 

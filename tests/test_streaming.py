@@ -36,6 +36,7 @@ def test_object_events_stream(spark, tmp_path):
     q = drivers.run(drivers.messages(spark, f"{tmp_path}/q"), drivers.object_event_batch("ObjectCreated:", f"{tmp_path}/out"), f"{tmp_path}/cp")
     q.awaitTermination()
     assert [r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["raws/a.txt"]
+    assert [(r.message_id, r.reject_reason) for r in spark.read.parquet(f"{tmp_path}/out/_refused").collect()] == [("m2", "invalid json body")]
 
 
 def test_snapshot_stream_publishes_restarts_and_redrives(spark, tmp_path):
