@@ -25,7 +25,8 @@ OTHERS = "commit|sha|sha1|sha256|md5|hash|checksum|digest|uuid|guid|card|iban|or
 #: A candidate anywhere in a word; after an assignment, a shorter one; after a key word's assignment, anything up to a mark that ends values.
 LONG = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 SHORT = r"[A-Za-z0-9][A-Za-z0-9+/_\-]{3,}={0,2}"
-KEYED = r"[^\x20\x09-\x0D\"'`<>|&,;(){}\[\]=:]{3,}[A-Za-z0-9+/_\-]={0,2}"
+#: (An ampersand is a part of a value, but for one that begins the next field of a query string.)
+KEYED = r"(?:[^\x20\x09-\x0D\"'`<>|&,;(){}\[\]=:]|&(?![A-Za-z0-9_.\-]{0,40}=)){3,}[A-Za-z0-9+/_\-]={0,2}"
 _IN_WORD = rf"(?<=[=:>][\"'`]{{0,2}})(?<=(?i:{KEYS})[A-Za-z0-9_\-]{{0,20}}[\"'`]{{0,2}}[=:>]{{1,2}}[\"'`]{{0,2}}){KEYED}|{LONG}|(?<=[=:][\"'`]{{0,2}}){SHORT}"
 _FIRST = r"(?<=^[\"'`(]{0,3})"
 #: Ends of the words before that make a word's first run a value.
@@ -84,12 +85,20 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     which are labelled 0, while the same shapes elsewhere are labelled 1.
     """
     i = F.col("id")
-    h = F.sha2(F.concat(F.lit(f"{seed}-"), i.cast("string")), 256)
-    h2 = F.sha2(F.concat(F.lit(f"{seed}+"), i.cast("string")), 256)
+    made = spark.range(0, n, 1, 4)
+
+    def named_as(**columns: Column) -> list[Column]:
+        """Columns of a step of its own: what later steps are made of is computed once, and no expression grows with all of them."""
+        nonlocal made
+        made = made.select("*", *[c.alias(f"_{name}") for name, c in columns.items()])
+        return [F.col(f"_{name}") for name in columns]
+
     r = lambda k, m: F.pmod(F.xxhash64(i, F.lit(k), F.lit(seed)), F.lit(m))
-    b64 = F.regexp_replace(F.base64(F.unhex(F.concat(h, h2))), "[=\n\r]", "")
-    upper = F.upper(F.translate(F.substring(b64, 1, 60), "abcdefghijklmnopqrstuvwxyz+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ23"))
     pick = lambda k, words: F.element_at(F.array(*[F.lit(w) for w in words]), (r(k, len(words)) + 1).cast("int"))
+    part = lambda k: pick(k, ["ka", "tos", "ver", "al", "schaft", "ment", "en", "ique", "lor", "ado", "ing", "st", "ura", "ber", "th", "and", "er", "eux", "mi", "gre", "son"])
+    h, h2 = named_as(h=F.sha2(F.concat(F.lit(f"{seed}-"), i.cast("string")), 256), h2=F.sha2(F.concat(F.lit(f"{seed}+"), i.cast("string")), 256))
+    (b64,) = named_as(b64=F.regexp_replace(F.base64(F.unhex(F.concat(h, h2))), "[=\n\r]", ""))
+    upper = F.upper(F.translate(F.substring(b64, 1, 60), "abcdefghijklmnopqrstuvwxyz+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ23"))
     plain = lambda k: pick(k, ["", "the", "water", "garden.", "und", "que", "of", "house,", "in", "soleil", "x1"])
     key = pick(1, ["token", "password", "secret", "api_key", "auth", "apikey", "TOKEN", "Secret"])
     other = pick(2, ["commit", "sha256", "md5", "checksum", "uuid", "hash", "build", "etag", "card", "order"])
@@ -99,16 +108,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     letters = F.translate(F.regexp_replace(b64, "[+/]", "k"), "0123456789", "ghJkmNpqRs")
     mixed = F.regexp_replace(b64, "[+/]", "7")
     some = lambda c, least, k: F.substr(c, F.lit(3), (r(k, 8) + least).cast("int"))
-    part = lambda k: pick(k, ["ka", "tos", "ver", "al", "schaft", "ment", "en", "ique", "lor", "ado", "ing", "st", "ura", "ber", "th", "and", "er", "eux", "mi", "gre", "son"])
     prose = F.concat(part(20), part(21), part(22))
-    long_prose = F.concat(prose, pick(23, ["-", "", "_", ""]), part(24), part(25), part(26), F.lit("ation"), part(27))
-    long_prose = F.when(r(39, 4) == 0, F.upper(long_prose)).when(r(39, 4) == 1, F.initcap(long_prose)).otherwise(long_prose)
     small = pick(28, ["from", "which", "that", "wird", "pour", "value", "there", "when", "ring", "with", "este", "para"])
     stands = pick(29, ["string", "example", "placeholder", "changeme", "value", "request.token", "user_name", "getUserName", "default", "config.value", "example_value", "user.name", "sample"])
     field = pick(30, ["region", "user", "name", "lang", "host", "type", "page", "title"])
     named = pick(31, ["us-east-1", "bobby", "alice", "localhost", "eu-west-2", "html5", "page-12", "admin", "index", "en-US1", "https", "10203"])
     dummy = pick(4, ["tests/unit/data.txt", "docs/example.md", "spec/keys.rb", "fixtures/a.json", "app/mock/auth.ts"])
     real = pick(40, ["src/app/main.py", "conf/prod.env", "web/site", "", "", "blog", "crawl/page", "dump.sql", "mail/17"])
+    upper, uuid, digits, letters, mixed, prose, small = named_as(upper=upper, uuid=uuid, digits=digits, letters=letters, mixed=mixed, prose=prose, small=small)
+    long_prose = F.concat(prose, pick(23, ["-", "", "_", ""]), part(24), part(25), part(26), F.lit("ation"), part(27))
+    long_prose = F.when(r(39, 4) == 0, F.upper(long_prose)).when(r(39, 4) == 1, F.initcap(long_prose)).otherwise(long_prose)
+    key, other, words, long_prose = named_as(key=key, other=other, words=words, long_prose=long_prose)
     # (value, what precedes it, its word, label)
     kinds = [
         (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), plain(5), "{}", 1),
@@ -154,14 +164,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED)
     ]
     # A word of a kind is a form for the value, or what stands before it.
     formed = lambda k: F.concat(k[2], k[0]) if isinstance(k[2], Column) else F.format_string(k[2].replace("{}", "%s"), k[0]) if "{}" in k[2] else F.concat(F.lit(k[2]), k[0])
-    row = reduce(
-        lambda out, k: F.when(F.pmod(i, F.lit(len(kinds))) == k[0], F.struct(k[1][0].alias("value"), k[1][1].alias("lead"), formed(k[1]).alias("word"), F.lit(k[1][3]).alias("label"))).otherwise(out),
-        enumerate(kinds),
-        F.lit(None),
-    )
+    # One row of its kind for each: all of a row's kinds side by side, of which one is taken.
+    rows = F.array(*[F.struct(k[0].alias("value"), k[1].alias("lead"), formed(k).alias("word"), F.lit(k[3]).cast("int").alias("label")) for k in kinds])
+    (row,) = named_as(kind=F.element_at(rows, (F.pmod(i, F.lit(len(kinds))) + 1).cast("int")))
     # Of rows without a label of their kind a third stand elsewhere than in dummies' places, of other false ones nine in ten, and all true ones.
     apart = F.when(F.col("f.label").isNull(), r(41, 3) == 0).otherwise((F.col("f.label") == 1) | (r(41, 10) > 0))
-    made = spark.range(0, n, 1, 4).select("id", row.alias("f"), plain(7).alias("first"), plain(8).alias("after")).withColumn("apart", apart)
+    made = made.select("id", row.alias("f"), plain(7).alias("first"), plain(8).alias("after")).withColumn("apart", apart)
     return made.withColumn("path", F.when(F.col("apart"), real).otherwise(dummy)).withColumn("label", F.coalesce("f.label", F.col("apart").cast("int"))).select(
         "f.value", F.concat_ws(" ", "first", "f.lead").alias("before"), "f.word", "after", "path", F.col("label").cast("double").alias("label")
     )

@@ -254,6 +254,8 @@ def test_secrets_inside_words_and_short_ones(spark):
         ("the token from there: nothing", "the token from there: nothing"),
         ("une internationalization-verschaftment ici", "une internationalization-verschaftment ici"),
         ("Thlybleesonhetiou ERSCHSCHBERBERTZ", "Thlybleesonhetiou ERSCHSCHBERBERTZ"),
+        ("so password=Tr0ub4dor&3 es", "so password=[SECRET] es"),
+        (f"see https://h/cb?password={hex40}&user_id=3&x=1", "see https://h/cb?password=[SECRET]&user_id=3&x=1"),
     ]
     df = spark.createDataFrame([(i, t, "src1") for i, (t, _) in enumerate(cases)], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
