@@ -211,10 +211,25 @@ def _stars(threshold: int):
     return run
 
 
+def _sections(f: int, n: int, label: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+    """Blocks of a bucket's members (of least to greatest set), and whether all of one are in one component.
+
+    A component of a block's size or more has blocks of its own; the others share theirs.
+    """
+    own = np.arange(f, f + n)
+    names, of, count = np.unique(label[own], return_inverse=True, return_counts=True)
+    large = np.flatnonzero(count >= BLOCK)
+    parts = [(own[of == c], True) for c in large.tolist()]
+    rest = own[~np.isin(of, large)]
+    parts += [(rest, len(np.unique(label[rest])) == 1)] if len(rest) else []
+    return [(part[at : at + BLOCK], pure) for part, pure in parts for at in range(0, len(part), BLOCK)]
+
+
 def _split(t: pa.Table, threshold: int = THRESHOLD) -> pa.Table:
     """Members of buckets that still hold several components, dealt to pairs of blocks.
 
-    Blocks follow the sets' sizes, so only those near the diagonal can hold a link.
+    Blocks follow the sets' sizes, so only those near the diagonal can hold a link; two blocks
+    of one component are no pair.
     """
     h, v, label, n_of = (t[c].to_numpy() for c in ("band", "v", "label", "n"))
     order = np.lexsort((v, n_of, h))
@@ -226,17 +241,20 @@ def _split(t: pa.Table, threshold: int = THRESHOLD) -> pa.Table:
     size = np.diff(np.append(first, len(h)))
     block, side, who = [], [], []
     for f, n in zip(first[low < high].tolist(), size[low < high].tolist()):
-        k = -(-n // BLOCK)
         head = h[f].tobytes()
-        for i in range(k):
-            own = np.arange(f + i * BLOCK, min(f + n, f + (i + 1) * BLOCK))
-            for j in range(k):
-                # The greatest set of the smaller block against the least of the greater one.
-                if i != j and n_of[min(f + n, f + (min(i, j) + 1) * BLOCK) - 1] * 100 < n_of[f + max(i, j) * BLOCK] * threshold:
+        parts = _sections(f, n, label)
+        for i, (x, pure_x) in enumerate(parts):
+            for j, (y, pure_y) in enumerate(parts[i:], i):
+                if pure_x and pure_y and label[x[0]] == label[y[0]]:
+                    continue
+                # The greatest set of one against the least of the other.
+                if min(n_of[x[-1]], n_of[y[-1]]) * 100 < max(n_of[x[0]], n_of[y[0]]) * threshold:
                     continue
-                block += [head + bytes([min(i, j) & 255, min(i, j) >> 8, max(i, j) & 255, max(i, j) >> 8])] * len(own)
-                side += [0 if i <= j else 1] * len(own)
-                who.append(own)
+                name = head + bytes([i & 255, i >> 8, j & 255, j >> 8])
+                for k, own in enumerate((x, y) if i < j else (x,)):
+                    block += [name] * len(own)
+                    side += [k] * len(own)
+                    who.append(own)
     at = np.concatenate(who) if who else np.zeros(0, np.int64)
     return pa.table({"block": pa.array(block, pa.binary()), "side": pa.array(side, pa.int32()), "v": pa.array(v[at], pa.int64()), "label": pa.array(label[at], pa.int64())})
 

@@ -104,6 +104,26 @@ def test_blocks_by_size_lose_no_pair(monkeypatch):
     assert need <= met and len(met) < 40 * 39 / 2
 
 
+@pytest.mark.parametrize(("apart", "most"), [(1, 2.3), (300, 2.6), (10_000, 6)])
+def test_large_components_of_a_bucket_are_not_paired_with_themselves(apart, most):
+    """20,000 sets of one size in one bucket, some of them in a second component: every pair across is met, few rows go out."""
+    n = 20_000
+    label = np.where(np.arange(n) % (n // apart) == 0, 1, 0)
+    t = pa.table({"band": pa.array([7] * n, pa.int64()), "v": pa.array(range(n), pa.int64()), "n": pa.array([50] * n, pa.int64()), "label": pa.array(label, pa.int64())})
+    out = near_dedup._split(t)
+    assert len(out) <= most * n
+    met = 0
+    names, side, lab = np.array(out["block"].to_pylist()), out["side"].to_numpy(), out["label"].to_numpy()
+    for b in set(names.tolist()):
+        own = names == b
+        if b[8:10] == b[10:12]:
+            met += int((lab[own] == 0).sum()) * int((lab[own] == 1).sum())
+        else:
+            for s in (0, 1):
+                met += int((own & (side == s) & (lab == 0)).sum()) * int((own & (side != s) & (lab == 1)).sum())
+    assert met == int((label == 0).sum()) * int((label == 1).sum())
+
+
 def test_a_star_of_many_rows_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(components, "SALT", 4)
     edges = [(i, i + 1) for i in range(20)] + [(100, k) for k in range(101, 180)] + [(150, 500 + k) for k in range(40)]
