@@ -128,7 +128,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     offset 0.  ``capacity`` is a power of two, at least 16.
 
     Nulls: a null text is empty, so its document is the one id ``eos``; a null id
-    stays null.  Repeated rows are packed as often as they occur.
+    stays null.  Repeated rows are packed as often as they occur.  An empty table
+    gives none; a text of any length is encoded and cut whole.  Other columns are not
+    read, whatever their names.
     """
     if capacity < SMALLEST or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two, at least 16")

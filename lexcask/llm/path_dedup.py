@@ -209,7 +209,10 @@ def path_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Nulls: a null text has no words; a null id counts as larger than every id.
     Two rows of one id do not remove each other's words.  Shorter texts stay
-    whole.  Columns that are not named are not read.
+    whole.  An empty table gives none.  A text of any length is one document of its
+    chunk, taken whole; texts of one chunk that come to 2 GiB together, as only one
+    that is about as long can, are beyond Arrow's text column.  Columns that are not
+    named are not read, whatever their names.
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must be from 1 to length")

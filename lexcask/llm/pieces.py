@@ -236,7 +236,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Ids are the library's, without begin or end ids; decoded is its decode(ids).
 
     Nulls: a null text is empty and has no ids; a null id stays null.  Repeated
-    rows are encoded as often as they occur.
+    rows are encoded as often as they occur.  An empty table gives none; a text of any
+    length is encoded whole.  Other columns are not read, whatever their names.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(_encode(model or piece_path()), SCHEMA.format(dict(rows.dtypes)["id"])).withColumnRenamed("id", id_col)

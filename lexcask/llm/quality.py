@@ -117,7 +117,9 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     rule passes.
 
     Nulls: a null text has no words, so it fails.  Input columns that have the name
-    of a measure are replaced.  Repeated rows are judged each.
+    of a measure are replaced (put them in a struct to keep them, as the pipeline
+    does).  Repeated rows are judged each.  An empty table gives none; a text of any
+    length is judged whole.
     """
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     passes = F.lit(True)

@@ -382,7 +382,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Nulls: a null text is empty; a null id counts as larger than every id.  Rows
     of the same id do not remove each other's bytes.  Texts shorter than
-    ``length`` stay whole.  Columns that are not named are not read.
+    ``length`` stay whole.  An empty table gives none.  A text of any length is one
+    document of its chunk, taken whole; texts of one chunk that come to 2 GiB together,
+    as only one that is about as long can, are beyond Arrow's text column.  Columns that
+    are not named are not read, whatever their names.
     """
     if not 8 < gram <= 16 <= length <= 1024:
         raise ValueError("gram must be 9 to 16 and length 16 to 1024")
