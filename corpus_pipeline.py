@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), docs having the columns of ``documents``,
 and returns a DataFrame; all but the last return those columns.  Between stages
 rows are written and read again.
+
+Every stage takes null ids and texts as its operator does, texts of any length whole,
+repeated rows each (the near-dedup stage says which of them stays) and further columns of
+any names, which it carries along; an empty table gives none.
 """
 
 from __future__ import annotations
