@@ -202,7 +202,7 @@ FROM asked a JOIN chunks c ON c.doc_id = a.doc_id LEFT JOIN ids ON ids.doc_id =
     "vector_batch_summary": _with("vector_records") + """, n AS (SELECT doc_id, count(*) AS n_vectors FROM (SELECT doc_id FROM vector_records UNION ALL SELECT 'all' FROM vector_records) GROUP BY doc_id),
 b AS (SELECT *, CASE WHEN n_vectors > 200 THEN greatest(1, n_vectors // 5) ELSE n_vectors END AS batch_size FROM n)
 SELECT doc_id, n_vectors, n_vectors > 200 AS batched, CAST(batch_size AS BIGINT) AS batch_size, CAST((n_vectors + batch_size - 1) // batch_size AS BIGINT) AS n_batches FROM b""",
-    "delete_vectors": _with("vector_records") + " SELECT doc_id, key FROM vector_records WHERE doc_id <> 'raws/doc-3.txt'",
+    "delete_vectors": _with("vector_records", "manifest") + " SELECT doc_id, key FROM vector_records WHERE doc_id NOT IN (SELECT doc_id FROM manifest WHERE status = 'deleted')",
     "vector_topk": _with("vector_records") + """, s AS (SELECT q.key AS query_key, r.key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS score FROM vector_records q, vector_records r WHERE CAST(regexp_extract(q.key, '_chunk_([0-9]+)$', 1) AS BIGINT) % 100 = 0 AND q.key <> r.key)
 SELECT query_key, key, score, CAST(row_number() OVER (PARTITION BY query_key ORDER BY score DESC, key) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
     "indexed_doc_ids": _with("manifest") + " SELECT doc_id FROM manifest WHERE status = 'indexed'",
@@ -216,8 +216,8 @@ SELECT query_key, key, score, CAST(row_number() OVER (PARTITION BY query_key ORD
     "apply_delta": _with("chunks", "manifest", "doc_changes") + f""", {_OLD}, {_NEW}, net AS ({_net('doc_changes')})
 SELECT doc_id, chunk_id, text FROM old_chunks WHERE doc_id IN (SELECT doc_id FROM manifest WHERE status = 'indexed') AND doc_id NOT IN (SELECT doc_id FROM net)
 UNION ALL SELECT doc_id, chunk_id, text FROM new_chunks WHERE NOT ends_with(doc_id, '9.txt') AND doc_id IN (SELECT doc_id FROM net WHERE op = 'upsert')""",
-    "remove_doc": _with("chunks") + f", {_OLD} SELECT doc_id, chunk_id, text FROM old_chunks WHERE doc_id <> 'raws/doc-7.txt'",
-    "merge_chunks": _with("chunks") + f", {_OLD}, {_NEW} SELECT chunk_id, doc_id, text FROM old_chunks WHERE NOT ends_with(doc_id, '3.txt') UNION ALL SELECT chunk_id, doc_id, text FROM new_chunks WHERE ends_with(doc_id, '3.txt')",
+    "remove_doc": _with("chunks", "manifest") + f", {_OLD} SELECT doc_id, chunk_id, text FROM old_chunks WHERE doc_id NOT IN (SELECT doc_id FROM manifest WHERE status = 'deleted')",
+    "merge_chunks": _with("chunks", "doc_changes") + f", {_OLD}, {_NEW}, net AS ({_net('doc_changes')}), fresh AS (SELECT doc_id FROM net WHERE op = 'upsert') SELECT chunk_id, doc_id, text FROM old_chunks WHERE doc_id NOT IN (SELECT doc_id FROM fresh) UNION ALL SELECT chunk_id, doc_id, text FROM new_chunks WHERE doc_id IN (SELECT doc_id FROM fresh)",
     "doc_chunk_index": _with("vector_records") + " SELECT doc_id, list_sort(list_distinct(list(key))) AS chunk_ids FROM vector_records GROUP BY doc_id",
     "chunk_to_doc": _with("vector_records") + " SELECT key AS chunk_id, max(doc_id) AS doc_id FROM vector_records GROUP BY key",
     "chunk_payload": _with("chunks") + " SELECT chunk_id AS id, text, doc_id AS metadata_doc_id FROM chunks",

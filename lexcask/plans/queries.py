@@ -100,7 +100,7 @@ def load_chunks(spark, d):
 
 def delete_chunks(spark, d):
     chunks = frame(spark, d, "chunks").select("doc_id", "chunk_id")
-    return corpus.remove_docs(chunks, frame(spark, d, "manifest").filter("status = 'deleted'"))
+    return corpus.remove_docs(chunks, _deleted(spark, d))
 
 
 def vector_batches(spark, d):
@@ -112,9 +112,14 @@ def vector_batch_summary(spark, d):
     return vectors.batch_summary(rows.select("doc_id", "key").unionByName(rows.select(F.lit("all").alias("doc_id"), "key")))
 
 
+def _deleted(spark, d):
+    return frame(spark, d, "manifest").filter("status = 'deleted'").select("doc_id")
+
+
 def delete_vectors(spark, d):
     rows = frame(spark, d, "vector_records")
-    claimed = rows.filter("doc_id = 'raws/doc-3.txt'").groupBy("doc_id").agg(F.collect_list("key").alias("vector_keys"))
+    # The keys that the manifest's rows of deleted documents hold.
+    claimed = rows.join(_deleted(spark, d), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("key").alias("vector_keys"))
     return vectors.delete(rows.select("doc_id", "key"), claimed)
 
 
@@ -166,11 +171,11 @@ def apply_delta(spark, d):
 
 
 def remove_doc(spark, d):
-    return corpus.remove_docs(_old_chunks(spark, d), frame(spark, d, "manifest").filter("doc_id = 'raws/doc-7.txt'"))
+    return corpus.remove_docs(_old_chunks(spark, d), _deleted(spark, d))
 
 
 def merge_chunks(spark, d):
-    return corpus.merge_chunks(_old_chunks(spark, d), _new_chunks(spark, d).filter(F.col("doc_id").endswith("3.txt")))
+    return corpus.merge_chunks(_old_chunks(spark, d), _new_chunks(spark, d).join(changelog.net_changes(frame(spark, d, "doc_changes")).filter("op = 'upsert'"), "doc_id", "left_semi"))
 
 
 def doc_chunk_index(spark, d):
