@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import word_tokens
 
@@ -16,7 +19,15 @@ DIMENSIONS = 64
 def hashed_counts(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """The default: how many words fall into each of so many hash buckets (whole numbers; 256 buckets at most)."""
     at = F.transform(word_tokens(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int"), F.lit(dimensions)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("float"))
+
+    def counted(buckets: pa.Array) -> pa.Array:
+        """Counts of a batch at once: an array function would pass over the words once for each bucket."""
+        size = buckets.value_lengths().to_numpy(zero_copy_only=False)
+        place = np.repeat(np.arange(len(size)), size) * dimensions + buckets.flatten().to_numpy(zero_copy_only=False)
+        n = np.bincount(place.astype(np.int64), minlength=len(size) * dimensions).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * dimensions), pa.array(n))
+
+    return F.arrow_udf(counted, ArrayType(FloatType()))(at)
 
 
 def embed_chunks(chunks: DataFrame, embed: Callable[[Column], Column] = hashed_counts) -> DataFrame:
