@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions.text import ws_tokens
 from ..sources import commits
 
@@ -42,26 +43,36 @@ def slot(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the chunks (n, dl, words) of each batch; one that two batches share is written in two rows."""
-    for b in batches:
-        words = b.column("words")
-        n, dl = b.column("n").to_numpy(), b.column("dl").to_numpy()
-        flat = words.flatten().dictionary_encode()
-        if not len(flat):
-            continue
-        size = words.value_lengths().to_numpy(zero_copy_only=False)
-        chunk = np.repeat(np.arange(len(n)), size)
-        key, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * len(n) + chunk, return_counts=True)
-        term, chunk = key // len(n), key % len(n)
-        block = n[chunk] // BLOCK
-        order = np.lexsort((n[chunk], block, term))
-        term, chunk, block, tf = term[order], chunk[order], block[order], tf[order].astype(np.int32)
-        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
-        offsets = pa.array(np.append(first, len(term)).astype(np.int32))
-        lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))  # noqa: B023, E731
-        columns = [flat.dictionary.take(pa.array(term[first])), pa.array(block[first]), lists(n[chunk]), lists(tf), lists(dl[chunk]), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl[chunk], first))]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in BLOCKS.split(", ")])
+def _parts(n: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of chunks that end where a block ends; one that is too large by itself is cut."""
+    first = np.flatnonzero(np.concatenate([[True], np.diff(n // BLOCK) != 0])) if len(n) else np.zeros(0, np.int64)
+    ends = np.append(first, len(n))
+    for a, b in batches.parts(np.add.reduceat(size, first) if len(n) else size):
+        for c, d in batches.parts(size[ends[a] : ends[b]], 2 * batches.WORDS):
+            yield int(ends[a]) + c, int(ends[a]) + d
+
+
+def _blocks(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the chunks (n, dl, words) of each batch, some at a time; one that two parts share is written in two rows."""
+    for b in arrived:
+        sizes = b.column("words").value_lengths().to_numpy(zero_copy_only=False)
+        for start, end in _parts(b.column("n").to_numpy(), sizes):
+            words = b.column("words").slice(start, end - start)
+            n, dl, size = b.column("n").to_numpy()[start:end], b.column("dl").to_numpy()[start:end], sizes[start:end]
+            flat = words.flatten().dictionary_encode()
+            if not len(flat):
+                continue
+            chunk = np.repeat(np.arange(len(n)), size)
+            key, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * len(n) + chunk, return_counts=True)
+            term, chunk = key // len(n), key % len(n)
+            block = n[chunk] // BLOCK
+            order = np.lexsort((n[chunk], block, term))
+            term, chunk, block, tf = term[order], chunk[order], block[order], tf[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+            offsets = pa.array(np.append(first, len(term)).astype(np.int32))
+            lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))  # noqa: B023, E731
+            columns = [flat.dictionary.take(pa.array(term[first])), pa.array(block[first]), lists(n[chunk]), lists(tf), lists(dl[chunk]), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl[chunk], first))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in BLOCKS.split(", ")])
 
 
 @dataclass(frozen=True)

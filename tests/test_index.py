@@ -1,9 +1,13 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from lexcask.functions import batches
 from lexcask.operators import bm25, segments
 
 from .test_search import CHUNKS, brute
@@ -129,3 +133,23 @@ def test_empty_index_and_second_writer(spark, tmp_path):
     assert filled.merge().state.n_chunks == 1
     gone = filled.merge
     assert bm25.top_k(one, df, 5, segments.Index(spark, f"{tmp_path}/i").add(one.limit(0), one.select(F.col("doc_id")))).count() == 0 and gone
+
+
+def test_index_of_a_batch_is_made_in_parts(monkeypatch):
+    """A part holds so many words, whatever the batch holds; blocks are not cut unless one is larger than that by itself."""
+    rng = random.Random(5)
+    words = [[f"w{rng.randint(0, 30)}" for _ in range(rng.randint(0, 9))] for _ in range(700)] + [["w1"] * 300]
+    n = np.arange(len(words)) + 3
+    batch = pa.RecordBatch.from_arrays([pa.array(n), pa.array([len(w) for w in words]), pa.array(words, pa.list_(pa.string()))], names=["n", "dl", "words"])
+
+    def postings(rows):
+        return sorted((t, i, f, d) for b in rows for t, ns, tfs, dls in zip(*(b.column(c).to_pylist() for c in ("term", "ns", "tfs", "dls"))) for i, f, d in zip(ns, tfs, dls))
+
+    monkeypatch.setattr(batches, "WORDS", 100)
+    monkeypatch.setattr(batches.parts, "__defaults__", (100,))
+    monkeypatch.setattr(segments, "BLOCK", 16)
+    out = list(segments._blocks(iter([batch])))
+    assert postings(out) == sorted((t, i, w.count(t), len(w)) for i, w in zip(n.tolist(), words) for t in set(w))
+    assert len(out) > 20 and max(pc.sum(b.column("tfs").flatten()).as_py() for b in out) <= 300
+    keys = [(t, k) for b in out for t, k in zip(b.column("term").to_pylist(), b.column("block").to_pylist())]
+    assert len(keys) - len(set(keys)) <= 1
