@@ -30,7 +30,9 @@ DIGITS = 6
 #: Different terms of all queries that are sent to every task, at most.
 SENT_TERMS = 200_000
 #: Postings of all queries' words from which bounds are worth their passes; fewer are scored at once, with the same result.
-PRUNE_FROM = 50_000_000
+PRUNE_FROM = 5_000_000_000
+#: Postings that a task scores, about: what it holds follows them, and the number of tasks follows the postings.
+TASK_POSTINGS = 1_000_000
 #: The share of a query's postings, of its rarest words, that its floor is taken from.
 RARE = 0.05
 #: The share of the floor that words may add together which are only looked up.
@@ -86,19 +88,32 @@ class Search:
         terms = asked.select("term").distinct()
         n_terms, slots = terms.agg(F.count("*"), F.collect_set(segments.slot(F.col("term")))).first()
         #: A table of the queries' terms goes to every task if it is small, else it is joined.
-        self.sent = F.broadcast if n_terms <= SENT_TERMS else lambda rows: rows
+        self.few = n_terms <= SENT_TERMS
+        self.sent = F.broadcast if self.few else lambda rows: rows
         self.blocks = index.blocks(slots).join(self.sent(terms), "term", "left_semi")
         bound = self.blocks.groupBy("term").agg(F.max(self.tf_weight(F.col("max_tf"), F.col("min_dl"))).alias("most"))
         weighed = asked.join(self.sent(index_term_stats(index, self.sent(terms)).join(bound, "term")), "term")
         #: query_id, term, w (weight of the term in the query), df, ub (what it can add to a chunk at most).
         self.weights = _kept(weighed.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "df", (F.col("qtf") * F.col("idf") * F.col("most")).alias("ub")), f"{self.folder}/weights")
         least, postings = self.weights.agg(F.min("w"), F.sum("df")).first()
+        self.n_tasks = max(1, -(-(postings or 0) // TASK_POSTINGS))
         self.negative = least is not None and least < 0
         self.prune = not self.negative and (postings or 0) >= prune_from
 
     def tf_weight(self, tf: Column, dl: Column) -> Column:
         return (K1 + 1) * tf / (tf + K1 * (1 - B + B * dl / F.lit(self.avgdl)))
 
+    def dealt(self, terms: DataFrame) -> DataFrame:
+        """The blocks of ``terms`` with their columns, dealt by ``run`` of chunks: all that a chunk scores is summed where its run lies.
+
+        Blocks are exchanged, not the postings in them, before the terms are tied to queries if these are sent.
+        """
+        # One column of both: a lone segment's number is a constant, by which Spark takes rows not to be dealt.
+        blocks = self.blocks.withColumn("run", F.xxhash64("seg", "block"))
+        if self.few:
+            return blocks.repartition(self.n_tasks, "run").join(F.broadcast(terms), "term")
+        return blocks.join(terms, "term").repartition(self.n_tasks, "run")
+
     def postings(self, blocks: DataFrame, *keep: str) -> DataFrame:
         """seg, n, part (what the term adds) of every chunk in blocks that have w."""
         rows = blocks.select(*keep, "seg", "w", F.explode(F.arrays_zip("ns", "tfs", "dls")).alias("p"))
@@ -143,14 +158,14 @@ class Search:
 
     def partial(self, terms: DataFrame) -> DataFrame:
         """query_id, seg, n, s by the needed words of chunks that may reach the floor."""
-        rows = self.reached(self.blocks.join(self.sent(terms.filter("needed")), "term"))
-        found = self.postings(rows, "query_id", "floor", "rest").groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+        rows = self.reached(self.dealt(terms.filter("needed")))
+        found = self.postings(rows, "query_id", "run", "floor", "rest").groupBy("query_id", "run", "seg", "n").agg(F.sum("part").alias("s"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
         return self.index.alive(found.filter(F.col("s") + F.col("rest") + MARGIN >= F.col("floor")).select("query_id", "seg", "n", "s"))
 
     def scores(self) -> DataFrame:
         """query_id, seg, n, score of every chunk that can be among a query's best; all that hold a word where there is no floor."""
         if not self.prune:
-            found = self.postings(self.blocks.join(self.sent(self.weights), "term"), "query_id").groupBy("query_id", "seg", "n").agg(F.sum("part").alias("s"))
+            found = self.postings(self.dealt(self.weights), "query_id", "run").groupBy("query_id", "run", "seg", "n").agg(F.sum("part").alias("s"))
             return self.index.alive(found).select("query_id", "seg", "n", F.round("s", DIGITS).alias("score"))
         terms = _kept(self.terms(), f"{self.folder}/terms")
         found = _kept(self.partial(terms), f"{self.folder}/found")

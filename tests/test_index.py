@@ -153,3 +153,22 @@ def test_index_of_a_batch_is_made_in_parts(monkeypatch):
     assert len(out) > 20 and max(pc.sum(b.column("tfs").flatten()).as_py() for b in out) <= 300
     keys = [(t, k) for b in out for t, k in zip(b.column("term").to_pylist(), b.column("block").to_pylist())]
     assert len(keys) - len(set(keys)) <= 1
+
+
+def test_a_chunk_is_scored_where_its_postings_are_dealt(spark, tmp_path, monkeypatch):
+    """Tasks follow the postings, blocks alone are exchanged, and each task gives a query's best only."""
+    rng = random.Random(6)
+    chunks = corpus(rng, 200)
+    monkeypatch.setattr(segments, "BLOCK", 8)
+    monkeypatch.setattr(bm25, "TASK_POSTINGS", 50)
+    index = segments.build(spark.createDataFrame(chunks, CHUNKS), f"{tmp_path}/i")
+    rows, df = queries(spark, rng)
+    search = bm25.Search(index, df, 5)
+    postings = search.weights.agg(F.sum("df")).first()[0]
+    assert search.n_tasks == -(-postings // 50) > 4
+    plan = search.scores()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(run") == 1 and "hashpartitioning(query_id" not in plan
+    assert ranked(search.top()) == wanted(chunks, [*rows, (90, "zzz"), (91, "")], 5)
+    # Too many terms to be sent: they are joined first.
+    monkeypatch.setattr(bm25, "SENT_TERMS", 0)
+    assert ranked(bm25.Search(index, df, 5).top()) == wanted(chunks, [*rows, (90, "zzz"), (91, "")], 5)
