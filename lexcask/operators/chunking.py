@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions import batches
 from ..functions.keys import chunk_id
-from ..functions.text import normalize_whitespace, word_tokens
+from ..functions.text import SPACE_CLASS, normalize_whitespace, word_tokens
 
 PERCENTILE = 0.9
 DIGITS = 9
@@ -43,7 +44,15 @@ def _products(sentence: np.ndarray, word: np.ndarray, n: int) -> list[np.ndarray
 
 
 def _distances(words: pa.Array) -> pa.Array:
-    """Distances of a batch of documents, each a list of sentences, each a list of words' hashes."""
+    """Distances of a batch of documents, each a list of sentences, each a list of words' hashes; some documents at a time."""
+    inner = words.flatten()
+    ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    held = np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    out = [_of_part(words.slice(a, b - a)) for a, b in batches.parts(np.diff(held[ends]))]
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float64()))
+
+
+def _of_part(words: pa.Array) -> pa.Array:
     per = words.value_lengths().to_numpy(zero_copy_only=False)
     first = np.cumsum(per) - per
     total = int(per.sum())

@@ -146,7 +146,6 @@ def test_index_of_a_batch_is_made_in_parts(monkeypatch):
         return sorted((t, i, f, d) for b in rows for t, ns, tfs, dls in zip(*(b.column(c).to_pylist() for c in ("term", "ns", "tfs", "dls"))) for i, f, d in zip(ns, tfs, dls))
 
     monkeypatch.setattr(batches, "WORDS", 100)
-    monkeypatch.setattr(batches.parts, "__defaults__", (100,))
     monkeypatch.setattr(segments, "BLOCK", 16)
     out = list(segments._blocks(iter([batch])))
     assert postings(out) == sorted((t, i, w.count(t), len(w)) for i, w in zip(n.tolist(), words) for t in set(w))

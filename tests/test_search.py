@@ -1,8 +1,11 @@
 import collections
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lexcask.functions import batches
 from lexcask.operators import bm25, chunking, search
 
 CHUNKS = "doc_id string, chunk_ord int, text string"
@@ -72,3 +75,17 @@ def test_chunks_put_the_text_together_again(spark):
     assert [r.text for r in out if r.doc_id == "raws/b.txt"] == ["single sentence"]
     assert {r.doc_id for r in out} == {"raws/a.txt", "raws/b.txt"}
     assert out[0].chunk_id == "a_chunk_0001"
+
+
+def test_distances_of_a_batch_are_made_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    docs = [[rng.integers(0, 9, rng.integers(0, 6)).tolist() for _ in range(rng.integers(0, 8))] for _ in range(60)]
+    words = pa.array(docs, pa.list_(pa.list_(pa.int64())))
+    whole = chunking._distances(words).to_pylist()
+    held, of_part = [], chunking._of_part
+    monkeypatch.setattr(chunking, "_of_part", lambda part: (held.append(len(part.flatten().flatten())), of_part(part))[1])
+    monkeypatch.setattr(batches, "WORDS", 50)
+    assert chunking._distances(words).to_pylist() == whole
+    assert len(held) > 5 and max(held) < 50 + max(sum(map(len, d)) for d in docs)
+    assert chunking._distances(words.slice(7, 20)).to_pylist() == whole[7:27]
+    assert chunking._distances(words[:0]).to_pylist() == []
