@@ -11,23 +11,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..functions import batches
 from ..functions.text import word_tokens
 
 DIMENSIONS = 64
 
 
+def _counted(buckets: pa.Array, dimensions: int) -> pa.Array:
+    """Counts of many texts at once: an array function would pass over the words once for each bucket."""
+    size = buckets.value_lengths().to_numpy(zero_copy_only=False)
+    n = np.zeros(len(size) * dimensions, np.float32)
+    for a, b in batches.parts(size):
+        place = np.repeat(np.arange(b - a), size[a:b]) * dimensions + buckets.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+        n[a * dimensions : b * dimensions] = np.bincount(place.astype(np.int64), minlength=(b - a) * dimensions)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * dimensions), pa.array(n))
+
+
 def hashed_counts(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """The default: how many words fall into each of so many hash buckets (whole numbers; 256 buckets at most)."""
     at = F.transform(word_tokens(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int"), F.lit(dimensions)))
 
-    def counted(buckets: pa.Array) -> pa.Array:
-        """Counts of a batch at once: an array function would pass over the words once for each bucket."""
-        size = buckets.value_lengths().to_numpy(zero_copy_only=False)
-        place = np.repeat(np.arange(len(size)), size) * dimensions + buckets.flatten().to_numpy(zero_copy_only=False)
-        n = np.bincount(place.astype(np.int64), minlength=len(size) * dimensions).astype(np.float32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * dimensions), pa.array(n))
-
-    return F.arrow_udf(counted, ArrayType(FloatType()))(at)
+    return F.arrow_udf(lambda buckets: _counted(buckets, dimensions), ArrayType(FloatType()))(at)
 
 
 def embed_chunks(chunks: DataFrame, embed: Callable[[Column], Column] = hashed_counts) -> DataFrame:

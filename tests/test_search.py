@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from lexcask.functions import batches
-from lexcask.operators import bm25, chunking, search
+from lexcask.operators import bm25, chunking, embedding, search
 
 CHUNKS = "doc_id string, chunk_ord int, text string"
 
@@ -89,3 +89,14 @@ def test_distances_of_a_batch_are_made_in_parts(monkeypatch):
     assert len(held) > 5 and max(held) < 50 + max(sum(map(len, d)) for d in docs)
     assert chunking._distances(words.slice(7, 20)).to_pylist() == whole[7:27]
     assert chunking._distances(words[:0]).to_pylist() == []
+
+
+def test_word_counts_of_a_batch_are_made_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 8, rng.integers(0, 9)).tolist() for _ in range(40)] + [[]]
+    held, repeat = [], np.repeat
+    monkeypatch.setattr(np, "repeat", lambda *a: (lambda out: (held.append(len(out)), out)[1])(repeat(*a)))
+    monkeypatch.setattr(batches, "WORDS", 20)
+    assert embedding._counted(pa.array(texts, pa.list_(pa.int32())), 8).to_pylist() == [[t.count(i) for i in range(8)] for t in texts]
+    assert len(held) > 3 and max(held) < 30
+    assert embedding._counted(pa.array([], pa.list_(pa.int32())), 8).to_pylist() == []
