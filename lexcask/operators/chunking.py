@@ -75,7 +75,8 @@ def _of_part(words: pa.Array) -> pa.Array:
 
 def with_distances(docs: DataFrame) -> DataFrame:
     """doc_id, sentences, distances: between each sentence, with its neighbours, and the next."""
-    split = docs.select("doc_id", sentences(F.col("text")).alias("sentences")).filter(F.size("sentences") > 0)
+    # A text has sentences if it has anything but white space; a filter on the sentences themselves would make them twice.
+    split = docs.filter(F.col("text").rlike(f"[^{SPACE_CLASS[1:]}")).select("doc_id", sentences(F.col("text")).alias("sentences"))
     words = F.transform("sentences", lambda x: F.transform(word_tokens(x), lambda w: F.xxhash64(w)))
     return split.withColumn("distances", F.arrow_udf(_distances, ArrayType(DoubleType()))(words)).withColumn("distances", F.transform("distances", lambda d: F.round(d, DIGITS)))
 
@@ -112,8 +113,13 @@ def semantic_chunks(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no chunks; a repeated document is chunked each time.
     """
-    last = F.transform(F.filter(F.transform("distances", lambda d, i: F.when(d > F.col("threshold"), i + 1)), lambda i: i.isNotNull()), lambda i: i.cast("int"))
-    cut = with_breaks(docs).select("doc_id", "sentences", F.concat(F.array(F.lit(0)), last, F.array(F.size("sentences"))).alias("ends"))
+
+    def above(limit: Column) -> Column:
+        return F.transform(F.filter(F.transform("distances", lambda d, i: F.when(d > limit, i + 1)), lambda i: i.isNotNull()), lambda i: i.cast("int"))
+
+    # The limit is an element of an array: as a column it would be put into the function and sorted out anew for each distance.
+    last = F.transform(F.array(threshold(F.col("distances"))), above)[0]
+    cut = with_distances(docs).select("doc_id", "sentences", F.concat(F.array(F.lit(0)), last, F.array(F.size("sentences"))).alias("ends"))
     texts = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.array_join(F.slice("sentences", F.get("ends", k - 1) + 1, F.get("ends", k) - F.get("ends", k - 1)), " "))
     out = cut.select("doc_id", F.posexplode(texts).alias("k", "text")).withColumn("chunk_ord", F.col("k") + 1)
     return out.select("doc_id", "chunk_ord", chunk_id(F.col("doc_id"), F.col("chunk_ord")).alias("chunk_id"), "text")

@@ -100,3 +100,12 @@ def test_word_counts_of_a_batch_are_made_in_parts(monkeypatch):
     assert embedding._counted(pa.array(texts, pa.list_(pa.int32())), 8).to_pylist() == [[t.count(i) for i in range(8)] for t in texts]
     assert len(held) > 3 and max(held) < 30
     assert embedding._counted(pa.array([], pa.list_(pa.int32())), 8).to_pylist() == []
+
+
+def test_sentences_are_made_once_and_the_limit_once_for_a_document(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    plan = chunking.semantic_chunks(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    assert "> transform(array(sort_array" not in plan
+    blank = spark.createDataFrame([("a", " \u2003\n"), ("b", None), ("c", ""), ("d", " . ")], "doc_id string, text string")
+    assert [(r.doc_id, r.text) for r in chunking.semantic_chunks(blank).collect()] == [("d", ".")]
